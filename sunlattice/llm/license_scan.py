@@ -150,8 +150,8 @@ WITH template(k, label, want, need) AS (VALUES {wanted}), phrase(label, p) AS (V
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, {words.format("t")} AS w FROM d),
 i AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE list_contains(w, 'license') OR list_contains(w, 'cc')),
-f AS (SELECT doc_id, i - 1 AS at, label FROM i JOIN phrase ON w[i] = p[1] AND w[i:i + len(p) - 1] = p),
-a AS (SELECT doc_id, count(*) AS n, min(at) AS lo, max(at) AS hi, list_sort(list(DISTINCT label)) AS base FROM f GROUP BY doc_id),
+f AS (SELECT doc_id, i - 1 AS pos, label FROM i JOIN phrase ON w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+a AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list_sort(list(DISTINCT label)) AS base FROM f GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 b AS (SELECT doc_id, list_distinct({words.format("line")}) AS have FROM l),
 m AS (SELECT doc_id, label, CAST(len(list_intersect(have, want)) AS DOUBLE) / len(want) AS c FROM b JOIN template ON len(have) >= need AND len(list_intersect(have, want)) >= need),
