@@ -1,6 +1,6 @@
 """Words, shingles and their hashes for whole batches of texts, as array operations over UTF-8 bytes.
 
-A word is a run of digits, ASCII letters and bytes of 0x80 and more; A-Z count as a-z. A shingle is SHINGLE words
+A word is a run of digits, ASCII letters and bytes of 0x80 and more; A-Z and the capitals of Latin-1 count as small letters. A shingle is SHINGLE words
 in a row; a text of 1 to SHINGLE-1 words has one shingle, all its words; a text without words has none.
 """
 
@@ -72,14 +72,24 @@ def _cuts(word: np.ndarray, offsets: np.ndarray) -> list[int]:
     return out
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    out = LOWER[data]
+    lead = np.flatnonzero(out[:-1] == 0xC3) + 1
+    capital = lead[(out[lead] >= 0x80) & (out[lead] <= 0x9E) & (out[lead] != 0x97)]
+    out[capital] += 0x20
+    return out
+
+
 class Words:
-    """start, end (bytes), hash of every word of a batch; first[i] is the number of words before text i."""
+    """start, end (bytes), hash of every word of a batch; first[i] is the number of words before text i.
+
+    prefixes: numbers of bytes; prefix[k] has the hash of each word's first so many bytes, 0 where the word isn't longer."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()):
         word = IS_WORD[data]
         borders = np.zeros(len(data) + 1, bool)
         borders[offsets] = True
-        starts, ends, hashes = [], [], []
+        starts, ends, hashes, heads = [], [], [], [[] for _ in prefixes]
         cuts = _cuts(word, offsets)
         for a, b in zip(cuts, cuts[1:], strict=False):
             w, edge = word[a:b], borders[a : b + 1].copy()
@@ -91,12 +101,15 @@ class Words:
             power, inverse = _power(max(b - a + 1, PIECE))
             with np.errstate(over="ignore"):
                 run = np.zeros(b - a + 1, np.uint64)
-                np.cumsum((LOWER[data[a:b]].astype(np.uint64) + np.uint64(1)) * power[: b - a], out=run[1:])
+                np.cumsum((lower(data[a:b]).astype(np.uint64) + np.uint64(1)) * power[: b - a], out=run[1:])
                 hashes.append(mix((run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64)))
+                for k, head in zip(prefixes, heads, strict=True):
+                    head.append(np.where(e - s > k, mix((run[np.minimum(s + k, e)] - run[s]) * inverse[s] + np.uint64(k << 20)), np.uint64(0)))
             starts.append(s + a)
             ends.append(e + a)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.end, self.hash = join(starts, np.int64), join(ends, np.int64), join(hashes, np.uint64)
+        self.prefix = [join(head, np.uint64) for head in heads]
         self.first = np.searchsorted(self.start, offsets)
 
 
