@@ -86,9 +86,12 @@ def join(found: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         need = _overlap(text, threshold)
         rows += [(k, label, tokens, need, t, p) for p, t in enumerate(tokens[: len(tokens) - need + 1])]
     prefix = spark.createDataFrame(rows, "template int, label string, want array<int>, need int, t int, p int")
+    rare = F.array(*[F.lit(t) for t in sorted({row[4] for row in rows})])
     rank = F.array(*[F.lit(order[t]) for t in range(len(vocabulary))])
     ranked = found.select("key", "block", F.sort_array(F.transform("tokens", lambda t: F.get(rank, t))).alias("have"))
-    hits = ranked.select("key", "block", "have", F.posexplode("have").alias("q", "t")).join(prefix, "t")
+    # only prefix tokens are looked up, in a table of at most templates x MOST_TOKENS rows
+    some = ranked.where(F.arrays_overlap("have", rare)).select("key", "block", "have", F.posexplode("have").alias("q", "t"))
+    hits = some.join(F.broadcast(prefix), "t")
     # both sides are in the same order: after this token, no more than the rest of either can be shared
     hits = hits.where((F.size("have") >= F.col("need")) & (F.col("p") + F.least(F.size("want") - F.col("p"), F.size("have") - F.col("q")) >= F.col("need")))
     shared = F.size(F.array_intersect("have", "want"))
