@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, quality_classifier, quality_rules, toxicity
+from . import language_id, license_scan, packing, pii, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
     "op2_quality_classifier": quality_classifier.op2,
     "op4_toxicity": toxicity.op4,
+    "op5_pii": pii.op5,
     "op7_language_id": language_id.op7,
     "op8_license_scans": license_scan.op8,
     "op9_quality_rules": quality_rules.op9,
+    "op10_packing": packing.op10,
 }
 
 
