@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity
+from . import decontamination, language_id, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
     "op2_quality_classifier": quality_classifier.op2,
+    "op3_benchmark_decontamination": decontamination.op3,
     "op4_toxicity": toxicity.op4,
     "op5_pii": pii.op5,
     "op7_language_id": language_id.op7,
