@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity
+from . import decontamination, language_id, license_scan, ngram_join, packing, pii, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_benchmark_decontamination": decontamination.op3,
     "op4_toxicity": toxicity.op4,
     "op5_pii": pii.op5,
+    "op6_sharding": sharding.op6,
     "op7_language_id": language_id.op7,
     "op8_license_scans": license_scan.op8,
     "op9_quality_rules": quality_rules.op9,
