@@ -11,6 +11,7 @@ rows are packed each on its own; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,71 +24,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
-
 TOKENS = 2048
 SEGMENTS = 256
 #: Examples that wait for a place at a time, in each task.
 WINDOW = 1024
-#: Words whose ids a task remembers.
-CACHE = 300_000
-#: Characters that are split into words at a time.
+#: Characters that are encoded at a time.
 CHARS = 1 << 20
 #: What ends a document.
 END = 1
 
 
-class Ids:
-    """Ids of texts by a tokenizer of byte-level BPE. BPE doesn't cross the borders of its words, so words' ids are remembered."""
+# Fixed value: the pattern that byte-level BPE splits words by.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts for which both ways must give the same ids before the faster is used.
+PROBES = ("It's  a\t\ttest, don't;\n\n x=1_2 \u00e9t\u00e9 \u65e5\u672c \u00b2\u0663 <|endoftext|> ", "\x1c \x85\u3000\u200b a\u0301\u00ad\x00", "a" * 700 + " " * 9)
+
 
-    # The pattern that byte-level BPE splits words by, and the characters for which Python's classes are known to be the tokenizer's.
-    WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-    UNSURE = r"[^\x00-\x1b\x20-\x84\x86-\xa1\xa3-\xa7\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-ʯ‐-‧‰-⁞]"
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizer's file as ranks, if it is a plain byte-level BPE whose ids are in the order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not plain or spec.get("normalizer") or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        return None
+    # byte-level BPE writes a byte as the character of its number if that is printed, and the others, in order, as those from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in set(shown))}
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"][c] for c in byte] + [model["vocab"][m] for m in merged]
+    if any(a >= b for a, b in zip(ids[256:], ids[257:], strict=False)) or max(ids[:256]) >= min(ids[256:], default=1 << 60):
+        return None
+    return {bytes(byte[c] for c in token): i for token, i in zip([*byte, *merged], ids, strict=True)}
+
+
+class Ids:
+    """Ids of texts by a tokenizer's file, special tokens' strings being text like any other. A file of plain byte-level BPE is run by a faster
+    encoder from the same merges, if it gives the same ids for PROBES; others are run by the tokenizer itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
-        self.word, self.unsure, self.border = re.compile(self.WORD), re.compile(self.UNSURE), re.compile(r"(?<=\S)(?=\s)")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))])
-
-    def _known(self, text: str) -> np.ndarray:
-        words = self.word.findall(text)
-        if new := set(words).difference(self.number):
-            if len(self.number) > CACHE:
-                self._forget()
-                new = set(words)
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        return self.flat[np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        self.tokenizer.encode_special_tokens = True
+        self.border, self.fast = re.compile(r"(?<=\S)(?=\s)"), None
+        if ranks := _ranks(path):
+            fast = tiktoken.Encoding("packing", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            if all(fast.encode_ordinary(x) == self.slow(x).tolist() for x in PROBES):
+                self.fast = fast
+
+    def slow(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, text: str) -> np.ndarray:
+        if not self.fast:
+            return self.slow(text)
         parts, a = [], 0
         while a < len(text):
-            # a word never holds a space after another character, so a text may be cut there
+            # a word never holds a space after another character, so a long text may be cut there
             b = len(text) if len(text) - a <= CHARS else (m.start() if (m := self.border.search(text, a + CHARS)) else len(text))
-            part = text if (a, b) == (0, len(text)) else text[a:b]
-            if part.isascii() and not re.search(r"[\x1c-\x1f]", part) or not self.unsure.search(part):
-                parts.append(self._known(part))
-            else:
-                parts.append(np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, np.uint32))
+            parts.append(self.fast.encode_to_numpy(text[a:b], disallowed_special=()))
             a = b
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
+
+
+_loaded: dict[str, Ids] = {}
+
+
+def encoder(path: str) -> Ids:
+    """Ids(path), loaded once in a process."""
+    if path not in _loaded:
+        _loaded[path] = Ids(path)
+    return _loaded[path]
 
 
 @dataclass
@@ -216,13 +226,13 @@ def pack_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
     Every id bears loss. Each id of a document, and the one that ends it, lies in one piece; offsets have no gaps."""
 
     def rows(batches):
-        encode = Ids(vocabulary)
+        encode = encoder(vocabulary)
 
         def examples():
             for batch in batches:
-                for row, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = np.append(encode(value.as_py() or ""), np.uint32(end))
-                    yield Example(row, ids, len(ids))
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = encode(text.as_py() or "")
+                    yield Example(row, np.append(ids, np.uint32(end)), len(ids) + 1)
 
         yield from _table(pack(examples(), tokens, segments, loss), TaskContext.get().partitionId() << 40, with_ids)
 
@@ -240,7 +250,7 @@ def pack_conversations(turns: DataFrame, vocabulary: str, tokens: int = TOKENS,
     whole = turns.groupBy(F.col("conv_id").cast("long").alias("doc_id"), part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def rows(batches):
-        encode = Ids(vocabulary)
+        encode = encoder(vocabulary)
 
         def examples():
             for batch in batches:
