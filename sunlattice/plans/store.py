@@ -1,0 +1,50 @@
+"""Intermediate and materialised tables in shared folders."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names; where that is unset (one machine), a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    return named.rstrip("/") if named else _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="sunlattice-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once and read again: loops keep short plans, and a lost executor loses no round."""
+    spark = df.sparkSession
+    to = f"{folder(spark)}/sunlattice/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(to)
+    return spark.read.schema(df.schema).parquet(to)
+
+
+class HorizonStore:
+    """Horizons by tile and direction, which don't depend on a date: written once, found again by later runs."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _exists(self) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def have(self) -> DataFrame:
+        """(tile, direction) of what is there; from the folders' names alone."""
+        if not self._exists():
+            return self.spark.createDataFrame([], "tile string, direction double")
+        return self.spark.read.schema("tile string, direction double").parquet(self.root).select("tile", "direction").distinct()
+
+    def put(self, horizons: DataFrame) -> None:
+        """Replaces the tiles and directions that are in horizons (tile, direction, ...), and no others; trying again gives the same."""
+        horizons.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile", "direction").parquet(self.root)
+
+    def read(self, wanted: DataFrame, schema: str) -> DataFrame:
+        """The horizons of wanted (tile, direction)."""
+        return self.spark.read.schema(schema).parquet(self.root).join(wanted, ["tile", "direction"], "left_semi")
