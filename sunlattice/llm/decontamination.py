@@ -82,7 +82,7 @@ def build(ids: list, texts: pa.Array) -> Index:
             known[values >> np.uint64(48)] = True
             index.tiny[width] = values[order], whose[order], known
             continue
-        low = ngram_join.min_hashes(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), _FACTORS).T
+        low = (ngram_join.minima(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), _FACTORS).T >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(low, axis=1, kind="stable")
         values = np.take_along_axis(low, order, axis=1)
         known = np.zeros((HASHES, 1 << 16), bool)

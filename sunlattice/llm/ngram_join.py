@@ -27,16 +27,19 @@ RECALL = 0.999
 COORDINATES = 128
 #: Coordinates sampled at a node, members of a node that is compared as it is, splits one below the other, and the average likeness from which a large node is compared in blocks.
 SAMPLED = 4
-SMALL = 128
+SMALL = 1024
 DEPTH = 5
 ALIKE = 0.4
 #: Classes and shingles of a block.
-BLOCK = 256
+BLOCK = 1024
 BLOCK_SHINGLES = 1_500_000
 #: How far a pair's share of equal min-hashes may be below the threshold: four standard deviations.
 SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
-#: Ids of at most so many classes are broadcast when their texts are fetched; more are joined by a shuffle.
+#: Ids of at most so many classes are broadcast when their texts are fetched, and so many members of large nodes when their sketches are; more are joined by a shuffle.
 FETCH_BROADCAST = 500_000
+MEMBERS_BROADCAST = 150_000
+#: Bytes of a class's sketch: 16 bits of each min-hash. They tell members of a node apart; the first split goes by whole min-hashes.
+SKETCH = 2 * COORDINATES
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,9 +67,9 @@ def set_keys(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.stack([a[first[1:]] - a[first[:-1]], b[first[1:]] - b[first[:-1]]], axis=1)
 
 
-def min_hashes(grams: np.ndarray, first: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
-    """(texts, factors) min-hashes, 32 bits; those of an empty set are all ones."""
-    out = np.full((len(first) - 1, len(factors)), 0xFFFFFFFF, np.uint32)
+def minima(grams: np.ndarray, first: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
+    """(texts, factors) min-hashes; those of an empty set are all ones."""
+    out = np.full((len(first) - 1, len(factors)), 0xFFFFFFFFFFFFFFFF, np.uint64)
     has = np.flatnonzero(np.diff(first))
     a = 0
     while a < len(has):  # some texts at a time, so that a factor's products stay in the cache
@@ -74,11 +77,28 @@ def min_hashes(grams: np.ndarray, first: np.ndarray, factors: np.ndarray = _FACT
         part, starts = grams[first[has[a]] : first[has[b - 1] + 1]], first[has[a:b]] - first[has[a]]
         with np.errstate(over="ignore"):
             for k, f in enumerate(factors):
-                out[has[a:b], k] = np.minimum.reduceat(part * f, starts) >> np.uint64(32)
+                out[has[a:b], k] = np.minimum.reduceat(part * f, starts)
         a = b
     return out
 
 
+def roots(n_runs: int) -> list[int]:
+    return [int(x) for x in np.random.default_rng(7).integers(1, 1 << 62, n_runs)]
+
+
+def describe(low: np.ndarray, n_runs: int) -> np.ndarray:
+    """Min-hashes as bytes of a class: the sketch, then the numbers of the nodes below each run's root."""
+    sketch = ((low >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2")
+    below = [_children(np.full(len(low), r, np.uint64), low, SAMPLED)[0].astype("<u8") for r in roots(n_runs)]
+    return np.concatenate([sketch.view(np.uint8).reshape(len(low), SKETCH), *[x.view(np.uint8).reshape(len(low), 8 * SAMPLED) for x in below]], axis=1)
+
+
+def _sketches(column) -> np.ndarray:
+    """(classes, COORDINATES) sketches of described classes."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(r[:SKETCH] for r in rows), "<u2").reshape(-1, COORDINATES)
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     """Rows of numbers as binary values."""
     raw = np.ascontiguousarray(rows)
@@ -86,25 +106,20 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * width).astype(np.int32)), pa.py_buffer(raw)]) if len(raw) else pa.array([], pa.binary())
 
 
-def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
-    """Binary values of equal length as rows of numbers."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
-
-
-def _sign(batches):
-    for batch in batches:
-        for a, b in textkit.pieces_of(batch.column(1)):
-            part = batch.slice(a, b - a)
-            grams, first = shingle_sets(part.column(1))
-            keys, size = _binary(set_keys(grams, first)), np.diff(first)
-            keys = pa.array([k if n else None for k, n in zip(keys.to_pylist(), size.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array(size), _binary(min_hashes(grams, first))], ["doc_id", "c", "n", "sig"])
+def sign(docs: DataFrame, n_runs: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, c, n, sig): the class key (null for a text without words), number of shingles and description of every row; a written table."""
 
+    def rows(batches):
+        for batch in batches:
+            for a, b in textkit.pieces_of(batch.column(1)):
+                part = batch.slice(a, b - a)
+                grams, first = shingle_sets(part.column(1))
+                keys, size = _binary(set_keys(grams, first)), np.diff(first)
+                keys = pa.array([k if n else None for k, n in zip(keys.to_pylist(), size.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array(size), _binary(describe(minima(grams, first), n_runs))], ["doc_id", "c", "n", "sig"])
 
-def sign(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, c, n, sig): the class key (null for a text without words), number of shingles and min-hashes of every row; a written table."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return scratch.table(rows.mapInArrow(_sign, "doc_id long, c binary, n long, sig binary"), "signatures")
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return scratch.table(whole.mapInArrow(rows, "doc_id long, c binary, n long, sig binary"), "signatures")
 
 
 def _children(node: np.ndarray, sig: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,34 +130,35 @@ def _children(node: np.ndarray, sig: np.ndarray, n: int) -> tuple[np.ndarray, np
         stride = textkit.mix(node + np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1)
         at = (start[:, None] + stride[:, None] * np.arange(n, dtype=np.uint64)[None, :]) % np.uint64(COORDINATES)
         value = np.take_along_axis(sig, at.astype(np.int64), axis=1).astype(np.uint64)
-        return textkit.mix(textkit.mix(node)[:, None] * np.uint64(0x9FB21C651E98DF25) + (at << np.uint64(33)) + value), np.repeat(np.arange(len(node)), n)
+        return textkit.mix(textkit.mix(node)[:, None] * np.uint64(0x9FB21C651E98DF25) + textkit.mix(value ^ (at << np.uint64(56)))), np.repeat(np.arange(len(node)), n)
 
 
-def _nodes(roots: list[int] | None):
-    def rows(batches):
-        for batch in batches:
-            sig = _matrix(batch.column("sig"), np.uint32, COORDINATES)
-            if not len(sig):
-                continue
-            for root in roots or [None]:
-                node = np.full(len(sig), root, np.uint64) if root is not None else batch.column("node").to_numpy().view(np.uint64)
-                child, of = _children(node, sig, SAMPLED)
-                yield pa.RecordBatch.from_arrays([pa.array(child.ravel().view(np.int64)), batch.column("c").take(pa.array(of)), batch.column("n").take(pa.array(of))], ["node", "c", "n"])
+def _first_nodes(batches):
+    for batch in batches:
+        rows = batch.column("sig").to_pylist()
+        if rows:
+            node = np.frombuffer(b"".join(r[SKETCH:] for r in rows), "<i8").reshape(len(rows), -1)
+            of = pa.array(np.repeat(np.arange(len(rows)), node.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), batch.column("c").take(of), batch.column("n").take(of)], ["node", "c", "n"])
 
-    return rows
+
+def _next_nodes(batches):
+    for batch in batches:
+        if batch.num_rows:
+            child, of = _children(batch.column("node").to_numpy().view(np.uint64), _sketches(batch.column("sig")), SAMPLED)
+            yield pa.RecordBatch.from_arrays([pa.array(child.ravel().view(np.int64)), batch.column("c").take(pa.array(of)), batch.column("n").take(pa.array(of))], ["node", "c", "n"])
 
 
 def _likeness(batches):
-    """(node, coordinate value, 1) of 16 coordinates of each member."""
+    """(node, coordinate and value) of 16 coordinates of each member."""
     for batch in batches:
-        sig = _matrix(batch.column("sig"), np.uint32, COORDINATES)[:, ::8].astype(np.int64) + (np.arange(16, dtype=np.int64) << 32)
+        sig = _sketches(batch.column("sig"))[:, ::8].astype(np.int64) + (np.arange(16, dtype=np.int64) << 32)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), 16)), pa.array(sig.ravel())], ["node", "v"])
 
 
-def paths(classes: DataFrame, n_runs: int) -> DataFrame:
+def paths(classes: DataFrame) -> DataFrame:
     """(node, c, n, members, shingles) of every node that is to be compared: chosen paths from one root for each run. classes: (c, n, sig)."""
-    roots = [int(x) for x in np.random.default_rng(7).integers(1, 1 << 62, n_runs)]
-    active = scratch.table(classes.mapInArrow(_nodes(roots), "node long, c binary, n long"), "paths-0")
+    active = scratch.table(classes.mapInArrow(_first_nodes, "node long, c binary, n long"), "paths-0")
     done = []
     for depth in range(1, DEPTH + 1):
         sizes = active.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("f1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("f2"))
@@ -156,12 +172,14 @@ def paths(classes: DataFrame, n_runs: int) -> DataFrame:
         if depth == DEPTH:
             done.append(active.join(large, "node").select("node", "c", "n", "members", "shingles"))
             break
-        wide = scratch.table(active.join(large, "node").join(classes.select("c", "sig"), "c"), f"large-{depth}")
+        inside = active.join(large, "node")
+        few = large.agg(F.sum("members")).first()[0] <= MEMBERS_BROADCAST
+        wide = scratch.table(classes.select("c", "sig").join(F.broadcast(inside) if few else inside, "c"), f"large-{depth}")
         same = wide.mapInArrow(_likeness, "node long, v long").groupBy("node", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.sum(F.col("k") * F.col("k")).alias("k2"))
         alike = scratch.table(large.join(same, "node").select("node", (F.col("k2") >= ALIKE * 16 * F.col("members") * F.col("members")).alias("alike")), f"alike-{depth}")
         marked = wide.join(alike, "node")
         done.append(marked.where("alike").select("node", "c", "n", "members", "shingles"))
-        active = scratch.table(marked.where(~F.col("alike")).select("node", "c", "n", "sig").mapInArrow(_nodes(None), "node long, c binary, n long"), f"paths-{depth}")
+        active = scratch.table(marked.where(~F.col("alike")).select("node", "c", "n", "sig").mapInArrow(_next_nodes, "node long, c binary, n long"), f"paths-{depth}")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -195,15 +213,10 @@ def _grouped(batches, names: list[str]):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _sets(group: pa.Table, name: str, kind, width: int | None = None):
-    column = group.column(name).combine_chunks()
-    return _matrix(column, kind, width) if width else [np.frombuffer(v, kind) for v in column.to_pylist()]
-
-
 def _sketch(batches):
     """Members of a block pair with a partner there that the sketch doesn't exclude."""
     for group in _grouped(batches, ["node", "x", "y"]):
-        sig, own = _sets(group, "sig", np.uint32, COORDINATES), group.column("own").to_numpy()
+        sig, own = _sketches(group.column("sig").combine_chunks()), group.column("own").to_numpy()
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
         least = math.floor((THRESHOLD - SLACK) * COORDINATES)
         keep = np.zeros(len(sig), bool)
@@ -271,7 +284,7 @@ def _verify(batches):
             continue
         c, own, copies = group.column("c").to_pylist(), group.column("own").to_numpy(), group.column("copies").to_numpy()
         node, x, y = (group.column(k)[0].as_py() for k in ("node", "x", "y"))
-        sets = _sets(group, "grams", np.uint64)
+        sets = [np.frombuffer(v, np.uint64) for v in group.column("grams").to_pylist()]
         left, right = (np.arange(n),) * 2 if x == y else (np.flatnonzero(own == x), np.flatnonzero(own == y))
         if not len(left) or not len(right):
             continue
@@ -316,10 +329,10 @@ def _dealt(df: DataFrame) -> DataFrame:
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(signed, classes): sign(docs), and of every class (c) rep, its least id; copies, its documents; partners and documents, the other classes with a
     Jaccard of THRESHOLD or more and their documents; root, the least rep of its component."""
-    signed = sign(docs, key, text)
+    signed = sign(docs, runs(THRESHOLD, recall), key, text)
     whole = signed.where(F.col("doc_id").isNotNull() & F.col("c").isNotNull())
     classes = scratch.table(whole.groupBy("c", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("sig").alias("sig")), "classes")
-    members = paths(classes.select("c", "n", "sig"), runs(THRESHOLD, recall))
+    members = paths(classes.select("c", "n", "sig"))
     sketched = _dealt(blocks(members).join(classes.select("c", "sig"), "c")).mapInArrow(_sketch, "node long, c binary, x int, y int, own int")
     left = scratch.table(sketched, "sketched")
     # the whole sets of the classes that are left
