@@ -201,7 +201,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
                             ["doc_id", "item_id", "n_item", "n_shared", "containment"],
                         )
 
-        part = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, item_id long, n_item long, n_shared long, containment double")
+        part = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(rows), "doc_id long, item_id long, n_item long, n_shared long, containment double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -219,7 +219,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
                     keep[[t for t, _, _ in contained(shared.value, batch.column(at).slice(a, b - a), threshold)]] = False
                     yield batch.slice(a, b - a).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(rows, docs.schema)
+        docs = docs.mapInArrow(textkit.lean(rows), docs.schema)
     return docs
 
 

@@ -153,7 +153,7 @@ def train(docs: DataFrame, allowed: Column, key: str = "doc_id", text: str = "te
     whole = 1 << 30
     share = F.map_from_arrays(F.array(*map(F.lit, sizes)), F.array(*[F.lit(min(whole, int(whole * sample_bytes / max(n, 1)))) for n in sizes.values()]))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(whole)) < F.element_at(share, F.col("lang"))) if max(sizes.values()) > sample_bytes else rows.where(F.col("lang").isin(list(sizes)))
-    counts = chosen.select("lang", "text").mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    counts = chosen.select("lang", "text").mapInArrow(textkit.lean(_counts), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     names, code, n = np.array(counts["lang"].to_pylist(), object), np.asarray(counts["code"]), np.asarray(counts["n"])
     languages = sorted(set(names.tolist()))
     return grow(languages, [code[names == x] for x in languages], [n[names == x] for x in languages])
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "tex
                     ["doc_id", "lang_pred", "score", "bits_per_byte"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(rows), "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

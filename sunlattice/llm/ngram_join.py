@@ -32,7 +32,7 @@ DEPTH = 5
 ALIKE = 0.4
 #: Classes and shingles of a block.
 BLOCK = 1024
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 600_000
 #: How far a pair's share of equal min-hashes may be below the threshold: four standard deviations.
 SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
 #: Ids of at most so many classes are broadcast when their texts are fetched, and so many members of large nodes when their sketches are; more are joined by a shuffle.
@@ -119,7 +119,7 @@ def sign(docs: DataFrame, n_runs: int, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array(size), _binary(describe(minima(grams, first), n_runs))], ["doc_id", "c", "n", "sig"])
 
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return scratch.table(whole.mapInArrow(rows, "doc_id long, c binary, n long, sig binary"), "signatures")
+    return scratch.table(whole.mapInArrow(textkit.lean(rows), "doc_id long, c binary, n long, sig binary"), "signatures")
 
 
 def _children(node: np.ndarray, sig: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,28 +158,30 @@ def _likeness(batches):
 
 def paths(classes: DataFrame) -> DataFrame:
     """(node, c, n, members, shingles) of every node that is to be compared: chosen paths from one root for each run. classes: (c, n, sig)."""
-    active = scratch.table(classes.mapInArrow(_first_nodes, "node long, c binary, n long"), "paths-0")
+    active = scratch.table(classes.mapInArrow(textkit.lean(_first_nodes), "node long, c binary, n long"), "paths-0")
     done = []
     for depth in range(1, DEPTH + 1):
-        sizes = active.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("f1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("f2"))
+        # most nodes have one member; they go before anything else is counted
+        alone = active.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        inside = scratch.table(active.join(alone, "node"), f"inside-{depth}")
         # nodes of the same members are compared once
-        sizes = sizes.where("members > 1").groupBy("members", "shingles", "f1", "f2").agg(F.min("node").alias("node")).drop("f1", "f2")
-        sizes = scratch.table(sizes, f"nodes-{depth}")
-        done.append(active.join(sizes.where(F.col("members") <= SMALL), "node").select("node", "c", "n", "members", "shingles"))
+        marks = F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("f1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("f2")
+        sizes = inside.groupBy("node", "members").agg(F.sum("n").alias("shingles"), *marks)
+        sizes = scratch.table(sizes.groupBy("members", "shingles", "f1", "f2").agg(F.min("node").alias("node")).select("node", "shingles", "members"), f"nodes-{depth}")
+        some = inside.drop("members").join(sizes, "node")
         large = sizes.where(F.col("members") > SMALL)
-        if large.isEmpty():
+        if depth == DEPTH or large.isEmpty():
+            done.append(some.select("node", "c", "n", "members", "shingles"))
             break
-        if depth == DEPTH:
-            done.append(active.join(large, "node").select("node", "c", "n", "members", "shingles"))
-            break
-        inside = active.join(large, "node")
+        done.append(some.where(F.col("members") <= SMALL).select("node", "c", "n", "members", "shingles"))
+        split = some.where(F.col("members") > SMALL)
         few = large.agg(F.sum("members")).first()[0] <= MEMBERS_BROADCAST
-        wide = scratch.table(classes.select("c", "sig").join(F.broadcast(inside) if few else inside, "c"), f"large-{depth}")
-        same = wide.mapInArrow(_likeness, "node long, v long").groupBy("node", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.sum(F.col("k") * F.col("k")).alias("k2"))
+        wide = scratch.table(classes.select("c", "sig").join(F.broadcast(split) if few else split, "c"), f"large-{depth}")
+        same = wide.mapInArrow(textkit.lean(_likeness), "node long, v long").groupBy("node", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.sum(F.col("k") * F.col("k")).alias("k2"))
         alike = scratch.table(large.join(same, "node").select("node", (F.col("k2") >= ALIKE * 16 * F.col("members") * F.col("members")).alias("alike")), f"alike-{depth}")
         marked = wide.join(alike, "node")
         done.append(marked.where("alike").select("node", "c", "n", "members", "shingles"))
-        active = scratch.table(marked.where(~F.col("alike")).select("node", "c", "n", "sig").mapInArrow(_next_nodes, "node long, c binary, n long"), f"paths-{depth}")
+        active = scratch.table(marked.where(~F.col("alike")).select("node", "c", "n", "sig").mapInArrow(textkit.lean(_next_nodes), "node long, c binary, n long"), f"paths-{depth}")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -333,17 +335,23 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float
     whole = signed.where(F.col("doc_id").isNotNull() & F.col("c").isNotNull())
     classes = scratch.table(whole.groupBy("c", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("sig").alias("sig")), "classes")
     members = paths(classes.select("c", "n", "sig"))
-    sketched = _dealt(blocks(members).join(classes.select("c", "sig"), "c")).mapInArrow(_sketch, "node long, c binary, x int, y int, own int")
+    sketched = _dealt(blocks(members).join(classes.select("c", "sig"), "c")).mapInArrow(textkit.lean(_sketch), "node long, c binary, x int, y int, own int")
     left = scratch.table(sketched, "sketched")
+    # blocks that are down to the same members are compared once; a block pair of a larger node stays
+    marks = F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("f1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("f2")
+    whole_node = F.when((F.col("x") == 0) & (F.col("y") == 0), F.lit(0).cast("long")).otherwise(F.col("node"))
+    once = left.groupBy("node", "x", "y").agg(*marks).groupBy("x", "y", whole_node.alias("w"), "k", "f1", "f2").agg(F.min("node").alias("node")).where("k > 1").select("node", "x", "y")
+    # where a node has several block pairs, its first goes with the others
+    left = left.join(once, ["node", "x", "y"])
+    places = left.groupBy("c").agg(F.collect_list(F.struct("node", "x", "y", "own")).alias("places"), F.collect_set("node").alias("nodes"))
+    wanted = scratch.table(places.join(classes.select("c", "rep", "copies"), "c"), "wanted")
     # the whole sets of the classes that are left
-    nodes = left.groupBy("c").agg(F.collect_set("node").alias("nodes"))
-    wanted = scratch.table(nodes.join(classes.select("c", "rep", "copies"), "c"), "wanted")
     ids = wanted.select("rep")
     few = ids.count() <= FETCH_BROADCAST
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "rep", "left_semi")
-    grams = texts.mapInArrow(_gram_rows, "c binary, grams binary").dropDuplicates(["c"])
-    sets = scratch.table(wanted.join(grams, "c").drop("rep"), "sets")
-    found = scratch.table(_dealt(left.join(sets, "c")).mapInArrow(_verify, "c binary, partners long, documents long, root binary"), "links")
+    grams = texts.mapInArrow(textkit.lean(_gram_rows), "c binary, grams binary").dropDuplicates(["c"])
+    sets = wanted.drop("rep").join(grams, "c").select("c", "copies", "nodes", "grams", F.explode("places").alias("p")).select("c", "copies", "nodes", "grams", "p.*")
+    found = scratch.table(_dealt(sets).mapInArrow(textkit.lean(_verify), "c binary, partners long, documents long, root binary"), "links")
     counted = found.groupBy("c").agg(F.sum("partners").alias("partners"), F.sum("documents").alias("documents"))
     rep = classes.select(F.col("c"), F.col("rep"))
     ends = found.where(F.col("c") != F.col("root")).select("c", "root").distinct().join(rep, "c").select(F.col("rep").alias("a"), F.col("root").alias("c")).join(rep, "c").select("a", F.col("rep").alias("b"))

@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit
+
 TOKENS = 2048
 SEGMENTS = 256
 #: Examples that wait for a place at a time, in each task.
@@ -236,7 +238,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
 
         yield from _table(pack(examples(), tokens, segments, loss), TaskContext.get().partitionId() << 40, with_ids)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, FIELDS + ", ids array<long>" * with_ids)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(rows), FIELDS + ", ids array<long>" * with_ids)
 
 
 #: Turns of an example of pack_conversations(); a longer conversation is several examples.
@@ -261,7 +263,7 @@ def pack_conversations(turns: DataFrame, vocabulary: str, tokens: int = TOKENS,
 
         yield from _table(pack(examples(), tokens, segments, loss, split_rest=False), TaskContext.get().partitionId() << 40, part=True)
 
-    return whole.mapInArrow(rows, FIELDS + ", part long")
+    return whole.mapInArrow(textkit.lean(rows), FIELDS + ", part long")
 
 
 def default_vocabulary() -> str:

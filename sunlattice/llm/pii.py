@@ -280,7 +280,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 sums[i], spans[i], added[i] = hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), len(found) - len(base)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(counts[:, k]) for k in range(4)], pa.array(sums, pa.string()), pa.array(spans, pa.string()), pa.array(added)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(rows), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact_documents(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
@@ -307,7 +307,7 @@ def redact_documents(docs: DataFrame, text: str = "text", size: str | None = "n_
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(textkit.lean(rows), docs.schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

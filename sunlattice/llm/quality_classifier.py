@@ -70,7 +70,7 @@ def _rows(batches):
 
 def table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, x): the written table of statistics."""
-    made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_rows, "doc_id long, x array<float>")
+    made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(_rows), "doc_id long, x array<float>")
     return scratch.table(made, "quality-statistics")
 
 
@@ -96,7 +96,7 @@ def score(stats: DataFrame, model: gbdt.Trees) -> DataFrame:
             x = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(x))], ["doc_id", "score"])
 
-    return stats.mapInArrow(rows, "doc_id long, score double")
+    return stats.mapInArrow(textkit.lean(rows), "doc_id long, score double")
 
 
 def held_out(modulus: int, rest: int) -> Column:

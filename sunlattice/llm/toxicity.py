@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 over = np.append(0, np.cumsum(own.margin(found) >= np.log(threshold / (1 - threshold))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.chance(found)), pa.array(over[found.first[1:]] - over[found.first[:-1]])], ["doc_id", "score", "n_offending"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, score double, n_offending long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(rows), "doc_id long, score double, n_offending long")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
