@@ -375,13 +375,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: flo
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """docs with one row of each group: that of the least id; of rows with equal id and text one. Rows without an id or words stay."""
     found = scratch.table(groups(docs, key, text, recall).where(F.col("doc_id").isNotNull()).select("doc_id", "class_id"), "groups")
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
-    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
+    away = next(n for n in ("_gone", *(f"_gone_{i}" for i in range(len(docs.columns) + 1))) if n not in {c.lower() for c in docs.columns})
+    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(away)).distinct()
+    few = gone.count() <= FETCH_BROADCAST
+    left = docs.join(F.broadcast(gone) if few else gone, F.col(key).cast("long") == F.col(away), "left_anti")
+    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(away))
     if twice.isEmpty():
         return left
-    again = left.join(twice, F.col(key).cast("long") == F.col("_twice"), "left_semi").dropDuplicates([key, text])
-    return left.join(twice, F.col(key).cast("long") == F.col("_twice"), "left_anti").unionByName(again)
+    again = left.join(twice, F.col(key).cast("long") == F.col(away), "left_semi").dropDuplicates([key, text])
+    return left.join(twice, F.col(key).cast("long") == F.col(away), "left_anti").unionByName(again)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -68,7 +68,9 @@ def measure(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     # only a text with an equal pair of windows needs the sort
     step = step.select(*keep, F.expr("CASE WHEN size(array_distinct(win)) < size(win) THEN sort_array(transform(win, (a, i) -> struct(a AS h, i AS i))) END").alias("s"))
     step = step.select(*keep, F.expr("sort_array(transform(filter(s, (x, k) -> coalesce(x.h = get(s, k - 1).h, false) OR coalesce(x.h = get(s, k + 1).h, false)), x -> x.i))").alias("p"))
-    return step.select(*keep, F.expr("CASE WHEN p IS NULL THEN 0L ELSE aggregate(transform(p, (x, k) -> coalesce(least(5, get(p, k + 1) - x), 5)), 0L, (a, x) -> a + x) END").alias("n_repeat_words"))
+    repeats = F.expr("CASE WHEN p IS NULL THEN 0L ELSE aggregate(transform(p, (x, k) -> coalesce(least(5, get(p, k + 1) - x), 5)), 0L, (a, x) -> a + x) END").alias("n_repeat_words")
+    # a filter on the measurements would be moved to the scan with all of the above spelled out in it, over and over; one on what a generator makes stays above it
+    return step.select(F.inline(F.array(F.struct(*keep, repeats))))
 
 
 def ledger(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -98,9 +100,8 @@ def ablations(entries: DataFrame, policy: Policy) -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: Policy = POLICIES["v1"], text: str = "text") -> DataFrame:
     """The rows of docs that the policy keeps, with their columns."""
-    # a filter on `kept` would be moved to the scan with all measurements spelled out in it, over and over; one on what a generator makes stays above it
-    rows = apply(ledger(docs, text), policy).select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row")).where(F.col("row").isNotNull())
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    kept = apply(ledger(docs, text), policy).where("kept")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def locate(model: Model, text: str | None, threshold: float = 0.5) -> list[tuple
     """(first byte, end, chance) of the sentences of a text whose chance reaches the threshold; from its first word to its last."""
     found = sentences(pa.array([text], pa.string()))
     chance = 1 / (1 + np.exp(-model.margin(found)))
-    stops = np.append(found.start[1:], len(found.words.start))
+    stops = np.append(found.start, len(found.words.start))[1:]
     return [(int(found.words.start[a]), int(found.words.end[b - 1]), float(c)) for a, b, c in zip(found.start, stops, chance, strict=True) if c >= threshold]
 
 
