@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ngram_join, textkit
+from . import ngram_join, scratch, textkit
 
 THRESHOLD = 0.8
 HASHES = 64
@@ -184,6 +184,7 @@ def indexes(items: DataFrame, key: str = "item_id", text: str = "text", part_byt
 
 def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of every item that is in a document."""
+    scratch.small_batches(docs.sparkSession)
     out = None
     for index in indexes(items, item_key, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -208,6 +209,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows in which an item is; whole rows, nothing is shuffled."""
+    scratch.small_batches(docs.sparkSession)
     at = docs.columns.index(text)
     for index in indexes(items, item_key, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)

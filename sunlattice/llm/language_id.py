@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
+from . import scratch, textkit
 from .quality_classifier import held_out
 
 SAMPLE_BYTES = 6_000_000
@@ -170,6 +170,7 @@ def _has_letter(texts, lengths: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte): score is the language's share of the likelihood, the others' code lengths being the rest."""
+    scratch.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def rows(batches):

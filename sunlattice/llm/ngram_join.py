@@ -118,6 +118,7 @@ def sign(docs: DataFrame, n_runs: int, key: str = "doc_id", text: str = "text")
                 keys = pa.array([k if n else None for k, n in zip(keys.to_pylist(), size.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array(size), _binary(describe(minima(grams, first), n_runs))], ["doc_id", "c", "n", "sig"])
 
+    scratch.small_batches(docs.sparkSession)
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return scratch.table(whole.mapInArrow(textkit.lean(rows), "doc_id long, c binary, n long, sig binary"), "signatures")
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
+from . import scratch, textkit
 
 TOKENS = 2048
 SEGMENTS = 256
@@ -227,6 +227,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
     """The pieces of all documents: FIELDS, and ids (the piece's ids) if asked for. vocabulary: the tokenizer's file, in the same place on every machine.
     Every id bears loss. Each id of a document, and the one that ends it, lies in one piece; offsets have no gaps."""
 
+    scratch.small_batches(docs.sparkSession)
+
     def rows(batches):
         encode = encoder(vocabulary)
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import gbdt, textkit
+from . import gbdt, scratch, textkit
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 PRECISION = 0.99
@@ -264,6 +264,7 @@ def _suspect(texts) -> np.ndarray:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every text. The counts are of base spans."""
+    scratch.small_batches(docs.sparkSession)
     fitted = model()
 
     def rows(batches):
@@ -285,6 +286,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def redact_documents(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
     """docs with every span redacted; the column `size`, if there, is the new text's length. Other columns and null texts stay as they are."""
+    scratch.small_batches(docs.sparkSession)
     fitted, names = model(), docs.columns
     at, at_size = names.index(text), names.index(size) if size in names else None
 

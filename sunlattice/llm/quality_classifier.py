@@ -70,6 +70,7 @@ def _rows(batches):
 
 def table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, x): the written table of statistics."""
+    scratch.small_batches(docs.sparkSession)
     made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(_rows), "doc_id long, x array<float>")
     return scratch.table(made, "quality-statistics")
 

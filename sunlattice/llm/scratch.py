@@ -21,6 +21,18 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows and bytes of a batch between Spark and Python. A batch is held on both sides at once, and texts make rows large.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches to BATCH_ROWS and BATCH_BYTES, where they are higher."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/sunlattice/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
+from . import scratch, textkit
 from .quality_classifier import held_out, sampled
 
 #: The most labelled documents that the model is fitted on, and the most words that a fit takes (documents are taken by a hash until then).
@@ -156,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, n_offending): of every text, and how many of its sentences reach the threshold."""
+    scratch.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
 
     def rows(batches):
