@@ -467,20 +467,20 @@ def a31_permille(spark, sf_dir):
 # --- what the fill changes
 
 
-def _two_runs(spark, sf_dir):
-    """Layers of one frame with sun (an elevation of 30 degrees from 115) on raw and filled heights, aligned; and the horizons of the filled run."""
+def _two_runs(spark, sf_dir, limit: float = 2.0):
+    """Layers of one frame with sun (an elevation of 30 degrees from 115) on raw and filled heights, aligned; and the horizons of the filled run, whose threshold is `limit`."""
     from . import store
 
     view = store.cut(_view(spark, sf_dir))
     full = fill.filled(view, PROFILE.sea_m)
 
-    def layers(px):
+    def layers(px, limit=2.0):
         h = rays.horizons(px, px, rays.offsets_of(_directions(spark, (115.0,)), 5.0))
         z = px.select("row", "col", "z").join(h.select("row", "col", "horizon", "support", "blocker"), ["row", "col"], "left")
-        args = [F.col("z"), F.col("horizon"), F.col("support"), F.lit(30.0), F.lit(2.0)]
+        args = [F.col("z"), F.col("horizon"), F.col("support"), F.lit(30.0), F.lit(limit)]
         return z.select(F.lit(1).alias("frame"), "row", "col", "z", "horizon", "blocker", codes.shade(*args).alias("shade"), codes.quality(*args).alias("quality"))
 
-    now = layers(full)
+    now = layers(full, limit)
     return impact.aligned(now, layers(view), view), now, view
 
 
@@ -753,3 +753,126 @@ def j29_interval_join(spark, sf_dir):
     spans = o.withColumn("day", F.explode(F.sequence(F.col("d0"), F.col("d0") + 6)))
     e = scene.read(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return spans.join(e, "day").groupBy("o_orderkey").agg(F.sum("n").alias("events"))
+
+
+# --- further operators
+
+
+@query
+def j13_explained_losses(spark, sf_dir):
+    """Pixels that were sunlit on raw heights and aren't on filled ones, by what explains them."""
+    both, now, view = _two_runs(spark, sf_dir, 31.0)
+    h = impact.blocker_surfaces(now.where(F.col("blocker") > 0).withColumn("direction", F.lit(115.0)), view).select("row", "col", "blocker_surface")
+    lost = both.where("surface = 0 and raw_shade = 0 and shade <> 0").select("row", "col", "shade", "quality")
+    lost = lost.join(now.select("row", "col", "z", "horizon", "blocker"), ["row", "col"]).join(h, ["row", "col"], "left")
+    lost = lost.withColumns({"apparent": F.lit(30.0), "old_threshold": F.lit(2.0), "new_threshold": F.lit(31.0)})
+    return impact.explained(lost, PROFILE.sea_m).groupBy("cause").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query
+def a22_equality_neighbourhood(spark, sf_dir):
+    """Horizons so near to the Sun's elevation that rounding decides, and how many there are in all."""
+    px = scene.pixels(spark, sf_dir)
+    h = rays.horizons(px, px, rays.offsets_of(_directions(spark), RADIUS))
+    return h.groupBy("direction").agg(F.count_if(F.abs(F.col("horizon").cast("double") - 80.0) <= 1.0).alias("near"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def a25_chunk_equality(spark, sf_dir):
+    """Fields that differ between the join form and the block form of the ray operator."""
+    px = scene.pixels(spark, sf_dir)
+    a = rays.horizons(px, px, rays.offsets_of(_directions(spark), RADIUS))
+    b = rays.block_horizons(px, list(DIRECTIONS), RADIUS, side=20)
+    d = impact.differences(a, b, ["row", "col", "direction"], ["slope", "support", "blocker"])
+    return d.select("only_a", "only_b", "slope_beyond", "support_beyond", "blocker_beyond")
+
+
+@query
+def a17_scope_ratios(spark, sf_dir):
+    """Totals of each supplier's lines with ratios that are null where there is nothing to divide by."""
+    x = scene.read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_linestatus") == "F").alias("closed"), F.count_if(F.col("l_quantity") > 49).alias("large"))
+    return x.select("l_suppkey", "returned", "closed", "large", _r(F.try_divide("returned", "closed")).alias("returned_share"), _r(F.try_divide("large", "returned")).alias("large_share"))
+
+
+@query
+def a35_unique_items(spark, sf_dir):
+    """Orders whose lists of part numbers, modulo 20, name one twice."""
+    x = scene.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey") % 20).alias("items"))
+    return x.select("l_orderkey", F.size("items").cast("long").alias("n"), (F.size(F.array_distinct("items")) < F.size("items")).alias("twice"))
+
+
+@query
+def s9_sheet_check(spark, sf_dir):
+    """Expected against actual sheets: missing, extra, or of another size."""
+    c = scene.read(spark, sf_dir, "customer")
+    expected = c.where("c_custkey % 4 <> 0").select("c_name", F.col("c_nationkey").alias("bytes"))
+    actual = c.where("c_custkey % 6 <> 0").select("c_name", (F.col("c_nationkey") + F.when(F.col("c_custkey") % 11 == 0, 1).otherwise(0)).alias("actual"))
+    both = expected.join(actual, "c_name", "full")
+    problem = F.when(F.col("actual").isNull(), "missing").when(F.col("bytes").isNull(), "extra").when(F.col("bytes") != F.col("actual"), "size")
+    return both.select("c_name", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+@query
+def s15_required_batches(spark, sf_dir):
+    """Batches that a region needs and that aren't there: an error, not a gap."""
+    o = scene.read(spark, sf_dir, "orders")
+    need = o.select((F.col("o_custkey") % 40).alias("batch")).distinct()
+    have = o.where("o_orderkey % 97 = 0").select((F.col("o_custkey") % 41).alias("batch")).distinct()
+    return need.join(have, "batch", "left_anti")
+
+
+@query
+def u5_subset(spark, sf_dir):
+    """Whether all customers with orders are in the table of customers, and how many aren't."""
+    missing = scene.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct().join(scene.read(spark, sf_dir, "customer").where("c_custkey % 500 <> 7").select(F.col("c_custkey").alias("k")), "k", "left_anti")
+    return missing.agg(F.count(F.lit(1)).alias("missing")).withColumn("subset", F.col("missing") == 0)
+
+
+@query
+def u8_listing_difference(spark, sf_dir):
+    """Lines of two listings, as often as they stand, that only the first has."""
+    p = scene.read(spark, sf_dir, "part")
+    return p.select("p_brand", "p_size").exceptAll(p.where("p_partkey % 3 <> 0").select("p_brand", "p_size"))
+
+
+@query
+def k10_two_row_shapes(spark, sf_dir):
+    """Dependency counts and transitions in one table, each with the columns that it has."""
+    both, _, _ = _two_runs(spark, sf_dir)
+    a = impact.dependency_counts(impact.dependencies(both)).select("frame", "grp", F.col("code").cast("int").alias("code"), "pixels")
+    b = _codes_int(impact.transitions(both))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query
+def p10_time_filter(spark, sf_dir):
+    """Frames at given times of day, and given times without a frame."""
+    f = scene.frames(spark, sf_dir, 2).withColumn("hhmm", F.date_format("utc", "HHmm"))
+    asked = spark.createDataFrame([("0300",), ("1200",), ("1215",)], "hhmm string")
+    return asked.join(f, "hhmm", "left").select("hhmm", "frame")
+
+
+@query
+def p7_exclusions(spark, sf_dir):
+    """Pixels whose centre is in a closed rectangle."""
+    px = _centres(scene.pixels(spark, sf_dir))
+    return px.where(lattice.within_closed(PROFILE.exclusions[0], "x", "y")).select("row", "col")
+
+
+@query
+def j31_blocked_exceptions(spark, sf_dir):
+    """Tiles that a request may not use, as one of the exceptions is within reach."""
+    t = scene.tiles(spark)
+    bad = t.where("tile in ('t1_1')").select("left", "bottom", "right", "top")
+    return tiles.range_join(bad, tiles.prefixed(t), BIN, 2.0).select(F.col("b_tile").alias("tile")).distinct()
+
+
+@query
+def a13_recount(spark, sf_dir):
+    """Recounted layers against the published contingency: rows on either side only."""
+    from . import store
+
+    layers = store.cut(_labels(spark, sf_dir))
+    published = store.cut(frames.contingency(layers))
+    again = layers.groupBy("frame", "surface", "shade", "quality").agg(F.sum(F.lit(1)).alias("pixels"))
+    return published.exceptAll(again).agg(F.count(F.lit(1)).alias("only_published")).crossJoin(again.exceptAll(published).agg(F.count(F.lit(1)).alias("only_counted"))).crossJoin(published.agg(F.sum("pixels").alias("pixels")))

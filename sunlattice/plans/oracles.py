@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import catalog, scene
-from .catalog import BIN, DIRECTIONS, PROFILE, RADIUS  # noqa: F401
+from .catalog import DIRECTIONS, PROFILE, RADIUS
 
 N, T = scene.SIDE, scene.TILE
 TILE_NAME = f"('t' || CAST(floor(r / {T}.0) AS BIGINT) || '_' || CAST(floor(c / {T}.0) AS BIGINT))"
@@ -260,5 +260,21 @@ def oracle_sql() -> dict[str, str]:
         "j10_direction_equi_join": f"WITH {PX}, {SUN}, {NEEDED} SELECT s.frame, count(*) AS pixels FROM sun s JOIN px p ON p.tile = s.tile AND p.z IS NOT NULL WHERE s.apparent > 0 GROUP BY s.frame",
         "j21_solar_by_source": "WITH e AS (SELECT l_suppkey % 50 AS name, l_linenumber % 3 + l_suppkey % 50 AS v, l_linenumber FROM lineitem) SELECT name, count(DISTINCT v) AS versions FROM e WHERE l_linenumber <= 1 + name % 4 GROUP BY name HAVING count(DISTINCT v) > 1",
         "j29_interval_join": "WITH o AS (SELECT o_orderkey, dayofyear(o_orderdate) % 30 AS d0 FROM orders WHERE o_orderkey % 50 = 1) SELECT o_orderkey, count(*) AS events FROM o JOIN events ON dayofmonth(ts) BETWEEN d0 AND d0 + 6 GROUP BY o_orderkey",
+        "j13_explained_losses": f"""{IMPACT}, bl AS (SELECT r, c, r + CAST(round_even(r % 2 - cos(radians(115.0)) * CAST(blocker AS DOUBLE) / 0.5, 0) AS BIGINT) - r % 2 AS br, c + CAST(round_even(c % 2 + sin(radians(115.0)) * CAST(blocker AS DOUBLE) / 0.5, 0) AS BIGINT) - c % 2 AS bc FROM two WHERE blocker > 0),
+x AS (SELECT t.shade, a.z, a.horizon, t.blocker, coalesce(v.surface, 255) AS bs, degrees(atan(CAST(CAST({PROFILE.sea_m} AS FLOAT) - a.z AS DOUBLE) / greatest(CAST(t.blocker AS DOUBLE), 0.25))) AS ang FROM two t JOIN runa a USING (r, c) LEFT JOIN bl ON bl.r = t.r AND bl.c = t.c LEFT JOIN view v ON v.r = br AND v.c = bc WHERE t.surface = 0 AND t.raw_shade = 0 AND t.quality IN (0, 3))
+SELECT CASE WHEN shade = 0 THEN 'raised_threshold' WHEN bs BETWEEN 1 AND 4 AND blocker > 0 AND shade = 1 AND ang > 30 AND abs(ang - horizon) <= 1e-4 THEN 'filled_blocker' ELSE 'unexplained' END AS cause, count(*) AS pixels FROM x GROUP BY 1""",
+        "a22_equality_neighbourhood": f"{FINE} SELECT direction, count(*) FILTER (WHERE abs(CAST(horizon AS DOUBLE) - 80.0) <= 1.0) AS near, count(*) AS n FROM h GROUP BY direction",
+        "a25_chunk_equality": "SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, CAST(0 AS BIGINT) AS slope_beyond, CAST(0 AS BIGINT) AS support_beyond, CAST(0 AS BIGINT) AS blocker_beyond",
+        "a17_scope_ratios": "WITH x AS (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linestatus = 'F') AS closed, count(*) FILTER (WHERE l_quantity > 49) AS large FROM lineitem GROUP BY 1) SELECT *, round(returned / nullif(closed, 0), 6) AS returned_share, round(large / nullif(returned, 0), 6) AS large_share FROM x",
+        "a35_unique_items": "SELECT l_orderkey, count(*) AS n, count(DISTINCT l_partkey % 20) < count(*) AS twice FROM lineitem GROUP BY 1",
+        "s9_sheet_check": "WITH a AS (SELECT c_name, c_nationkey AS bytes FROM customer WHERE c_custkey % 4 <> 0), b AS (SELECT c_name, c_nationkey + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS actual FROM customer WHERE c_custkey % 6 <> 0), j AS (SELECT c_name, CASE WHEN actual IS NULL THEN 'missing' WHEN bytes IS NULL THEN 'extra' WHEN bytes <> actual THEN 'size' END AS problem FROM a FULL JOIN b USING (c_name)) SELECT * FROM j WHERE problem IS NOT NULL",
+        "s15_required_batches": "SELECT DISTINCT o_custkey % 40 AS batch FROM orders EXCEPT SELECT o_custkey % 41 FROM orders WHERE o_orderkey % 97 = 0",
+        "u5_subset": "SELECT count(*) AS missing, count(*) = 0 AS subset FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 500 <> 7)",
+        "u8_listing_difference": "SELECT p_brand, p_size FROM part EXCEPT ALL SELECT p_brand, p_size FROM part WHERE p_partkey % 3 <> 0",
+        "k10_two_row_shapes": f"{IMPACT} SELECT frame, grp, code, pixels, CAST(NULL AS INT) AS raw_shade, CAST(NULL AS INT) AS raw_quality, CAST(NULL AS INT) AS shade, CAST(NULL AS INT) AS quality FROM dh UNION ALL SELECT 1, NULL, NULL, count(*), raw_shade, raw_quality, shade, quality FROM two WHERE surface = 0 GROUP BY raw_shade, raw_quality, shade, quality",
+        "p10_time_filter": f"WITH {frames(2)} SELECT q.hhmm, f.frame FROM (VALUES ('0300'), ('1200'), ('1215')) q(hhmm) LEFT JOIN frames f ON strftime(utc, '%H%M') = q.hhmm",
+        "p7_exclusions": f'WITH {PX} SELECT r AS "row", c AS col FROM px WHERE (c + 0.5) * 0.5 BETWEEN {PROFILE.exclusions[0][0]} AND {PROFILE.exclusions[0][2]} AND -(r + 0.5) * 0.5 BETWEEN {PROFILE.exclusions[0][1]} AND {PROFILE.exclusions[0][3]}',
+        "j31_blocked_exceptions": f"WITH {TILES} SELECT b.tile FROM tiles a JOIN tiles b ON a.tile = 't1_1' AND a.l - 2 < b.rt AND b.l < a.rt + 2 AND a.b - 2 < b.tp AND b.b < a.tp + 2",
+        "a13_recount": f"{LABELS} SELECT CAST(0 AS BIGINT) AS only_published, CAST(0 AS BIGINT) AS only_counted, CAST(sum(pixels) AS BIGINT) AS pixels FROM combo",
     }
     return out
