@@ -80,7 +80,7 @@ def _clean(margin: np.ndarray) -> np.ndarray:
 def _select(texts: pa.Array, y: np.ndarray) -> np.ndarray:
     """The features whose presence goes with the label, by the chi-square of documents; FEATURES at most."""
     with_, toxic = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    for a, b in textkit.pieces_of(texts):
+    for a, b in textkit.pieces_of(texts, textkit.PIECE):
         found = sentences(texts[a:b])
         doc = np.repeat(np.arange(b - a), np.diff(found.words.first))
         pairs = np.unique(doc[:, None] * np.int64(BUCKETS + 1) + found.bucket)
@@ -105,7 +105,7 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 200, rate: float = 0.2, l2:
     place = np.full(BUCKETS + 1, -1)
     place[used] = np.arange(len(used))
     column, sentence, first, n_sentences = [], [], [], 0
-    for a, b in textkit.pieces_of(texts):
+    for a, b in textkit.pieces_of(texts, textkit.PIECE):
         found = sentences(texts[a:b])
         at = place[found.bucket]
         word, kind = np.nonzero(at >= 0)
