@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, lattice, solar
 from ..operators import fill, frames, impact, ordered, rays, tasks, tiles
-from . import scene
+from . import scene, store
 
 RADIUS = 10.0
 DIRECTIONS = (0.0, 45.0, 90.0, 215.0)
@@ -85,7 +85,8 @@ def _thresholds(spark, sf_dir):
 def _labels(spark, sf_dir, pixels=None):
     """(frame, tile, row, col, surface, shade, quality) of the whole scene."""
     px = scene.pixels(spark, sf_dir).join(F.broadcast(scene.tiles(spark).select("tile")), "tile") if pixels is None else pixels
-    sun = _sun_frames(spark, sf_dir)
+    # both are read several times: the heights as targets, samples, thresholds and labels, the Sun for the directions and the labels
+    px, sun = store.cut(px), store.cut(_sun_frames(spark, sf_dir))
     needed = frames.needed_directions(sun)
     targets = px.join(needed, "tile")
     offs = rays.offsets_of(needed, RADIUS)
@@ -469,8 +470,6 @@ def a31_permille(spark, sf_dir):
 
 def _two_runs(spark, sf_dir, limit: float = 2.0):
     """Layers of one frame with sun (an elevation of 30 degrees from 115) on raw and filled heights, aligned; and the horizons of the filled run, whose threshold is `limit`."""
-    from . import store
-
     view = store.cut(_view(spark, sf_dir))
     full = fill.filled(view, PROFILE.sea_m)
 
@@ -870,8 +869,6 @@ def j31_blocked_exceptions(spark, sf_dir):
 @query
 def a13_recount(spark, sf_dir):
     """Recounted layers against the published contingency: rows on either side only."""
-    from . import store
-
     layers = store.cut(_labels(spark, sf_dir))
     published = store.cut(frames.contingency(layers))
     again = layers.groupBy("frame", "surface", "shade", "quality").agg(F.sum(F.lit(1)).alias("pixels"))
