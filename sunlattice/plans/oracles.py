@@ -191,10 +191,10 @@ def oracle_sql() -> dict[str, str]:
         "j2_buffered_dependencies": f"WITH {TILES}, {NEAR} SELECT tile, o AS b_tile FROM near",
         "j3_overlap_pairs": f"WITH {SHIFTED} SELECT a.tile, b.tile AS b_tile FROM sh a JOIN sh b ON a.tile < b.tile AND {touch}",
         "j5_halo_semi": f"WITH {TILES} SELECT tile FROM tiles b WHERE EXISTS (SELECT 1 FROM tiles a WHERE a.tile IN ('t0_0', 't2_3') AND a.l - 1 < b.rt AND b.l < a.rt + 1 AND a.b - 1 < b.tp AND b.b < a.tp + 1)",
-        "j4_seam_pairs": f"WITH {TILES} SELECT a.tile, b.tile AS b_tile, true AS vertical, greatest(a.b, b.b) AS low, least(a.tp, b.tp) AS high FROM tiles a JOIN tiles b ON a.rt = b.l AND least(a.tp, b.tp) > greatest(a.b, b.b) UNION ALL SELECT a.tile, b.tile, false, greatest(a.l, b.l), least(a.rt, b.rt) FROM tiles a JOIN tiles b ON a.b = b.tp AND least(a.rt, b.rt) > greatest(a.l, b.l)",
+        "j4_seam_pairs": f"WITH {TILES} SELECT a.tile, b.tile AS b_tile, true AS vertical, CAST(greatest(a.b, b.b) AS DOUBLE) AS low, CAST(least(a.tp, b.tp) AS DOUBLE) AS high FROM tiles a JOIN tiles b ON a.rt = b.l AND least(a.tp, b.tp) > greatest(a.b, b.b) UNION ALL SELECT a.tile, b.tile, false, CAST(greatest(a.l, b.l) AS DOUBLE), CAST(least(a.rt, b.rt) AS DOUBLE) FROM tiles a JOIN tiles b ON a.b = b.tp AND least(a.rt, b.rt) > greatest(a.l, b.l)",
         "a4_seam_statistics": f"WITH {DIFF} SELECT vertical, count(*) AS n, round(avg(CAST(diff AS DOUBLE)), 6) AS mean, max(CAST(diff AS DOUBLE)) AS largest FROM df GROUP BY vertical",
         "a4_seam_histogram": f"WITH {DIFF} SELECT bin, n FROM bins",
-        "w5_histogram_quantile": f"WITH {DIFF}, cum AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS cu, sum(n) OVER () AS tot FROM bins) SELECT q, min(bin) * 0.25 AS quantile FROM cum, (VALUES (0.5), (0.95)) v(q) WHERE cu >= tot * q GROUP BY q",
+        "w5_histogram_quantile": f"WITH {DIFF}, cum AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS cu, sum(n) OVER () AS tot FROM bins) SELECT CAST(q AS DOUBLE) AS q, CAST(min(bin) * 0.25 AS DOUBLE) AS quantile FROM cum, (VALUES (0.5), (0.95)) v(q) WHERE cu >= tot * q GROUP BY q",
         "a3_region_stats": f"WITH {PX} SELECT count(z) AS valid, CAST(1200 AS BIGINT) AS total, round(count(z) / 1200.0, 6) AS coverage, CAST(min(z) AS DOUBLE) AS lowest, CAST(max(z) AS DOUBLE) AS highest FROM px WHERE r BETWEEN 5 AND 34 AND c BETWEEN 10 AND 49",
         "s13_lattice_window": f'WITH {PX}, w AS (SELECT i // 20 - 2 AS r, i % 20 + 50 AS c FROM range(400) t(i)) SELECT w.r AS "row", w.c AS col, coalesce(CAST(p.z AS DOUBLE), -9999.0) AS z FROM w LEFT JOIN (SELECT * FROM px WHERE (r * 3 + c) % 7 <> 0) p USING (r, c)',
         "s14_mosaic": f'WITH {PX}, u AS (SELECT r, c, CAST(z AS DOUBLE) AS z FROM px WHERE c < 40 UNION ALL SELECT r, c, CAST(CASE WHEN r % 9 = 0 AND c = 33 THEN z + 1 ELSE z END AS DOUBLE) FROM px WHERE c >= 30) SELECT r AS "row", c AS col, min(z) AS z, (min(z) IS DISTINCT FROM max(z)) OR (count(z) > 0 AND count(z) < count(*)) AS conflict FROM u GROUP BY r, c',
