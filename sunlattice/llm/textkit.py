@@ -129,7 +129,7 @@ def shingles(words: Words, n: int = SHINGLE, short: bool = True) -> tuple[np.nda
         return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
     with np.errstate(over="ignore"):
         x = h.copy()
-        for k in range(1, n):
+        for k in range(1, min(n, len(h))):
             x[: len(h) - k] = x[: len(h) - k] * np.uint64(0x9FB21C651E98DF25) + h[k:]
     keep = np.ones(len(h), bool)
     # the last n-1 words of a text begin no shingle
