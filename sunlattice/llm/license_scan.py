@@ -1,10 +1,13 @@
 """License notices: an exact set-similarity join of text blocks with notice templates, in DataFrame functions only.
 
-A block is a line. Words are runs of characters other than ASCII punctuation, space and control characters, in lower case.
+A block is a line, or any run of words at most SPAN times as long as the template, whatever lines it goes over: notices are often wrapped. Words
+are runs of characters other than ASCII punctuation, space and control characters, in lower case.
 A template is met by a block that holds at least THRESHOLD of the template's distinct words, or all of them where they are fewer than
 SHORT: in so short a notice a single other word makes it another one. The join is exact:
 tokens are ordered by their frequency over all blocks, rarest first; a template's prefix is so many of its rarest tokens that
 a block without any of them can't reach the threshold; length and position bounds drop further pairs; the rest is counted.
+Runs are looked for in overlapping windows that hold each of them whole; a window without any of the longest words that a
+template can't be met without is dropped as it is read.
 
 Null texts have no blocks; repeated rows are scanned each on its own; an empty table gives empty results.
 """
@@ -21,6 +24,8 @@ from . import scratch
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
 SHORT = 10
+#: A run of words over lines is at most so many times as long as its template.
+SPAN = 2
 #: The most distinct words that all templates may have together; a set of more is scanned in several calls.
 MOST_TOKENS = 4096
 
@@ -62,18 +67,45 @@ def _overlap(text: str, threshold: float = THRESHOLD) -> int:
     return n if n < SHORT else math.ceil(threshold * n - 1e-9)
 
 
+def _needed(templates, threshold: float) -> list[str]:
+    """Words of which a block that meets any template has at least one: so many of each template's longest that the others are too few."""
+    out = set()
+    for _, text in templates:
+        words = sorted(set(text.split()), key=lambda w: (-len(w), w))
+        out.update(words[: len(words) - _overlap(text, threshold) + 1])
+    return sorted(out)
+
+
+def windows(docs: DataFrame, key: str, text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, block, tokens, run) of texts of several lines: the numbers of the template words in overlapping windows, and the same in order with their
+    places. Every run of SPAN times the longest template's words is whole in a window. Blocks are below 0, apart from those of lines."""
+    vocabulary = _vocabulary(templates)
+    number = F.map_from_arrays(F.array(*map(F.lit, vocabulary)), F.array(*[F.lit(i) for i in range(len(vocabulary))]))
+    known, needed = F.array(*map(F.lit, vocabulary)), F.array(*map(F.lit, _needed(templates, threshold)))
+    step = SPAN * max(len(text.split()) for _, text in templates)
+    # the words come out of a generator, so that they are split once
+    several = docs.where(F.contains(F.col(text), F.lit("\n"))).select(F.col(key).alias("key"), F.explode(F.array(_words(F.col(text)))).alias("w")).where(F.size("w") > 0)
+    cut = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)), lambda s: F.struct((-1 - s).alias("block"), F.slice("w", s + 1, 2 * step).alias("w")))
+    some = several.select("key", F.explode(F.filter(cut, lambda x: F.arrays_overlap(x["w"], needed))).alias("x")).select("key", "x.block", "x.w")
+    run = F.transform("w", lambda w, i: F.struct(i.alias("p"), F.when(F.array_contains(known, w), F.element_at(number, w)).alias("t")))
+    run = some.select("key", "block", F.explode(F.array(F.filter(run, lambda x: x["t"].isNotNull()))).alias("run"))
+    return run.select("key", "block", F.array_distinct(F.col("run.t")).alias("tokens"), "run")
+
+
 def blocks(docs: DataFrame, key: str, text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, block, tokens): the template words of every block, as numbers; blocks too short for any template are left out (the length filter)."""
+    """(key, block, tokens, run): the template words of every line, as numbers, and of every one of windows(); run is null for lines. Blocks too short for any template are left out (the length filter)."""
     vocabulary = _vocabulary(templates)
     number = F.map_from_arrays(F.array(*map(F.lit, vocabulary)), F.array(*[F.lit(i) for i in range(len(vocabulary))]))
     least = min(_overlap(text, threshold) for _, text in templates)
     lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("block", "line"))
     known = F.array_intersect(_words(F.col("line")), F.array(*map(F.lit, vocabulary)))
-    return lines.select("key", "block", known.alias("w")).where(F.size("w") >= least).select("key", "block", F.transform("w", lambda w: F.element_at(number, w)).alias("tokens"))
+    over = windows(docs, key, text, templates, threshold).where(F.size("tokens") >= least)
+    found = lines.select("key", "block", known.alias("w")).where(F.size("w") >= least).select("key", "block", F.transform("w", lambda w: F.element_at(number, w)).alias("tokens"))
+    return found.select("*", F.lit(None).cast(over.schema["run"].dataType).alias("run")).unionByName(over)
 
 
 def join(found: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, block, template, label, containment) of every block of blocks() that meets a template. found should be a written table: it is read twice."""
+    """(key, block, template, label, containment) of every block of blocks() that meets a template, of a window its best run. found should be a written table: it is read twice."""
     spark: SparkSession = found.sparkSession
     vocabulary = _vocabulary(templates)
     number = {w: i for i, w in enumerate(vocabulary)}
@@ -84,20 +116,28 @@ def join(found: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     for k, (label, text) in enumerate(templates):
         tokens = sorted(order[number[w]] for w in set(text.split()))
         need = _overlap(text, threshold)
-        rows += [(k, label, tokens, need, t, p) for p, t in enumerate(tokens[: len(tokens) - need + 1])]
-    prefix = spark.createDataFrame(rows, "template int, label string, want array<int>, need int, t int, p int")
-    rare = F.array(*[F.lit(t) for t in sorted({row[4] for row in rows})])
+        span = SPAN * len(text.split())
+        rows += [(k, label, tokens, need, span, t, p) for p, t in enumerate(tokens[: len(tokens) - need + 1])]
+    prefix = spark.createDataFrame(rows, "template int, label string, want array<int>, need int, span int, t int, p int")
+    rare = F.array(*[F.lit(t) for t in sorted({row[5] for row in rows})])
     rank = F.array(*[F.lit(order[t]) for t in range(len(vocabulary))])
-    ranked = found.select("key", "block", F.sort_array(F.transform("tokens", lambda t: F.get(rank, t))).alias("have"))
+    ranked = found.select("key", "block", "run", F.sort_array(F.transform("tokens", lambda t: F.get(rank, t))).alias("have"))
     # only prefix tokens are looked up, in a table of at most templates x MOST_TOKENS rows
-    some = ranked.where(F.arrays_overlap("have", rare)).select("key", "block", "have", F.posexplode("have").alias("q", "t"))
+    some = ranked.where(F.arrays_overlap("have", rare)).select("key", "block", "run", "have", F.posexplode("have").alias("q", "t"))
     hits = some.join(F.broadcast(prefix), "t")
     # both sides are in the same order: after this token, no more than the rest of either can be shared
     hits = hits.where((F.size("have") >= F.col("need")) & (F.col("p") + F.least(F.size("want") - F.col("p"), F.size("have") - F.col("q")) >= F.col("need")))
     shared = F.size(F.array_intersect("have", "want"))
     # a pair that shares several prefix tokens is counted at the first of them
     first = F.element_at(F.array_intersect("want", "have"), 1) == F.col("t")
-    return hits.where(first & (shared >= F.col("need"))).select("key", "block", "template", "label", (shared / F.size("want")).alias("containment"))
+    met = hits.where(first & (shared >= F.col("need"))).select("key", "block", "template", "label", "want", "need", "span", "run", shared.alias("shared"))
+    # of a window, the run of span words with the most of the template
+    own = F.filter(F.transform("run", lambda x: F.struct(x["p"].alias("p"), F.get(rank, x["t"]).alias("t"))), lambda x: F.array_contains("want", x["t"]))
+    met = met.withColumn("own", own)
+    inside = lambda a: F.filter("own", lambda b: (b["p"] >= a["p"]) & (b["p"] < a["p"] + F.col("span")))
+    most = F.array_max(F.transform("own", lambda a: F.size(F.array_distinct(F.transform(inside(a), lambda b: b["t"])))))
+    met = met.withColumn("shared", F.when(F.col("run").isNull(), F.col("shared")).otherwise(most))
+    return met.where(F.col("shared") >= F.col("need")).select("key", "block", "template", "label", (F.col("shared") / F.size("want")).alias("containment"))
 
 
 def phrases(docs: DataFrame, key: str, text: str) -> DataFrame:

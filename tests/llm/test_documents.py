@@ -265,6 +265,38 @@ def test_licenses_are_brute_force(spark):
     assert license_scan.scan(docs(spark, []).limit(0)).count() == 0
 
 
+def wrapped_brute(text, templates=license_scan.TEMPLATES):
+    """Labels and best containment of every line and of every run of words of at most twice a template's length."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w, best, labels = word.findall(text.lower()), 0.0, set()
+    for label, template in templates:
+        want, span = set(template.split()), 2 * len(template.split())
+        need = len(want) if len(want) < license_scan.SHORT else 0.8 * len(want)
+        for have in [*(w[i : i + span] for i in range(len(w))), *(word.findall(line.lower()) for line in text.split("\n"))]:
+            if (n := len(want & set(have))) >= need - 1e-9:
+                labels.add(label)
+                best = max(best, n / len(want))
+    return labels, best
+
+
+def test_wrapped_licenses_are_met(spark):
+    rows = []
+    for width in (1, 3, 7, 10):
+        for _, template in license_scan.TEMPLATES:
+            w = template.split()
+            lines = [" ".join(w[i : i + width]) for i in range(0, len(w), width)]
+            rows += ["\n".join(lines), "some prose\n" * (7 * len(rows)) + "\n".join(f" * {x}" for x in lines) + "\nmore of it" * 50]
+    # too far apart, and one word short
+    rows += ["released\n" + "x " * 20 + "under the mit license", "released under\nthe license", "licensed under\nthe gnu general public\n" + "x " * 7 + "license", "licensed under\nthe gnu general public\n" + "x " * 8 + "license"]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, rows)).collect()}
+    for i, text in rows:
+        labels, best = wrapped_brute(text)
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert got[i]["labels"] == ",".join(sorted(labels | base)) and got[i]["score"] == (1.0 if base else best), text
+    assert all(got[2 * k]["labels"] for k in range(4 * len(license_scan.TEMPLATES)))
+
+
 def test_license_overlaps():
     assert license_scan._overlap("a b c") == 3 and license_scan._overlap(" ".join("abcdefghij")) == 8
 
