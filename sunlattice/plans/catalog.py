@@ -175,8 +175,8 @@ def a24_horizon_differences(spark, sf_dir):
 
 @query
 def f8_classify(spark, sf_dir):
-    first = _sun_frames(spark, sf_dir).where("apparent > 0").agg(F.min("frame").alias("frame"))
-    return _codes_int(_labels(spark, sf_dir).join(F.broadcast(first), "frame").select("tile", "row", "col", "shade", "quality"))
+    """Every pixel in every frame."""
+    return _codes_int(_labels(spark, sf_dir).select("frame", "tile", "row", "col", "shade", "quality"))
 
 
 @query
@@ -551,7 +551,7 @@ def w9_core_numbering(spark, sf_dir):
 
 @query
 def w11_neighbour_frames(spark, sf_dir):
-    return ordered.steps(scene.frames(spark, sf_dir, 3).withColumn("day", F.to_date("utc")), ["day"], "frame").select("frame", "previous", "following")
+    return ordered.steps(scene.frames(spark, sf_dir).withColumn("day", F.to_date("utc")), ["day"], "frame").select("frame", "previous", "following")
 
 
 @query
@@ -693,7 +693,7 @@ def f16_addresses(spark, sf_dir):
 @query
 def f17_names(spark, sf_dir):
     t = scene.tiles(spark)
-    f = scene.frames(spark, sf_dir, 2)
+    f = scene.frames(spark, sf_dir)
     return f.select("frame", F.date_format("utc", "yyyyMMdd").alias("day"), F.date_format("utc", "HHmm").alias("hhmm")).crossJoin(t.select(lattice.cell_name("left", "bottom").alias("cell")))
 
 
@@ -846,7 +846,7 @@ def k10_two_row_shapes(spark, sf_dir):
 @query
 def p10_time_filter(spark, sf_dir):
     """Frames at given times of day, and given times without a frame."""
-    f = scene.frames(spark, sf_dir, 2).withColumn("hhmm", F.date_format("utc", "HHmm"))
+    f = scene.frames(spark, sf_dir).withColumn("hhmm", F.date_format("utc", "HHmm"))
     asked = spark.createDataFrame([("0300",), ("1200",), ("1215",)], "hhmm string")
     return asked.join(f, "hhmm", "left").select("hhmm", "frame")
 

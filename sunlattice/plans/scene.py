@@ -45,11 +45,11 @@ def tiles(spark: SparkSession) -> DataFrame:
     )
 
 
-def frames(spark: SparkSession, sf_dir: str, days: int = 1) -> DataFrame:
-    """(frame, utc): the distinct hours of the first days of events, numbered in order."""
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame, utc): the distinct hours of all events, numbered in order."""
     from pyspark.sql import Window
 
-    hours = read(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("utc")).where(F.col("utc") < F.expr(f"timestamp_ntz'2024-01-0{days + 1} 00:00:00'")).distinct()
+    hours = read(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("utc")).where("utc is not null").distinct()
     return hours.withColumn("frame", F.row_number().over(Window.orderBy("utc")).cast("int"))
 
 
