@@ -73,3 +73,11 @@ def test_every_frame_is_labelled(spark, tables):
     assert sorted(tuple(r) for r in found.select("frame", "tile", "row", "col", "shade", "quality").collect()) == sorted(want)
     counted = {(r["frame"], r["shade"], r["quality"]): r["pixels"] for r in catalog.a6_contingency(spark, to).groupBy("frame", "shade", "quality").sum("pixels").withColumnRenamed("sum(pixels)", "pixels").collect()}
     assert counted == {k: sum((f, s, q) == k for f, _, _, _, s, q in want) for k in counted} and sum(counted.values()) == len(want)
+
+
+def test_every_order_is_joined(spark, tables, tmp_path):
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(days=7 * i) for i in range(30)]
+    spark.read.parquet(f"{tables[0]}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(list(enumerate(days)), "o_orderkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {k: sum(2 for h in HOURS if 0 <= h.day - d.timetuple().tm_yday % 30 <= 6) for k, d in enumerate(days)}
+    assert {r["o_orderkey"]: r["events"] for r in catalog.j29_interval_join(spark, str(tmp_path)).collect()} == {k: n for k, n in want.items() if n}
