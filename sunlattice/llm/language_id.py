@@ -2,7 +2,7 @@
 
 A byte's cost under a language is its exact code length in bits: the longest context that the language has seen predicts it, or
 escapes (method C: distinct followers / (followers + distinct followers)) to the next shorter one, down to a flat order over SYMBOLS. A text goes to
-the language with the least total; the statistics are frozen after training. Small and capital ASCII letters count alike, digits count as
+the language with the least total, whatever number of languages there is; the statistics are frozen after training. Small and capital ASCII letters count alike, digits count as
 one symbol, spaces and line ends as another, other ASCII as a third. The trees of all languages are laid out as one array, so scoring a batch
 is two look-ups a byte.
 
@@ -13,7 +13,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ ORDER = 3
 #: A context that a language has seen less often predicts nothing of its own; the bound on contexts for each language.
 LEAST = 8
 MOST_CONTEXTS = 6_000
-MOST_LANGUAGES = 64
+#: Trees of so many languages are in memory at once; texts are scored against the others in further passes.
+AT_ONCE = 8
 
 # symbols: 0 space (also before a text), 1 digit, 2 other ASCII, 3 to 28 letters, 29 to 156 bytes of 0x80 and more
 SYMBOLS = 157
@@ -80,11 +81,12 @@ def _counts(batches):
 
 @dataclass
 class Trees:
-    """node: context of ORDER symbols -> row; bits: (row, symbol, language) code lengths."""
+    """node: context of ORDER symbols -> row; bits: (row, symbol, language) code lengths. more: what grow() takes for each further part of the languages."""
 
     languages: list[str]
     node: np.ndarray
     bits: np.ndarray
+    more: tuple[tuple, ...] = ()
 
 
 def grow(languages: list[str], codes: list[np.ndarray], counts: list[np.ndarray]) -> Trees:
@@ -145,18 +147,23 @@ def code_lengths(trees: Trees, texts) -> np.ndarray:
 
 
 def train(docs: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Trees:
-    """Trees of the languages of rows for which `allowed` (of doc_id) holds."""
+    """Trees of all languages of rows for which `allowed` (of doc_id) holds."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     if not sizes:
         return Trees([], np.zeros(SYMBOLS**ORDER, np.int32), np.zeros((1, SYMBOLS, 0), np.float32))
     whole = 1 << 30
-    share = F.map_from_arrays(F.array(*map(F.lit, sizes)), F.array(*[F.lit(min(whole, int(whole * sample_bytes / max(n, 1)))) for n in sizes.values()]))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(whole)) < F.element_at(share, F.col("lang"))) if max(sizes.values()) > sample_bytes else rows.where(F.col("lang").isin(list(sizes)))
+    large = {k: n for k, n in sizes.items() if n > sample_bytes}
+    chosen = rows
+    if large:
+        share = F.map_from_arrays(F.array(*map(F.lit, large)), F.array(*[F.lit(int(whole * sample_bytes / n)) for n in large.values()]))
+        chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(whole)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(whole)))
     counts = chosen.select("lang", "text").mapInArrow(textkit.lean(_counts), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     names, code, n = np.array(counts["lang"].to_pylist(), object), np.asarray(counts["code"]), np.asarray(counts["n"])
     languages = sorted(set(names.tolist()))
-    return grow(languages, [code[names == x] for x in languages], [n[names == x] for x in languages])
+    parts = [languages[i : i + AT_ONCE] for i in range(0, len(languages), AT_ONCE)]
+    first, *more = [(part, [code[names == x] for x in part], [n[names == x] for x in part]) for part in parts]
+    return replace(grow(*first), more=tuple(more))
 
 
 def _has_letter(texts, lengths: np.ndarray) -> np.ndarray:
@@ -169,8 +176,18 @@ def _has_letter(texts, lengths: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, bits_per_byte): score is the language's share of the likelihood, the others' code lengths being the rest."""
+    """(doc_id, lang_pred, score, bits_per_byte): score is the language's share of the likelihood, the others' code lengths being the rest.
+    Each part of the languages is a pass that keeps the best language so far, its bits and the sum of all likelihoods over its own."""
     scratch.small_batches(docs.sparkSession)
+    found = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    for k in range(len(trees.more) + 1):
+        found = _pass(found, replace(trees, more=()) if k == 0 else grow(*trees.more[k - 1]), k == 0, k == len(trees.more))
+        if k < len(trees.more):
+            found = scratch.table(found, "languages")
+    return found
+
+
+def _pass(docs: DataFrame, trees: Trees, first: bool, last: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def rows(batches):
@@ -178,22 +195,32 @@ def predict(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "tex
         names = np.array([*own.languages, "und"], object)
         for batch in batches:
             for a, b in textkit.pieces_of(batch.column(1)):
-                texts = batch.column(1).slice(a, b - a)
-                sizes = np.diff(textkit.utf8(texts)[1])
-                known = _has_letter(texts, sizes) & bool(own.languages)
+                part = batch.slice(a, b - a)
+                texts = part.column(1)
                 if own.languages:
                     bits = code_lengths(own, texts)
                     best = bits.argmin(axis=1)
                     least = bits[np.arange(len(bits)), best]
-                    score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+                    total = np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+                else:
+                    best, least, total = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.ones(len(texts))
+                name = names[best]
+                if not first:
+                    before, sum_before = part.column(3).to_numpy(), part.column(4).to_numpy()
+                    low = np.minimum(least, before)
+                    total = total * np.exp2(np.maximum(low - least, -1000)) + sum_before * np.exp2(np.maximum(low - before, -1000))
+                    name, least = np.where(least < before, name, np.array(part.column(2).to_pylist(), object)), low
+                if last:
+                    sizes = np.diff(textkit.utf8(texts)[1])
+                    known = _has_letter(texts, sizes) & bool(own.languages)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(np.where(known, name, "und").tolist(), pa.string()), pa.array(np.where(known, 1 / total, 0.0)), pa.array(np.where(known, least / np.maximum(sizes, 1), 0.0))],
+                        ["doc_id", "lang_pred", "score", "bits_per_byte"],
+                    )
                 else:
-                    best = least = score = np.zeros(len(sizes), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(names[np.where(known, best, len(own.languages))].tolist(), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, least / np.maximum(sizes, 1), 0.0))],
-                    ["doc_id", "lang_pred", "score", "bits_per_byte"],
-                )
+                    yield pa.RecordBatch.from_arrays([part.column(0), texts, pa.array(name.tolist(), pa.string()), pa.array(least), pa.array(total)], ["doc_id", "text", "name", "least", "total"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(rows), "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return docs.mapInArrow(textkit.lean(rows), "doc_id long, lang_pred string, score double, bits_per_byte double" if last else "doc_id long, text string, name string, least double, total double")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -166,3 +166,19 @@ def test_language_odd_rows(spark, monkeypatch):
     whole = language_id.code_lengths(trees, big)
     monkeypatch.setattr(language_id.textkit, "PIECE", 777)
     assert np.allclose(whole, language_id.code_lengths(trees, big))
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    # 70 languages, each with a letter that no other has
+    letter = [chr(0x4E00 + 67 * k) for k in range(70)]
+    rows = [(i, f"{letter[i % 70]}{letter[i % 70]} und " * (40 + i % 70), f"l{i % 70:02}", "s", 0) for i in range(140)]
+    d = spark.createDataFrame([*rows, (140, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in language_id.predict(d, language_id.train(d, F.col("doc_id") < 70)).collect()}
+    assert all(got[r[0]].lang_pred == r[2] for r in rows) and got[140].lang_pred == "und" and len(got) == 141
+    # passes give what one array of all gives
+    few = d.where("doc_id % 70 < 5")
+    monkeypatch.setattr(language_id, "AT_ONCE", 70)
+    once = sorted(map(tuple, language_id.predict(few, language_id.train(few, F.lit(True))).collect()))
+    monkeypatch.setattr(language_id, "AT_ONCE", 2)
+    parts = sorted(map(tuple, language_id.predict(few, language_id.train(few, F.lit(True))).collect()))
+    assert [r[:2] for r in once] == [r[:2] for r in parts] and np.allclose([r[2:] for r in once], [r[2:] for r in parts])
