@@ -6,7 +6,8 @@ the language with the least total, whatever number of languages there is; the st
 one symbol, spaces and line ends as another, other ASCII as a third. The trees of all languages are laid out as one array, so scoring a batch
 is two look-ups a byte.
 
-Trained on a bounded sample: about SAMPLE_BYTES bytes of each language, whole documents taken by a hash of the id. Null texts and texts without a
+Trained on a bounded sample: about SAMPLE_BYTES bytes of each language, whole documents taken by a hash of the id and
+text, one at least. Null texts and texts without a
 letter are `und` with score 0; null languages teach nothing; without any labelled row everything is `und`; repeated rows score alike; an empty table
 gives an empty result.
 """
@@ -149,15 +150,17 @@ def code_lengths(trees: Trees, texts) -> np.ndarray:
 def train(docs: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Trees:
     """Trees of all languages of rows for which `allowed` (of doc_id) holds."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    whole = 1 << 30
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(whole))
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min(place).alias("least")).collect()}
     if not sizes:
         return Trees([], np.zeros(SYMBOLS**ORDER, np.int32), np.zeros((1, SYMBOLS, 0), np.float32))
-    whole = 1 << 30
-    large = {k: n for k, n in sizes.items() if n > sample_bytes}
+    # the document of the least hash is always taken: a language of few long documents has one
+    large = {k: max(int(whole * sample_bytes / n), least + 1) for k, (n, least) in sizes.items() if n > sample_bytes}
     chosen = rows
     if large:
-        share = F.map_from_arrays(F.array(*map(F.lit, large)), F.array(*[F.lit(int(whole * sample_bytes / n)) for n in large.values()]))
-        chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(whole)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(whole)))
+        share = F.map_from_arrays(F.array(*map(F.lit, large)), F.array(*map(F.lit, large.values())))
+        chosen = rows.where(place < F.coalesce(F.element_at(share, F.col("lang")), F.lit(whole)))
     counts = chosen.select("lang", "text").mapInArrow(textkit.lean(_counts), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     names, code, n = np.array(counts["lang"].to_pylist(), object), np.asarray(counts["code"]), np.asarray(counts["n"])
     languages = sorted(set(names.tolist()))

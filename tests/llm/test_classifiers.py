@@ -182,3 +182,8 @@ def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(language_id, "AT_ONCE", 2)
     parts = sorted(map(tuple, language_id.predict(few, language_id.train(few, F.lit(True))).collect()))
     assert [r[:2] for r in once] == [r[:2] for r in parts] and np.allclose([r[2:] for r in once], [r[2:] for r in parts])
+
+
+def test_languages_of_few_long_documents_are_learned(spark):
+    d = spark.createDataFrame([(i, f"wort{i % 2} " * 3000, "ab"[i % 2], "s", 0) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert language_id.train(d, F.lit(True), sample_bytes=10).languages == ["a", "b"]
