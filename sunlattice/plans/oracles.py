@@ -20,8 +20,7 @@ TILES = (
 )
 
 
-def frames(days: int = 1) -> str:
-    return f"frames AS MATERIALIZED (SELECT utc, CAST(row_number() OVER (ORDER BY utc) AS INT) AS frame FROM (SELECT DISTINCT date_trunc('hour', ts) AS utc FROM events WHERE date_trunc('hour', ts) < TIMESTAMP '2024-01-0{days + 1} 00:00:00'))"
+FRAMES = "frames AS MATERIALIZED (SELECT utc, CAST(row_number() OVER (ORDER BY utc) AS INT) AS frame FROM (SELECT DISTINCT date_trunc('hour', ts) AS utc FROM events WHERE ts IS NOT NULL))"
 
 
 def sun(name: str, source: str, keep: str, utc: str, lat: str, lon: str) -> str:
@@ -43,7 +42,7 @@ def sun(name: str, source: str, keep: str, utc: str, lat: str, lon: str) -> str:
 
 EVENT_SUN = sun("s", "events", "event_id, ts", "ts", str(scene.LATITUDE), str(scene.LONGITUDE))
 BIN5 = "(floor((azimuth + 2.5) / 5.0) * 5.0) % 360"
-SUN = TILES + ", " + frames() + ", tf AS (SELECT * FROM frames CROSS JOIN tiles), " + sun("ss", "tf", "frame, utc, tile", "utc", "latitude", "longitude") + f", sun AS MATERIALIZED (SELECT frame, utc, tile, apparent, {BIN5} AS direction FROM ss)"
+SUN = TILES + ", " + FRAMES + ", tf AS (SELECT * FROM frames CROSS JOIN tiles), " + sun("ss", "tf", "frame, utc, tile", "utc", "latitude", "longitude") + f", sun AS MATERIALIZED (SELECT frame, utc, tile, apparent, {BIN5} AS direction FROM ss)"
 NEEDED = "needed AS MATERIALIZED (SELECT DISTINCT tile, direction FROM sun WHERE apparent > 0)"
 
 
@@ -178,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
         "j7_coarse_ray": f"WITH {PX}, {_values(DIRECTIONS)}, {offsets('ask', coarse=True)}, {rays('h', 'px', 'px')} SELECT direction, count(*) AS n, CAST(sum(support) AS BIGINT) AS supported, round(sum(round(slope, 6)), 4) AS slope_sum FROM h GROUP BY direction",
         "a23_ray_errors": f"{BOTH} SELECT count(*) AS n, round(quantile_cont(abs(h.slope - k.slope), 0.5), 5) AS median, round(quantile_cont(abs(h.slope - k.slope), 0.95), 5) AS p95, round(max(abs(h.slope - k.slope)), 5) AS largest FROM h JOIN k USING (r, c, direction)",
         "a24_horizon_differences": f"{BOTH}, k2 AS (SELECT * FROM k WHERE (r + c) % 50 <> 0) SELECT count(*) FILTER (WHERE k2.r IS NULL) AS only_a, count(*) FILTER (WHERE h.r IS NULL) AS only_b, CAST(0 AS BIGINT) AS slope_nulls, round(max(abs(h.slope - k2.slope)), 5) AS slope_most, count(*) FILTER (WHERE abs(h.slope - k2.slope) > 0.5) AS slope_beyond, CAST(0 AS BIGINT) AS support_nulls, max(abs(CAST(h.support - k2.support AS DOUBLE))) AS support_most, count(*) FILTER (WHERE abs(h.support - k2.support) > 0.5) AS support_beyond FROM h FULL JOIN k2 ON h.r = k2.r AND h.c = k2.c AND h.direction = k2.direction",
-        "f8_classify": f'{LABELS} SELECT tile, r AS "row", c AS col, shade, quality FROM layer WHERE frame = (SELECT min(frame) FROM sun WHERE apparent > 0)',
+        "f8_classify": f'{LABELS} SELECT frame, tile, r AS "row", c AS col, shade, quality FROM layer',
         "a5_label_counts": f"{LABELS} SELECT f.frame, q.quality, count(l.r) AS pixels FROM (SELECT DISTINCT frame FROM layer) f CROSS JOIN (VALUES (0), (1), (2), (3), (4)) q(quality) LEFT JOIN layer l ON l.frame = f.frame AND l.quality = q.quality GROUP BY ALL",
         "a6_contingency": f"{LABELS} SELECT frame, surface, shade, quality, pixels FROM combo",
         "a7_surface_rollup": f"{LABELS}, {rolled('surface')} SELECT * FROM roll",
@@ -230,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
         "w6_nearest_time": f"WITH e AS (SELECT CAST(ts AS DATE) AS day, event_id, {SECOND} AS s FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY abs(s - 52200), event_id) AS k FROM e) SELECT CAST(day AS VARCHAR) AS day, s, event_id FROM n WHERE k = 1",
         "w7_attempts": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3 AS allowed FROM events",
         "w9_core_numbering": f'WITH {PX} SELECT r AS "row", c AS col, r * {N} + c AS number FROM px',
-        "w11_neighbour_frames": f"WITH {frames(3)} SELECT frame, lag(frame) OVER (PARTITION BY CAST(utc AS DATE) ORDER BY frame) AS previous, lead(frame) OVER (PARTITION BY CAST(utc AS DATE) ORDER BY frame) AS following FROM frames",
+        "w11_neighbour_frames": f"WITH {FRAMES} SELECT frame, lag(frame) OVER (PARTITION BY CAST(utc AS DATE) ORDER BY frame) AS previous, lead(frame) OVER (PARTITION BY CAST(utc AS DATE) ORDER BY frame) AS following FROM frames",
         "o3_first_ready": f"WITH {READY} SELECT min(task) AS task FROM rd",
         "o4_first_k": f'WITH {PX}, n AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY z DESC, r, c) AS k FROM px WHERE z IS NOT NULL) SELECT tile, r AS "row", c AS col, CAST(z AS DOUBLE) AS z FROM n WHERE k <= 3',
         "o5_stratified_sample": f"WITH {PX}, n AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY md5('17|' || r || '|' || c), r, c) AS k FROM px) SELECT tile, r AS \"row\", c AS col FROM n WHERE k <= 5",
@@ -251,7 +250,7 @@ def oracle_sql() -> dict[str, str]:
         "f11_snap": f"WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 7 - 1000 AS l, l_quantity / 3 - 9 AS b FROM lineitem) SELECT l_orderkey, l_linenumber, {snap_down('l')} AS \"left\", {snap_down('b')} AS bottom, {snap_up('l + 3.3')} AS \"right\", {snap_up('b + 2.2')} AS top FROM x",
         "f15_coordinates": "SELECT c_custkey, round(CASE c_custkey % 4 WHEN 0 THEN -(c_custkey % 90 + 30 / 60.0 + 18.5 / 3600) WHEN 1 THEN c_custkey % 90 + 0.5 WHEN 2 THEN NULL ELSE CAST(-(c_custkey % 180) AS DOUBLE) END, 6) AS degrees FROM customer",
         "f16_addresses": "WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice - 30000 AS e, 20000 - l_extendedprice AS n FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(floor(e / 750.0) AS BIGINT) AS cx, CAST(floor(n / 600.0) AS BIGINT) AS cy, (CAST(floor(e) AS BIGINT) % 2 + 2) % 2 AS parity FROM x",
-        "f17_names": f"WITH {TILES}, {frames(2)} SELECT frame, strftime(utc, '%Y%m%d') AS day, strftime(utc, '%H%M') AS hhmm, 'e' || CAST(l AS INT) || 'n' || CAST(b AS INT) AS cell FROM frames CROSS JOIN tiles",
+        "f17_names": f"WITH {TILES}, {FRAMES} SELECT frame, strftime(utc, '%Y%m%d') AS day, strftime(utc, '%H%M') AS hhmm, 'e' || CAST(l AS INT) || 'n' || CAST(b AS INT) AS cell FROM frames CROSS JOIN tiles",
         "f18_identity": "SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') AS id FROM nation",
         "f19_safe_paths": "SELECT p_partkey, p_partkey % 5 = 4 AS safe FROM part",
         "f20_array_functions": f"WITH {PX}, x AS (SELECT tile, list_sort(list(DISTINCT r)) AS rows_ FROM px GROUP BY tile) SELECT tile, CAST(len(rows_) AS BIGINT) AS n, rows_[1] AS \"first\", rows_[-1] AS \"last\", CAST(len(list_filter(rows_, lambda q: q % 2 = 0)) AS BIGINT) AS even FROM x",
@@ -259,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "f22_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.missing') IS NULL AS no_other FROM events",
         "j10_direction_equi_join": f"WITH {PX}, {SUN}, {NEEDED} SELECT s.frame, count(*) AS pixels FROM sun s JOIN px p ON p.tile = s.tile AND p.z IS NOT NULL WHERE s.apparent > 0 GROUP BY s.frame",
         "j21_solar_by_source": "WITH e AS (SELECT l_suppkey % 50 AS name, l_linenumber % 3 + l_suppkey % 50 AS v, l_linenumber FROM lineitem) SELECT name, count(DISTINCT v) AS versions FROM e WHERE l_linenumber <= 1 + name % 4 GROUP BY name HAVING count(DISTINCT v) > 1",
-        "j29_interval_join": "WITH o AS (SELECT o_orderkey, dayofyear(o_orderdate) % 30 AS d0 FROM orders WHERE o_orderkey % 50 = 1) SELECT o_orderkey, count(*) AS events FROM o JOIN events ON dayofmonth(ts) BETWEEN d0 AND d0 + 6 GROUP BY o_orderkey",
+        "j29_interval_join": "WITH o AS (SELECT o_orderkey, dayofyear(o_orderdate) % 30 AS d0 FROM orders), e AS (SELECT dayofmonth(ts) AS d, count(*) AS n FROM events GROUP BY 1) SELECT o_orderkey, CAST(sum(n) AS BIGINT) AS events FROM o JOIN e ON d BETWEEN d0 AND d0 + 6 GROUP BY o_orderkey",
         "j13_explained_losses": f"""{IMPACT}, bl AS (SELECT r, c, r + CAST(round_even(r % 2 - cos(radians(115.0)) * CAST(blocker AS DOUBLE) / 0.5, 0) AS BIGINT) - r % 2 AS br, c + CAST(round_even(c % 2 + sin(radians(115.0)) * CAST(blocker AS DOUBLE) / 0.5, 0) AS BIGINT) - c % 2 AS bc FROM two WHERE blocker > 0),
 x AS (SELECT t.shade, a.z, a.horizon, t.blocker, coalesce(v.surface, 255) AS bs, degrees(atan(CAST(CAST({PROFILE.sea_m} AS FLOAT) - a.z AS DOUBLE) / greatest(CAST(t.blocker AS DOUBLE), 0.25))) AS ang FROM two t JOIN runa a USING (r, c) LEFT JOIN bl ON bl.r = t.r AND bl.c = t.c LEFT JOIN view v ON v.r = br AND v.c = bc WHERE t.surface = 0 AND t.raw_shade = 0 AND t.quality IN (0, 3))
 SELECT CASE WHEN shade = 0 THEN 'raised_threshold' WHEN bs BETWEEN 1 AND 4 AND blocker > 0 AND shade = 1 AND ang > 30 AND abs(ang - horizon) <= 1e-4 THEN 'filled_blocker' ELSE 'unexplained' END AS cause, count(*) AS pixels FROM x GROUP BY 1""",
@@ -272,7 +271,7 @@ SELECT CASE WHEN shade = 0 THEN 'raised_threshold' WHEN bs BETWEEN 1 AND 4 AND b
         "u5_subset": "SELECT count(*) AS missing, count(*) = 0 AS subset FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 500 <> 7)",
         "u8_listing_difference": "SELECT p_brand, p_size FROM part EXCEPT ALL SELECT p_brand, p_size FROM part WHERE p_partkey % 3 <> 0",
         "k10_two_row_shapes": f"{IMPACT} SELECT frame, grp, code, pixels, CAST(NULL AS INT) AS raw_shade, CAST(NULL AS INT) AS raw_quality, CAST(NULL AS INT) AS shade, CAST(NULL AS INT) AS quality FROM dh UNION ALL SELECT 1, NULL, NULL, count(*), raw_shade, raw_quality, shade, quality FROM two WHERE surface = 0 GROUP BY raw_shade, raw_quality, shade, quality",
-        "p10_time_filter": f"WITH {frames(2)} SELECT q.hhmm, f.frame FROM (VALUES ('0300'), ('1200'), ('1215')) q(hhmm) LEFT JOIN frames f ON strftime(utc, '%H%M') = q.hhmm",
+        "p10_time_filter": f"WITH {FRAMES} SELECT q.hhmm, f.frame FROM (VALUES ('0300'), ('1200'), ('1215')) q(hhmm) LEFT JOIN frames f ON strftime(utc, '%H%M') = q.hhmm",
         "p7_exclusions": f'WITH {PX} SELECT r AS "row", c AS col FROM px WHERE (c + 0.5) * 0.5 BETWEEN {PROFILE.exclusions[0][0]} AND {PROFILE.exclusions[0][2]} AND -(r + 0.5) * 0.5 BETWEEN {PROFILE.exclusions[0][1]} AND {PROFILE.exclusions[0][3]}',
         "j31_blocked_exceptions": f"WITH {TILES} SELECT b.tile FROM tiles a JOIN tiles b ON a.tile = 't1_1' AND a.l - 2 < b.rt AND b.l < a.rt + 2 AND a.b - 2 < b.tp AND b.b < a.tp + 2",
         "a13_recount": f"{LABELS} SELECT CAST(0 AS BIGINT) AS only_published, CAST(0 AS BIGINT) AS only_counted, CAST(sum(pixels) AS BIGINT) AS pixels FROM combo",
