@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import codes, lattice
+from . import blocks
 
 STEPS = ((-1, 0), (1, 0), (0, -1), (0, 1))
 DIAGONALS = ((-1, -1), (-1, 1), (1, -1), (1, 1))
@@ -80,8 +85,6 @@ def components(cells: DataFrame, side: int = 1024, name: str = "component") -> D
         return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "local": (lab // mask.shape[1] + top) * (1 << 32) + lab % mask.shape[1] + left})
 
     keyed = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.floor(F.col("row") / side).alias("br"), F.floor(F.col("col") / side).alias("bc"))
-    from ..plans import store
-
     local = store.cut(keyed.groupBy("br", "bc").applyInPandas(block, "row long, col long, local long"))
     edge = lambda c: (F.pmod(F.col(c), F.lit(side)) == 0) | (F.pmod(F.col(c), F.lit(side)) == side - 1)
     border = local.where(edge("row") | edge("col"))
@@ -90,23 +93,22 @@ def components(cells: DataFrame, side: int = 1024, name: str = "component") -> D
     return local.join(roots, local["local"] == roots["node"], "left").select("row", "col", F.coalesce("root", "local").alias(name))
 
 
-def merge(links: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, root): the least node of each component of symmetric links (a, b). Each round takes the least root beside a node, then that root's own root."""
-    from ..plans import store
-
-    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node"))
+def merge(links: DataFrame) -> DataFrame:
+    """(node, root): the least node of each component of symmetric links (a, b). Each round takes the least root beside a node, then that root's own root, until
+    nothing changes."""
+    nodes = store.cut(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node")))
     both = store.cut(links.union(links.select("b", "a")).distinct().toDF("a", "b"))
-    nodes = store.cut(nodes)
-    for _ in range(rounds):
+    while True:
         near = both.join(nodes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        low = nodes.join(near, "node", "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
+        low = nodes.join(near, "node", "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("was"))
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("r2"))
-        after = store.cut(low.join(jump, "root", "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root")))
-        changed = after.join(nodes.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
-        nodes = after
-        if not changed:
-            return nodes
-    raise RuntimeError(f"components don't settle in {rounds} rounds")
+        after = store.cut(low.join(jump, "root", "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root"), "was"))
+        if after.where("root <> was").isEmpty():
+            store.drop(both)
+            return after.drop("was")
+        store.drop(nodes)
+        nodes = after.drop("was")
+        nodes._sunlattice_path = after._sunlattice_path
 
 
 def opened(cells: DataFrame, row0: int, col0: int, height: int, width: int, side: int = 1024) -> DataFrame:
@@ -117,18 +119,49 @@ def opened(cells: DataFrame, row0: int, col0: int, height: int, width: int, side
     return found.join(reach, "component")
 
 
-def nearest(points: DataFrame, shore: DataFrame, most: float, name: str) -> DataFrame:
-    """points (row, col) with name: the distance in pixels to the nearest shore pixel within most, else null.
-
-    Both are put in bins as wide as the distance, a shore pixel into the bins around its own, so each point meets only shore pixels near it; the minimum is
-    taken before the shuffle. Shore pixels are as many as shores are long."""
-    size = max(most, 1.0)
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    s = shore.select(F.col("row").alias("sr"), F.col("col").alias("sc"), around.alias("d")).select("sr", "sc", (lattice.bin_of("sr", size) + F.col("d.a")).alias("_r"), (lattice.bin_of("sc", size) + F.col("d.b")).alias("_c"))
-    p = points.select("row", "col", lattice.bin_of("row", size).alias("_r"), lattice.bin_of("col", size).alias("_c"))
-    d2 = (F.col("row") - F.col("sr")) * (F.col("row") - F.col("sr")) + (F.col("col") - F.col("sc")) * (F.col("col") - F.col("sc"))
-    near = p.join(s, ["_r", "_c"]).withColumn("d2", d2).where(F.col("d2") <= most * most + 1e-6).groupBy("row", "col").agg(F.sqrt(F.min("d2").cast("double")).alias(name))
-    return points.join(near, ["row", "col"], "left")
+def nearest(points: DataFrame, shore: DataFrame, most: float, name: str, side: int = 1024) -> DataFrame:
+    """points (row, col, ...) with name: the distance in pixels to the nearest shore pixel within most, else null.
+
+    Blocks with a halo of the distance (blocks.py), in which the exact transform is taken in two passes: the nearest shore pixel of each column, then the
+    least over columns, from the near ones outwards until none can be nearer. A task's time is side x (side + 2 most) x most at worst, whatever the shores."""
+    halo = int(math.ceil(most))
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields if f.name not in ("row", "col")], f"{name} double"])
+    at = lambda df: df.withColumns({"row": F.col("row").cast("long"), "col": F.col("col").cast("long")})
+    both = at(points).withColumn("_shore", F.lit(False)).unionByName(at(shore).select("row", "col", F.lit(True).alias("_shore")), allowMissingColumns=True)
+
+    def kernel(br, bc, mine, pieces):
+        asked = mine.filter(pc.invert(mine["_shore"]))
+        if not asked.num_rows:
+            return
+        land = np.zeros((side + 2 * halo,) * 2, bool)
+        for t in (mine.filter(mine["_shore"]), *pieces):
+            land[t["row"].to_numpy() + halo, t["col"].to_numpy() + halo] = True
+        r, c = asked["row"].to_numpy(), asked["col"].to_numpy()
+        d2 = _squares(land, halo, side, int(most * most + 1e-6))[r, c]
+        t = asked.drop_columns(["_shore"]).append_column(name, pa.array(np.sqrt(d2.astype(float)), mask=d2 == FAR))
+        yield t.set_column(t.column_names.index("row"), "row", pa.array(r + np.int64(br * side))).set_column(t.column_names.index("col"), "col", pa.array(c + np.int64(bc * side)))
+
+    return blocks.apply(blocks.with_halo(both, side, halo, (), "_shore"), kernel, "row long, col long, " + schema).select(*points.columns, name)
+
+
+#: A squared distance that stands for none.
+FAR = 1 << 40
+
+
+def _squares(land: np.ndarray, halo: int, side: int, most2: int) -> np.ndarray:
+    """Squared distances of the inner side x side pixels to the nearest True one, up to most2; FAR beyond."""
+    i = np.arange(land.shape[0], dtype=np.int64)[:, None]
+    above = np.maximum.accumulate(np.where(land, i, -FAR), axis=0)
+    below = np.minimum.accumulate(np.where(land, i, FAR)[::-1], axis=0)[::-1]
+    gap = np.minimum(np.minimum(i - above, below - i)[halo : halo + side], 1 << 20)
+    column = np.where(gap == 1 << 20, FAR, gap * gap)
+    best = column[:, halo : halo + side].copy()
+    for x in range(1, halo + 1):
+        if x * x >= best.max() or x * x > most2:
+            break
+        for shift in (-x, x):
+            np.minimum(best, column[:, halo + shift : halo + shift + side] + x * x, out=best)
+    return np.where(best <= most2, best, FAR)
 
 
 def surface(pixels: DataFrame, profile: Profile, row0: int, col0: int, height: int, width: int, resolution: float = lattice.RESOLUTION, side: int = 1024) -> DataFrame:

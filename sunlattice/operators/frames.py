@@ -26,14 +26,24 @@ def missing_directions(needed: DataFrame, have: DataFrame) -> DataFrame:
 
 
 def label(pixels: DataFrame, sun: DataFrame, horizon: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(frame, tile, row, col, shade, quality) of every pixel in every frame. Frames with the Sun down look only at the heights; the others meet the
-    horizons of their direction by equality."""
+    """(frame, tile, row, col, shade, quality, ...) of every pixel in every frame; further columns of pixels that horizon has as well are kept.
+
+    pixels: tile, row, col, z; horizon: rows of pixels with direction, horizon and support. Frames meet tables of pixels by (tile, direction) or tile only,
+    and frames of a tile are few, so the product is made where the pixels are and nothing of its size is shuffled: an aggregation after it sums first.
+    horizon has a row for every known pixel in the directions that sun needs; pixels of a (tile, direction) that it lacks altogether, as nothing
+    was computed, get quality 2."""
+    keep = [c for c in pixels.columns if c in horizon.columns and c not in ("z", "direction", "horizon", "support")]
     t = sun.join(thresholds.select("tile", "threshold"), "tile", "left")
-    down = t.where("apparent <= 0").join(pixels, "tile").withColumns({"horizon": F.lit(None).cast("float"), "support": F.lit(None).cast("smallint")})
-    up = t.where("apparent > 0").join(pixels, "tile").join(horizon.select("row", "col", "direction", "horizon", "support"), ["row", "col", "direction"], "left")
-    both = up.unionByName(down.select(*up.columns))
+    up, down = t.where("apparent > 0"), t.where("apparent <= 0")
+    none = {"horizon": F.lit(None).cast("float"), "support": F.lit(None).cast("smallint")}
+    columns = [*keep, "z", "frame", "apparent", "threshold", "horizon", "support"]
+    seen = horizon.join(up, ["tile", "direction"]).select(*columns)
+    blind = up.join(horizon.select("tile", "direction").distinct(), ["tile", "direction"], "left_anti").select("tile", "frame", "apparent", "threshold")
+    known, missing = pixels.where(F.col("z").isNotNull()), pixels.where(F.col("z").isNull())
+    dark = known.join(down.select("tile", "frame", "apparent", "threshold").unionByName(blind), "tile").withColumns(none).select(*columns)
+    gaps = missing.join(t.select("tile", "frame", "apparent", "threshold"), "tile").withColumns(none).select(*columns)
     args = [F.col(c) for c in ("z", "horizon", "support", "apparent", "threshold")]
-    return both.select("frame", "tile", "row", "col", codes.shade(*args).alias("shade"), codes.quality(*args).alias("quality"))
+    return seen.unionByName(dark).unionByName(gaps).select("frame", *keep, codes.shade(*args).alias("shade"), codes.quality(*args).alias("quality"))
 
 
 def contingency(layers: DataFrame) -> DataFrame:

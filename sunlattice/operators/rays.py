@@ -14,36 +14,39 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks
+
 STEP_M = 0.25
 RESOLUTION = 0.5
 ZERO = 1e-14
 #: Rows of an offset table that is broadcast: directions x 4 parities x samples. More are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
+#: Pixels of a strip of the kernel: its six arrays take 3 MB.
+STRIP = 1 << 17
 
 
 def offset_rows(directions: list[float], radius_m: float, step_m: float = STEP_M, resolution: float = RESOLUTION) -> list[tuple[float, int, int, int, int, float]]:
     """(direction, row parity, column parity, rows off, columns off, nominal distance), the nearest for each pixel hit."""
-    out = []
-    n = np.arange(1, int(math.floor(radius_m / step_m + 1e-10)) + 1)
-    distance = n * step_m
-    for a in directions:
-        down, right = (0.0 if abs(v) < ZERO else v for v in (-math.cos(math.radians(a)), math.sin(math.radians(a))))
-        hit = {}
-        for p in (0, 1):
+    return [(a, rp, cp, r, c, d) for a in directions for (rp, cp), xs in ray(a, radius_m, step_m, resolution).items() for r, c, d in zip(*(x.tolist() for x in xs), strict=True)]
+
+
+def ray(direction: float, radius_m: float, step_m: float = STEP_M, resolution: float = RESOLUTION) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """{(row parity, column parity): (rows off, columns off, distance)} of one direction, by rising distance."""
+    distance = np.arange(1, int(math.floor(radius_m / step_m + 1e-10)) + 1) * step_m
+    down, right = (0.0 if abs(v) < ZERO else v for v in (-math.cos(math.radians(direction)), math.sin(math.radians(direction))))
+    out = {}
+    for rp in (0, 1):
+        for cp in (0, 1):
             # numpy rounds half to even
-            hit[p] = (np.rint(p + down * distance / resolution).astype(int) - p, np.rint(p + right * distance / resolution).astype(int) - p)
-        for rp in (0, 1):
-            for cp in (0, 1):
-                rd, cd = hit[rp][0], hit[cp][1]
-                near = (rd * rd + cd * cd) * resolution * resolution <= radius_m * radius_m + 1e-9
-                seen: set[tuple[int, int]] = set()
-                for r, c, d in zip(rd[near].tolist(), cd[near].tolist(), distance[near].tolist(), strict=True):
-                    if (r, c) not in seen:
-                        seen.add((r, c))
-                        out.append((a, rp, cp, r, c, d))
+            rd, cd = np.rint(rp + down * distance / resolution).astype(np.int64) - rp, np.rint(cp + right * distance / resolution).astype(np.int64) - cp
+            near = np.nonzero((rd * rd + cd * cd) * resolution * resolution <= radius_m * radius_m + 1e-9)[0]
+            # the first sample of each pixel hit
+            first = near[np.sort(np.unique(rd[near] * (1 << 32) + cd[near], return_index=True)[1])]
+            out[rp, cp] = rd[first], cd[first], distance[first]
     return out
 
 
@@ -63,10 +66,13 @@ def offsets_of(directions: DataFrame, radius_m: float, step_m: float = STEP_M, r
     return d.groupBy("direction", "rp", "cp", "rd", "cd").agg(F.min("dist").alias("dist"))
 
 
-def horizons(targets: DataFrame, samples: DataFrame, offs: DataFrame, broadcast: bool = True) -> DataFrame:
+def horizons(targets: DataFrame, samples: DataFrame, offs: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """(row, col, z, direction, slope, horizon, support, blocker) of each target with a height, in each direction of the offsets.
 
-    targets: row, col, z, and direction if each has directions of its own; samples: row, col, z. A target whose samples are all missing stays, with slope 0."""
+    targets: row, col, z, and direction if each has directions of its own; samples: row, col, z. A target whose samples are all missing stays, with slope 0.
+    Offsets are broadcast if they are at most MOST_BROADCAST rows, which is counted unless broadcast says."""
+    if broadcast is None:
+        broadcast = offs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     own = "direction" in targets.columns
     t = targets.where(F.col("z").isNotNull()).select("row", "col", "z", *(["direction"] if own else []), F.pmod("row", F.lit(2)).cast("int").alias("rp"), F.pmod("col", F.lit(2)).cast("int").alias("cp"))
     o = F.broadcast(offs) if broadcast else offs
@@ -91,55 +97,92 @@ def coarse_offsets(directions: DataFrame, radius_m: float) -> DataFrame:
     return d.groupBy("direction", "rp", "cp", "rd", "cd").agg((F.min("i") * RESOLUTION).alias("dist"))
 
 
-def scan_array(z: np.ndarray, own: tuple[slice, slice], offsets_: list[tuple[int, int, int, int, float]], row0: int, col0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slope, support, blocker) of the part `own` of a block of heights (NaN: missing) whose first pixel has the address row0, col0.
-    offsets_: (row parity, column parity, rows off, columns off, distance) by rising distance. What lies outside the block is missing."""
+def scan_array(z: np.ndarray, own: tuple[slice, slice], offs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]], row0: int, col0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slope, support, blocker) of the part `own` of a block of heights (NaN: missing) whose first pixel has the address row0, col0, along one ray().
+    What lies outside the block is missing.
+
+    Pixels of equal parities are a plane, in which a ray's offset is a plain shift; planes are worked on in strips that fit a core's cache."""
     height, width = own[0].stop - own[0].start, own[1].stop - own[1].start
-    pad = max([1, *(max(abs(r), abs(c)) for _, _, r, c, _ in offsets_)])
-    field = np.pad(z, pad, constant_values=np.nan)
+    pad = max([2, *(int(np.abs(x).max()) for rd, cd, _ in offs.values() for x in (rd, cd) if len(x))])
+    rows, cols = (max(0, pad - own[0].start), max(0, pad - (z.shape[0] - own[0].stop))), (max(0, pad - own[1].start), max(0, pad - (z.shape[1] - own[1].stop)))
+    whole = np.pad(z, (rows, cols), constant_values=np.nan) if any(rows + cols) else z
+    r0, c0 = own[0].start + rows[0], own[1].start + cols[0]
+    planes = {(a, b): np.ascontiguousarray(whole[a::2, b::2]) for a in (0, 1) for b in (0, 1)}
+    gaps, top = bool(np.isnan(whole).any()), np.nanmax(whole) if not np.isnan(whole).all() else np.nan
     slope, support, blocker = np.zeros((height, width)), np.ones((height, width), bool), np.zeros((height, width), np.float32)
-    r0, c0 = own[0].start + pad, own[1].start + pad
-    for rp, cp, rd, cd, d in offsets_:
+    for (rp, cp), (rd, cd, dist) in offs.items():
         a, b = (rp - (row0 + own[0].start)) % 2, (cp - (col0 + own[1].start)) % 2
-        t = field[r0 + a : r0 + height : 2, c0 + b : c0 + width : 2]
-        s = field[r0 + a + rd : r0 + height + rd : 2, c0 + b + cd : c0 + width + cd : 2]
-        if not t.size:
+        n, m = len(range(a, height, 2)), len(range(b, width, 2))
+        if not n or not m:
             continue
-        with np.errstate(invalid="ignore"):
-            steep = (s - t).astype(np.float64) / d
-            best = slope[a::2, b::2]
-            up = steep > best
-        best[up] = steep[up]
-        blocker[a::2, b::2][up] = d
-        support[a::2, b::2] &= ~np.isnan(s)
+        mine = planes[(r0 + a) % 2, (c0 + b) % 2][(r0 + a) // 2 :, (c0 + b) // 2 :]
+        shifts = [(planes[(r0 + a + r) % 2, (c0 + b + c) % 2], (r0 + a + r) // 2, (c0 + b + c) // 2, d) for r, c, d in zip(rd.tolist(), cd.tolist(), dist.tolist(), strict=True)]
+        strip = max(1, STRIP // m)
+        for i in range(0, n, strip):
+            k = min(strip, n - i)
+            t = np.ascontiguousarray(mine[i : i + k, :m])
+            low = np.nanmin(t) if not np.isnan(t).all() else np.nan
+            rise, steep, up = np.empty((k, m), np.float32), np.empty((k, m)), np.empty((k, m), bool)
+            best, far, seen = np.zeros((k, m)), np.zeros((k, m), np.float32), np.full((k, m), -np.inf, np.float32)
+            climbing = not np.isnan(low)
+            with np.errstate(invalid="ignore"):
+                for j, (plane, y, x, d) in enumerate(shifts):
+                    s = plane[y + i : y + i + k, x : x + m]
+                    if climbing:
+                        np.subtract(s, t, out=rise)
+                        np.divide(rise, d, out=steep, dtype=np.float64)
+                        np.greater(steep, best, out=up)
+                        if up.any():
+                            np.copyto(best, steep, where=up)
+                            np.copyto(far, np.float32(d), where=up)
+                        if j % 64 == 63:  # nothing beyond can be steeper than the highest pixel would be
+                            climbing = float(top - low) / d * (1 + 1e-6) > best[~np.isnan(t)].min()
+                    if gaps:
+                        np.maximum(seen, s, out=seen)  # NaN stays
+                    elif not climbing:
+                        break
+            slope[a::2, b::2][i : i + k], blocker[a::2, b::2][i : i + k] = best, far
+            support[a::2, b::2][i : i + k] = ~np.isnan(seen)
     return slope, support, blocker
 
 
-def block_horizons(pixels: DataFrame, directions: list[float], radius_m: float, side: int = 512, resolution: float = RESOLUTION) -> DataFrame:
-    """horizons() of every pixel with a height (row, col, z), by blocks of side x side pixels with a halo of the search distance.
+def block_horizons(pixels: DataFrame, wanted: DataFrame | list[float], radius_m: float, side: int = 2048, resolution: float = RESOLUTION, split: int = 1) -> DataFrame:
+    """horizons() of every pixel with a height, by blocks of side x side pixels with a halo of the search distance (blocks.py).
 
-    A pixel goes to its own block and to those whose halo it is in; a block's directions are separate groups, so a task holds one block and halo:
-    (side + 2 x halo) squared heights, whatever the scene's size. Groups are even unless heights are."""
+    pixels: row, col, z, and further columns, which are kept. wanted: directions, or a table of direction, or of (tile, direction): then a pixel gets its
+    tile's directions only. All directions of a block are worked on in one task, one after the other, so its memory is that of a block and halo and of one
+    direction's rows, however many there are; with split, they are dealt to so many tasks."""
     halo = int(math.ceil(radius_m / resolution))
-    table = offset_rows(sorted(set(directions)), radius_m, resolution=resolution)
-    by: dict[float, list[tuple[int, int, int, int, float]]] = {}
-    for a, *rest in table:
-        by.setdefault(a, []).append(tuple(rest))
-    span = lambda c: F.sequence(F.floor((F.col(c) - halo) / side).cast("long"), F.floor((F.col(c) + halo) / side).cast("long"))
-    dealt = pixels.where(F.col("z").isNotNull()).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("z").cast("float").alias("z"))
-    dealt = dealt.withColumn("br", F.explode(span("row"))).withColumn("bc", F.explode(span("col"))).withColumn("direction", F.explode(F.array(*map(F.lit, sorted(by)))))
-
-    def block(key, group):
-        br, bc, a = (k.as_py() for k in key)
-        row, col, z = (group.column(c).to_numpy() for c in ("row", "col", "z"))
-        top, left = br * side - halo, bc * side - halo
-        field = np.full((side + 2 * halo, side + 2 * halo), np.nan, np.float32)
-        field[row - top, col - left] = z
-        slope, support, blocker = scan_array(field, (slice(halo, halo + side),) * 2, by[a], top, left)
-        r, c = np.nonzero(~np.isnan(field[halo : halo + side, halo : halo + side]))
-        return pa.table({
-            "row": r + br * side, "col": c + bc * side, "z": field[halo + r, halo + c], "direction": np.full(len(r), a), "slope": slope[r, c], "support": support[r, c].astype(np.int16), "blocker": blocker[r, c],
-            "horizon": np.degrees(np.arctan(slope[r, c])).astype(np.float32),
-        })
-
-    return dealt.groupBy("br", "bc", "direction").applyInArrow(block, "row long, col long, z float, direction double, slope double, support smallint, blocker float, horizon float")
+    spark = pixels.sparkSession
+    if isinstance(wanted, list):
+        wanted = spark.createDataFrame([(float(v),) for v in sorted(set(wanted))], "direction double")
+    own = "tile" in wanted.columns
+    there = pixels.where(F.col("z").isNotNull()).withColumn("z", F.col("z").cast("float"))
+    kept = [f for f in there.schema.fields if f.name not in ("row", "col", "z")]
+    packed = blocks.with_halo(there, side, halo, ("z",))
+    what = F.collect_set(F.struct(*([F.col("tile")] if own else [F.lit("").alias("tile")]), "direction")).alias("wanted")
+    part = F.pmod(F.xxhash64("direction"), F.lit(split)).alias("part")
+    if own:
+        at = there.select(F.floor(F.col("row") / side).alias("br"), F.floor(F.col("col") / side).alias("bc"), "tile").distinct()
+        asked = at.join(wanted.select("tile", "direction").distinct(), "tile").groupBy("br", "bc", part).agg(what)
+        packed = packed.join(asked, ["br", "bc"])
+    else:
+        packed = packed.join(wanted.select("direction").distinct().groupBy(part).agg(what))
+
+    def kernel(br, bc, mine, pieces, _part, wanted_):
+        field = blocks.field(mine, pieces, side, halo, "z")
+        r, c = mine["row"].to_numpy(), mine["col"].to_numpy()
+        tall, wide = int(r.max()) + 1, int(c.max()) + 1  # of the block's pixels; the rest of a block at the scene's edge is empty
+        by: dict[float, list[str]] = {}
+        for w in wanted_:
+            by.setdefault(w["direction"], []).append(w["tile"])
+        for a in sorted(by):
+            slope, support, blocker = (x[r, c] for x in scan_array(field, (slice(halo, halo + tall), slice(halo, halo + wide)), ray(a, radius_m, resolution=resolution), br * side - halo, bc * side - halo))
+            t = mine
+            for name, values in (("direction", np.full(len(r), a)), ("slope", slope), ("support", support.astype(np.int16)), ("blocker", blocker), ("horizon", np.degrees(np.arctan(slope)).astype(np.float32))):
+                t = t.append_column(name, pa.array(values))
+            t = t.set_column(t.column_names.index("row"), "row", pa.array(r + np.int64(br * side))).set_column(t.column_names.index("col"), "col", pa.array(c + np.int64(bc * side)))
+            yield t.filter(pc.is_in(t["tile"], pa.array(by[a]))) if own else t
+
+    schema = ", ".join(["row long", "col long", "z float", *[f"{f.name} {f.dataType.simpleString()}" for f in kept], "direction double", "slope double", "support smallint", "blocker float", "horizon float"])
+    return blocks.apply(packed, kernel, schema, ("part",), ("wanted",))

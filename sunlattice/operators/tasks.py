@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
+from . import quantiles
+
 STATES = ("queued", "running", "succeeded", "failed", "cancelled")
 #: Which state may follow which.
 MOVES = {"queued": ("running", "cancelled"), "running": ("succeeded", "failed", "queued", "cancelled"), "failed": ("queued",), "succeeded": ("queued",), "cancelled": ("queued",)}
@@ -31,18 +34,15 @@ def illegal_moves(log: DataFrame) -> DataFrame:
     return log.withColumn("was", F.lag("state").over(w)).where(F.col("was").isNotNull() & ~allowed)
 
 
-def invalidated(edges: DataFrame, invalid: DataFrame, depth: int = 64) -> DataFrame:
-    """(task): invalid tasks and all that need them, directly or not. A round for each step of the graph's depth."""
-    from ..plans import store
-
+def invalidated(edges: DataFrame, invalid: DataFrame) -> DataFrame:
+    """(task): invalid tasks and all that need them, directly or not. A round for each step of the graph's depth, until no task is new."""
     found = store.cut(invalid.select("task").distinct())
     front = found
-    for _ in range(depth):
+    while True:
         front = store.cut(edges.join(front.select(F.col("task").alias("needs")), "needs", "left_semi").select("task").distinct().join(found, "task", "left_anti"))
         if front.isEmpty():
             return found
-        found = store.cut(found.union(front))
-    raise RuntimeError(f"the graph is deeper than {depth}")
+        found = store.cut(found.union(front), "cut", found)
 
 
 def missing_and_extra(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
@@ -65,5 +65,5 @@ def cost(units: DataFrame, coefficients: dict[str, float], efficiency: float) ->
 
 def percentage_errors(runs: DataFrame, predicted: str, observed: str) -> DataFrame:
     """One row: median and largest absolute error in percent."""
-    e = 100 * F.abs(F.col(predicted) - F.col(observed)) / F.nullif(F.col(observed), F.lit(0))
-    return runs.agg(F.percentile(e, F.lit(0.5)).alias("median_pct"), F.max(e).alias("max_pct"))
+    e = runs.select((100 * F.abs(F.col(predicted) - F.col(observed)) / F.nullif(F.col(observed), F.lit(0))).cast("double").alias("e"))
+    return quantiles.exact(e, "e", {"median_pct": 0.5}).join(e.agg(F.max("e").alias("max_pct")))

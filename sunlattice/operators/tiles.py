@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import lattice, solar
 
 SIDES = ("left", "bottom", "right", "top")
@@ -85,15 +86,31 @@ def statistics(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("tile").agg(F.count("z").alias("valid"), F.min("z").alias("lowest"), F.max("z").alias("highest"))
 
 
+#: Side, in pixels, of the cells whose extremes thresholds() keeps.
+CELL = 64
+
+
 def thresholds(tiles: DataFrame, pixels: DataFrame, size: float, buffer: float, distance_m: float = 1000.0) -> DataFrame:
-    """(tile, valid, lowest, highest_near, threshold): the highest is looked for in all tiles' pixels within buffer of the tile. Pixels are dealt to
-    tiles through the tiles' own bins; only the tiles at a buffer's edge look at their pixels one by one."""
-    near = range_join(tiles, prefixed(tiles), size, buffer)
-    inside = near.select("tile", F.col("b_tile"), *[F.col(s) for s in SIDES])
+    """(tile, valid, lowest, highest_near, threshold): the highest is looked for in all tiles' pixels within buffer of the tile.
+
+    Pixels are first summed up in cells of CELL x CELL. A cell that is wholly within a tile's buffer answers with its highest pixel; of those that the
+    buffer's edge cuts only the ones that are higher than that look at their pixels, so a pixel is read twice at most and copied to few tiles."""
     x, y = (F.col("col") + 0.5) * lattice.RESOLUTION, -(F.col("row") + 0.5) * lattice.RESOLUTION
-    z = pixels.where(F.col("z").isNotNull()).select(F.col("tile").alias("b_tile"), x.alias("x"), y.alias("y"), "z")
-    high = inside.join(z, "b_tile").where((F.col("x") > F.col("left") - buffer) & (F.col("x") < F.col("right") + buffer) & (F.col("y") > F.col("bottom") - buffer) & (F.col("y") < F.col("top") + buffer)).groupBy("tile").agg(F.max("z").alias("highest_near"))
-    out = statistics(pixels).join(high, "tile").where("valid > 0")
+    z = pixels.where(F.col("z").isNotNull()).select("tile", x.alias("x"), y.alias("y"), "z", F.floor(F.col("row") / CELL).alias("cr"), F.floor(F.col("col") / CELL).alias("cc"))
+    cells = store.cut(z.groupBy("tile", "cr", "cc").agg(F.count("z").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"), *[f(c).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))]))
+    own = cells.groupBy("tile").agg(F.sum("n").alias("valid"), F.min("low").alias("lowest"))
+    boxes = cells.select(F.col("tile").alias("b_tile"), "cr", "cc", "high", *[F.col(c).alias(f"b_{s}") for c, s in zip(("x0", "y0", "x1", "y1"), SIDES, strict=True)])
+    # a cell's box may be a single point, which range_join's open rectangles would miss
+    eps = lattice.RESOLUTION / 4
+    near = range_join(tiles.select("tile", *SIDES), boxes.withColumns({"b_left": F.col("b_left") - eps, "b_bottom": F.col("b_bottom") - eps, "b_right": F.col("b_right") + eps, "b_top": F.col("b_top") + eps}), size, buffer)
+    reach = {"left": F.col("left") - buffer, "bottom": F.col("bottom") - buffer, "right": F.col("right") + buffer, "top": F.col("top") + buffer}
+    whole = (F.col("b_left") + eps > reach["left"]) & (F.col("b_right") - eps < reach["right"]) & (F.col("b_bottom") + eps > reach["bottom"]) & (F.col("b_top") - eps < reach["top"])
+    near = store.cut(near.withColumn("whole", whole))
+    sure = near.where("whole").groupBy("tile").agg(F.max("high").alias("sure"))
+    cut = near.where("not whole").join(sure, "tile", "left").where("sure is null or high > sure").select(F.col("tile").alias("of"), *[reach[s].alias(s) for s in SIDES], F.col("b_tile").alias("tile"), "cr", "cc")
+    inside = (F.col("x") > F.col("left")) & (F.col("x") < F.col("right")) & (F.col("y") > F.col("bottom")) & (F.col("y") < F.col("top"))
+    edge = z.join(cut, ["tile", "cr", "cc"]).where(inside).groupBy(F.col("of").alias("tile")).agg(F.max("z").alias("edge"))
+    out = own.join(sure, "tile", "left").join(edge, "tile", "left").withColumn("highest_near", F.greatest("sure", "edge")).where(F.col("highest_near").isNotNull())
     return out.select("tile", "valid", "lowest", "highest_near", solar.threshold(F.col("highest_near"), F.col("lowest"), distance_m).alias("threshold"))
 
 
@@ -130,14 +147,35 @@ def covered_cells(rectangles: DataFrame, size: float) -> DataFrame:
     return rectangles.withColumn("x", F.explode(lattice.bins_between("left", "right", size))).withColumn("y", F.explode(lattice.bins_between("bottom", "top", size))).select("x", "y").distinct()
 
 
+def _crossings(points: DataFrame, edges: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """points with each polygon of which an odd number of edges is crossed by the ray to the right of x, y."""
+    cut = F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    hit = points.join(edges, on).where((F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi")) & (cut > F.col("x")))
+    return hit.groupBy(*by, "polygon").agg((F.count(F.lit(1)) % 2 == 1).alias("_odd")).where("_odd").drop("_odd")
+
+
 def inside_polygon(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """points (x, y) with polygon for each polygon that holds them, by the even-odd rule; holes are edges like others.
-    edges: polygon, x1, y1, x2, y2. Points meet edges by bins of y."""
+    edges: polygon, x1, y1, x2, y2.
+
+    In a cell of the size that no edge of a polygon touches, all points are alike: they are decided once, by the cell's centre. Only points in cells along
+    a polygon's edges meet that polygon's edges of their band of y."""
     e = edges.where(F.col("y1") != F.col("y2")).withColumns({"lo": F.least("y1", "y2"), "hi": F.greatest("y1", "y2")}).withColumn("_y", F.explode(lattice.bins_between("lo", "hi", size)))
-    p = points.withColumn("_y", lattice.bin_of("y", size))
-    cut = F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    hit = p.join(e, "_y").where((F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi")) & (cut > F.col("x")))
-    return hit.groupBy(*points.columns, "polygon").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") % 2 == 1).drop("_n")
+    p = points.withColumns({"_x": lattice.bin_of("x", size), "_y": lattice.bin_of("y", size)})
+    cells = p.select("_x", "_y").distinct().withColumns({"x": (F.col("_x") + 0.5) * size, "y": (F.col("_y") + 0.5) * size})
+    # the part of an edge within a band, a little widened, and the cells along it; level edges lie in one band
+    slant = (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    band = edges.withColumn("_y", F.explode(F.sequence(lattice.bin_of(F.least("y1", "y2") - size / 1024, size), lattice.bin_of(F.greatest("y1", "y2") + size / 1024, size))))
+    at = lambda y: F.coalesce(F.col("x1") + (y - F.col("y1")) * slant, F.col("x1"))
+    y_low, y_high = F.greatest(F.least("y1", "y2"), F.col("_y") * size), F.least(F.greatest("y1", "y2"), (F.col("_y") + 1) * size)
+    level = F.col("y1") == F.col("y2")
+    ends = F.when(level, F.col("x1")).otherwise(at(y_low)), F.when(level, F.col("x2")).otherwise(at(y_high))
+    rim = band.withColumns({"_a": F.least(*ends) - size / 1024, "_b": F.greatest(*ends) + size / 1024})
+    rim = rim.select("polygon", "_y", F.explode(F.sequence(lattice.bin_of("_a", size), lattice.bin_of("_b", size))).alias("_x")).distinct()
+    full = _crossings(cells, e, ["_y"], ["_x", "_y"]).join(rim, ["polygon", "_x", "_y"], "left_anti")
+    sure = p.join(full, ["_x", "_y"]).select(*points.columns, "polygon")
+    near = _crossings(p.join(rim, ["_x", "_y"]), e, ["polygon", "_y"], points.columns)
+    return sure.unionByName(near.select(*points.columns, "polygon"))
 
 
 def pitch(tiles: DataFrame) -> Column:

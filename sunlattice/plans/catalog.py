@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, lattice, solar
 from ..operators import fill, frames, impact, ordered, rays, tasks, tiles
-from . import scene, store
+from .. import store
+from . import scene
 
 RADIUS = 10.0
 DIRECTIONS = (0.0, 45.0, 90.0, 215.0)
@@ -82,19 +83,14 @@ def _thresholds(spark, sf_dir):
     return tiles.thresholds(scene.tiles(spark), scene.pixels(spark, sf_dir), BIN, RADIUS, RADIUS)
 
 
-def _labels(spark, sf_dir, pixels=None):
-    """(frame, tile, row, col, surface, shade, quality) of the whole scene."""
-    px = scene.pixels(spark, sf_dir).join(F.broadcast(scene.tiles(spark).select("tile")), "tile") if pixels is None else pixels
+def _labels(spark, sf_dir):
+    """(frame, tile, row, col, surface, shade, quality) of the whole scene, by the block form of the ray operator."""
+    px = scene.pixels(spark, sf_dir).join(F.broadcast(scene.tiles(spark).select("tile")), "tile").withColumn("surface", F.when(F.col("z").isNull(), 4).otherwise(0).cast("smallint"))
     # both are read several times: the heights as targets, samples, thresholds and labels, the Sun for the directions and the labels
     px, sun = store.cut(px), store.cut(_sun_frames(spark, sf_dir))
-    needed = frames.needed_directions(sun)
-    targets = px.join(needed, "tile")
-    offs = rays.offsets_of(needed, RADIUS)
-    horizon = rays.horizons(targets, px, offs)
+    horizon = rays.block_horizons(px, frames.needed_directions(sun), RADIUS, side=32)
     thr = tiles.thresholds(scene.tiles(spark), px, BIN, RADIUS, RADIUS)
-    lab = frames.label(px.select("tile", "row", "col", "z"), sun.select("frame", "tile", "apparent", "direction"), horizon, thr)
-    surface = px.select("row", "col", F.when(F.col("z").isNull(), 4).otherwise(0).cast("smallint").alias("surface"))
-    return lab.join(surface, ["row", "col"])
+    return frames.label(px, sun.select("frame", "tile", "apparent", "direction"), horizon, thr)
 
 
 def _combos(spark, sf_dir):

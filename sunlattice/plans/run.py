@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frames, rays, tasks, tiles
-from . import store
+from .. import store
 
 
 @dataclass(frozen=True)
 class Request:
-    """radius_m: how far rays go; method: of directions; block: side of a block of the ray kernel, or 0 for the join form."""
+    """radius_m: how far rays go; method: of directions; block: side of a block of the ray kernel, or 0 for the join form;
+    split: how many tasks share a block's directions."""
 
     radius_m: float = 1000.0
     method: str = "nearest5"
-    block: int = 512
+    block: int = 2048
+    split: int = 1
     bin_m: float = 1000.0
 
 
@@ -42,16 +44,12 @@ def plan(tile_frames: DataFrame, tile_sites: DataFrame, request: Request, have:
 
 
 def horizons(pixels: DataFrame, wanted: DataFrame, request: Request) -> DataFrame:
-    """(tile, row, col, direction, horizon, support, blocker) of pixels (tile, row, col, z) in their tile's wanted directions."""
+    """(tile, row, col, z, direction, horizon, support, blocker) of pixels (tile, row, col, z) in their tile's wanted directions, however many there are."""
     if request.block:
-        values = sorted(r["direction"] for r in wanted.select("direction").distinct().limit(1024).collect())  # a method has 72 or 144 directions
-        found = rays.block_horizons(pixels.select("row", "col", "z"), values, request.radius_m, request.block) if values else None
-        if found is None:
-            return pixels.sparkSession.createDataFrame([], "tile string, row long, col long, direction double, horizon float, support smallint, blocker float")
-        found = found.join(pixels.select("row", "col", "tile"), ["row", "col"]).join(F.broadcast(wanted), ["tile", "direction"], "left_semi")
+        found = rays.block_horizons(pixels.select("tile", "row", "col", "z"), wanted, request.radius_m, request.block, split=request.split)
     else:
         found = rays.horizons(pixels.join(wanted, "tile"), pixels, rays.offsets_of(wanted, request.radius_m)).join(pixels.select("row", "col", "tile"), ["row", "col"])
-    return found.select("tile", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "direction", "horizon", "support", "blocker")
+    return found.select("tile", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "z", "direction", "horizon", "support", "blocker")
 
 
 def run(pixels: DataFrame, tile_sites: DataFrame, tile_frames: DataFrame, request: Request = Request(), reuse: store.HorizonStore | None = None) -> DataFrame:
@@ -60,7 +58,7 @@ def run(pixels: DataFrame, tile_sites: DataFrame, tile_frames: DataFrame, reques
     if reuse:
         if p.counts["missing"]:
             reuse.put(horizons(pixels, p.missing, request))
-        schema = "row long, col long, horizon float, support smallint, blocker float, tile string, direction double"
+        schema = "row long, col long, z float, horizon float, support smallint, blocker float, tile string, direction double"
         h = reuse.read(p.needed, schema) if p.counts["directions"] else pixels.sparkSession.createDataFrame([], schema)
     else:
         h = horizons(pixels, p.needed, request)
@@ -81,14 +79,7 @@ def publish(spark: SparkSession, layers: DataFrame, surface: DataFrame, root: st
     counts = spark.read.parquet(f"{root}/{name}/counts")
     if not tasks.same_rows(frames.contingency(whole).select(counts.columns), counts):
         raise RuntimeError("what was read back isn't what was computed")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    temp, final = fs_path(f"{root}/.current-{name}"), fs_path(f"{root}/current.json")
-    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(temp, True)
-    out.write(bytearray(json.dumps({"name": name}).encode()))
-    out.close()
-    fs.delete(final, False)
-    fs.rename(temp, final)
+    store.replace(spark, f"{root}/current.json", json.dumps({"name": name}).encode())
     return counts
 
 

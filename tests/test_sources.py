@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sunlattice.operators import tasks
-from sunlattice.plans import region, run, store
+from sunlattice import store
+from sunlattice.plans import region, run
 from sunlattice.sources import config, geotiff
 from sunlattice.streaming import log
 from tests import oracle
