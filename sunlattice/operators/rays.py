@@ -122,19 +122,23 @@ def scan_array(z: np.ndarray, own: tuple[slice, slice], offs: dict[tuple[int, in
             k = min(strip, n - i)
             t = np.ascontiguousarray(mine[i : i + k, :m])
             low = np.nanmin(t) if not np.isnan(t).all() else np.nan
-            rise, steep, up = np.empty((k, m), np.float32), np.empty((k, m)), np.empty((k, m), bool)
+            rise, least, up = np.empty((k, m), np.float32), np.empty((k, m), np.float32), np.empty((k, m), bool)
             best, far, seen = np.zeros((k, m)), np.zeros((k, m), np.float32), np.full((k, m), -np.inf, np.float32)
+            rough = np.zeros((k, m), np.float32)  # best in single precision, to tell cheaply what can't be steeper
             climbing = not np.isnan(low)
             with np.errstate(invalid="ignore"):
                 for j, (plane, y, x, d) in enumerate(shifts):
                     s = plane[y + i : y + i + k, x : x + m]
                     if climbing:
                         np.subtract(s, t, out=rise)
-                        np.divide(rise, d, out=steep, dtype=np.float64)
-                        np.greater(steep, best, out=up)
-                        if up.any():
-                            np.copyto(best, steep, where=up)
-                            np.copyto(far, np.float32(d), where=up)
+                        np.multiply(rough, np.float32(d * (1 - 1e-6)), out=least)
+                        np.greater(rise, least, out=up)
+                        some = np.flatnonzero(up)
+                        if len(some):
+                            steep = rise.ravel()[some].astype(np.float64) / d
+                            new = steep > best.ravel()[some]
+                            some, steep = some[new], steep[new]
+                            best.ravel()[some], rough.ravel()[some], far.ravel()[some] = steep, steep, d
                         if j % 64 == 63:  # nothing beyond can be steeper than the highest pixel would be
                             climbing = float(top - low) / d * (1 + 1e-6) > best[~np.isnan(t)].min()
                     if gaps:
