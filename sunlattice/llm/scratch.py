@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="sunlattice-")
-        named = _own[app]
-    return named.rstrip("/")
+from .. import store
 
+folder, hadoop, drop = store.folder, store.hadoop, store.drop
 
 #: Rows and bytes of a batch between Spark and Python. A batch is held on both sides at once, and texts make rows large.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's bounds of Arrow batches to BATCH_ROWS and BATCH_BYTES, where they are higher."""
+    """Lowers the session's bounds of Arrow batches to BATCH_ROWS and BATCH_BYTES, where they are higher. They stay so: the plans made here run later."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = str(spark.conf.get(key))
         if not now.isdigit() or not 0 < int(now) <= most:
@@ -34,18 +21,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/sunlattice/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once and reads it back: cuts lineage, and a lost executor costs no recomputation."""
-    spark, to = df.sparkSession, path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    return store.place(spark, name)
 
 
-def hadoop(spark: SparkSession, where: str):
-    """(FileSystem, Path) of a location in any store that Spark reads."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(where)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+def table(df: DataFrame, name: str, *used_up: DataFrame) -> DataFrame:
+    """Writes df once and reads it back: cuts lineage, and a lost executor costs no recomputation. used_up: earlier tables that nothing reads any more, deleted."""
+    return store.cut(df, name, *used_up)

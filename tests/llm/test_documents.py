@@ -242,19 +242,20 @@ LICENSE_ROWS = [*ODD, (8, "Released under the MIT License.\nlicensed under the A
                 (11, "You may not use this file except in compliance with the License. You may obtain a copy at the licence"), (12, "mit license mit license apache license")]
 
 
-def license_brute(text):
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    w = word.findall((text or "").lower())
+def license_brute(text, templates=license_scan.TEMPLATES):
+    """By every run of words of at most twice a template's length; only A to Z are made small."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
     best, more = 0.0, set()
-    for line in (text or "").split("\n"):
-        have = set(word.findall(line.lower()))
-        for label, template in license_scan.TEMPLATES:
-            want = set(template.split())
-            need = len(want) if len(want) < license_scan.SHORT else 0.8 * len(want)
-            if len(want & have) >= need - 1e-9:
+    for label, template in templates:
+        t = template.split()
+        want = set(zip(t, t[1:], strict=False))
+        for i in range(len(w)):
+            run = w[i : i + 2 * len(t)]
+            n = len(want & set(zip(run, run[1:], strict=False)))
+            if n and n >= 0.8 * len(want) - 1e-9:
                 more.add(label)
-                best = max(best, len(want & have) / len(want))
+                best = max(best, n / len(want))
     base = {x for _, x in places}
     return len(w), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if base else best
 
@@ -265,20 +266,6 @@ def test_licenses_are_brute_force(spark):
     assert license_scan.scan(docs(spark, []).limit(0)).count() == 0
 
 
-def wrapped_brute(text, templates=license_scan.TEMPLATES):
-    """Labels and best containment of every line and of every run of words of at most twice a template's length."""
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    w, best, labels = word.findall(text.lower()), 0.0, set()
-    for label, template in templates:
-        want, span = set(template.split()), 2 * len(template.split())
-        need = len(want) if len(want) < license_scan.SHORT else 0.8 * len(want)
-        for have in [*(w[i : i + span] for i in range(len(w))), *(word.findall(line.lower()) for line in text.split("\n"))]:
-            if (n := len(want & set(have))) >= need - 1e-9:
-                labels.add(label)
-                best = max(best, n / len(want))
-    return labels, best
-
-
 def test_wrapped_licenses_are_met(spark):
     rows = []
     for width in (1, 3, 7, 10):
@@ -289,16 +276,30 @@ def test_wrapped_licenses_are_met(spark):
     # too far apart, and one word short
     rows += ["released\n" + "x " * 20 + "under the mit license", "released under\nthe license", "licensed under\nthe gnu general public\n" + "x " * 7 + "license", "licensed under\nthe gnu general public\n" + "x " * 8 + "license"]
     rows = list(enumerate(rows))
-    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, rows)).collect()}
-    for i, text in rows:
-        labels, best = wrapped_brute(text)
-        base = set(filter(None, got[i]["base_labels"].split(",")))
-        assert got[i]["labels"] == ",".join(sorted(labels | base)) and got[i]["score"] == (1.0 if base else best), text
-    assert all(got[2 * k]["labels"] for k in range(4 * len(license_scan.TEMPLATES)))
+    got = {r["doc_id"]: tuple(r)[1:] for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got == {i: license_brute(text) for i, text in rows}
+    assert all(got[2 * k][5] for k in range(4 * len(license_scan.TEMPLATES)))
 
 
-def test_license_overlaps():
-    assert license_scan._overlap("a b c") == 3 and license_scan._overlap(" ".join("abcdefghij")) == 8
+def test_license_words_in_another_order_or_script():
+    assert license_scan._overlap("a b c") == 2 and license_scan._overlap(" ".join("abcdefghijk")) == 8
+    for bad in ("one", "Two Words", "zwei w\u00f6rter"):
+        with pytest.raises(ValueError, match="template"):
+            license_scan.pairs(bad)
+
+
+def test_scrambled_and_folded_notices(spark):
+    r = random.Random(2)
+    rows = []
+    for _, template in license_scan.TEMPLATES:
+        w = template.split()
+        r.shuffle(w)
+        rows.append(" ".join(w))
+    rows += ["released under the \u212aMIT license", "cc by \u212a", "RELEASED UNDER THE M\u0130T LICENSE", "\u212aicense mit license", "x " * 70_000 + "released under the mit license " + "y " * 70_000]
+    rows = list(enumerate(rows))
+    got = {x["doc_id"]: tuple(x)[1:] for x in license_scan.scan(docs(spark, rows)).collect()}
+    short = [(i, t) for i, t in rows if len(t) < 5000]
+    assert {i: got[i] for i, _ in short} == {i: license_brute(t) for i, t in short} and got[len(rows) - 1][5] == "mit"
 
 
 @there
