@@ -1,9 +1,12 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-A sentence's chance comes from a logistic model of its hashed words; a document's is 1 minus the product of the sentences' chances
-of being clean (noisy-or). Only document labels are known in training; the sentence scores locate the offending sentences.
-Sentences end at . ! ? or a line's end. Null and empty texts have no sentence and score 0; null ids pass through; repeated
-rows score alike; an empty table gives an empty result.
+A sentence's chance comes from a logistic model of its hashed words, stems and pairs of neighbouring words, which speak for or against; a document's is
+1 minus the product of the sentences' chances of being clean (noisy-or). Only document labels are known in training; the sentence scores locate the
+offending sentences. Sentences end at . ! ? or a line's end.
+
+Handling: null and empty texts have no sentence and score 0; null ids pass through; repeated rows score alike; a document whose labels contradict
+each other counts as toxic; features of equal chi-square are taken by their number; further columns aren't read, whatever their names; an empty table gives an
+empty result. Texts are taken in pieces of about textkit.PIECE bytes, a longer text alone: its words take some 90 bytes each.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ _END[list(b".!?\n")] = True
 
 @dataclass
 class Sentences:
-    """bucket: (words, 1 + STEMS) features, BUCKETS for none; start: the word at which each sentence (with a word) starts;
+    """bucket: (words, 2 + STEMS) features, BUCKETS for none: a word, its stems, and it with the next word of its sentence; start: the word at which each sentence (with a word) starts;
     first: the number of sentences before each text; words: the words."""
 
     bucket: np.ndarray
@@ -48,7 +51,10 @@ def sentences(texts) -> Sentences:
     border = np.flatnonzero(_END[data]) + 1
     at = np.unique(np.concatenate([np.searchsorted(words.start, border), words.first]))
     at = at[at < len(words.start)]
-    bucket = np.stack([np.where(h == 0, BUCKETS, (h % np.uint64(BUCKETS)).astype(np.int64)) for h in (words.hash, *words.prefix)], axis=1)
+    with np.errstate(over="ignore"):
+        pair = textkit.mix(words.hash * np.uint64(0x9E3779B97F4A7C15) + np.append(words.hash[1:], np.uint64(0))) | np.uint64(1)
+    pair[np.append(at[1:], len(pair))[np.append(at[1:], len(pair)) > 0] - 1] = 0  # a sentence's last word has no next one
+    bucket = np.stack([np.where(h == 0, BUCKETS, (h % np.uint64(BUCKETS)).astype(np.int64)) for h in (words.hash, *words.prefix, pair)], axis=1)
     return Sentences(bucket, at, np.searchsorted(at, words.first), words)
 
 
@@ -78,7 +84,7 @@ def _clean(margin: np.ndarray) -> np.ndarray:
 
 
 def _select(texts: pa.Array, y: np.ndarray) -> np.ndarray:
-    """The features whose presence goes with the label, by the chi-square of documents; FEATURES at most."""
+    """The features whose presence or absence goes with the label, by the chi-square of documents; FEATURES at most."""
     with_, toxic = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for a, b in textkit.pieces_of(texts, textkit.PIECE):
         found = sentences(texts[a:b])
@@ -89,7 +95,7 @@ def _select(texts: pa.Array, y: np.ndarray) -> np.ndarray:
         toxic += np.bincount(feature, y[a:b][pairs // (BUCKETS + 1)], minlength=BUCKETS + 1)
     n, n1 = len(y), y.sum()
     chi = n * (toxic * (n - n1) - (with_ - toxic) * n1) ** 2 / np.maximum(with_ * (n - with_) * n1 * (n - n1), 1e-9)
-    chi[(with_ < 5) | (toxic * n < with_ * n1)] = 0
+    chi[with_ < 5] = 0
     chi[BUCKETS] = 0
     best = np.argsort(-chi, kind="stable")[:FEATURES]
     return np.sort(best[chi[best] > 20])
@@ -155,9 +161,11 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(doc_id, score, n_offending): of every text, and how many of its sentences reach the threshold."""
+    """(doc_id, score, n_offending, offending) of every text: the sentences whose chance reaches the threshold, as (start, end, chance) in code points, from the
+    first word to the last."""
     scratch.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("chance", pa.float64())]))
 
     def rows(batches):
         own = Model(*shared.value)
@@ -165,10 +173,21 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             for a, b in textkit.pieces_of(batch.column(1)):
                 part = batch.slice(a, b - a)
                 found = sentences(part.column(1))
-                over = np.append(0, np.cumsum(own.margin(found) >= np.log(threshold / (1 - threshold))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.chance(found)), pa.array(over[found.first[1:]] - over[found.first[:-1]])], ["doc_id", "score", "n_offending"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(rows), "doc_id long, score double, n_offending long")
+                margin = own.margin(found)
+                over = np.flatnonzero(margin >= np.log(threshold / (1 - threshold)))
+                text_of = np.searchsorted(found.first, over, side="right") - 1
+                places: list[list[dict]] = [[] for _ in range(b - a)]
+                if len(over):
+                    data, offsets = textkit.utf8(part.column(1))
+                    stops = np.append(found.start, len(found.words.start))[1:]
+                    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    at = lambda where, t: points[where] - points[offsets[t]]
+                    starts, ends = at(found.words.start[found.start[over]], text_of), at(found.words.end[stops[over] - 1], text_of)
+                    for t, s, e, m in zip(text_of.tolist(), starts.tolist(), ends.tolist(), margin[over].tolist(), strict=True):
+                        places[t].append({"start": s, "end": e, "chance": 1 / (1 + np.exp(-m))})
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.chance(found)), pa.array(np.bincount(text_of, minlength=b - a)), pa.array(places, spans)], ["doc_id", "score", "n_offending", "offending"])
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(rows), "doc_id long, score double, n_offending long, offending array<struct<start: long, end: long, chance: double>>")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
