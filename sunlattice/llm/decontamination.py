@@ -7,18 +7,22 @@ equal, propose the pair (missed with a chance of 0.8^HASHES at worst); exact con
 taken from those of smaller ones, so each shingle is hashed once for each function. Items of half the least block or less are looked for in windows of
 one shingle, whose min-hash is the shingle itself under any function.
 
-Items are held by every task, so they are taken in parts of PART_BYTES of text at most; more items are more passes. Null texts and texts without
-words contain nothing and are contained in nothing; null ids pass through; repeated rows are found each on its own; empty tables give empty results.
+Items are held by every task, so different texts are taken in parts of PART_BYTES of text at most, one part's index at a time; more items are more passes.
+What is looked for are passages: an item whose shingles stand in a document scattered, each far from the next, is proposed only by chance.
+Handling: null texts and texts without words contain nothing and are contained in nothing; null ids pass through; repeated rows, and items of equal
+texts, are found each on its own; further columns are kept by decontaminate(), whatever their names; there are no ties; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import ngram_join, scratch, textkit
 
@@ -170,26 +174,47 @@ def _grams(hashes: np.ndarray, width: int) -> np.ndarray:
     return textkit.shingles(one, width, short=False)[0]
 
 
-def indexes(items: DataFrame, key: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES) -> list[Index]:
-    """The items' indexes, each of about part_bytes of text at most."""
-    rows = items.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+def _distinct(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(rep, text): each different text once, with its least key."""
+    return items.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).groupBy("text").agg(F.min("id").alias("rep"))
+
+
+def indexes(items: DataFrame, key: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES) -> Iterator[Index]:
+    """The different items' indexes, one after the other, each of about part_bytes of text at most."""
+    rows = _distinct(items, key, text)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // part_bytes) or 1
-    out = []
     for k in range(parts):
-        got = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("id", "text").toArrow()
-        out.append(build(got["id"].to_pylist(), got["text"].combine_chunks()))
+        got = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("rep", "text").toArrow()
+        yield build(got["rep"].to_pylist(), got["text"].combine_chunks())
+
+
+def _passes(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, part_bytes: int, one, chain: bool) -> list[DataFrame]:
+    """one(docs, broadcast index) for each part of the items. With more parts than one each result is a written table, so that one index at a time is
+    held; chain: a pass goes over what the one before left."""
+    out: list[DataFrame] = []
+    found = indexes(items, item_key, item_text, part_bytes)
+    index = next(found)
+    while index is not None:
+        after = next(found, None)
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        made = one(docs, shared)
+        if after is not None or out:
+            made = scratch.table(made, "items-part", *(out if chain else ()))
+            shared.unpersist()
+        out = [made] if chain else [*out, made]
+        docs, index = made if chain else docs, after
     return out
 
 
-def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) of every item that is in a document."""
+def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment) of every item that is in a document; items of equal texts are each found. item_id has the items' own type."""
     scratch.small_batches(docs.sparkSession)
-    out = None
-    for index in indexes(items, item_key, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    kind = dict(items.dtypes)[item_key]
+    arrow = to_arrow_type(items.schema[item_key].dataType)
 
-        def rows(batches, shared=shared):
+    def one(docs: DataFrame, shared) -> DataFrame:
+        def rows(batches):
             own = shared.value
             for batch in batches:
                 ids = batch.column(0).to_pylist()
@@ -198,31 +223,39 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
                         t, i, n = zip(*found, strict=True)
                         sizes = [len(own.grams[k]) for k in i]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([ids[a + k] for k in t], pa.int64()), pa.array([own.ids[k] for k in i], pa.int64()), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x / y for x, y in zip(n, sizes, strict=True)], pa.float64())],
+                            [pa.array([ids[a + k] for k in t], pa.int64()), pa.array([own.ids[k] for k in i], arrow), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x / y for x, y in zip(n, sizes, strict=True)], pa.float64())],
                             ["doc_id", "item_id", "n_item", "n_shared", "containment"],
                         )
 
-        part = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(rows), "doc_id long, item_id long, n_item long, n_shared long, containment double")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(textkit.lean(rows), f"doc_id long, item_id {kind}, n_item long, n_shared long, containment double")
+
+    found, *more = _passes(docs, items, item_key, item_text, part_bytes, one, chain=False)
+    for part in more:
+        found = found.unionByName(part)
+    same = items.select(F.col(item_key).alias("other"), F.col(item_text).alias("text")).join(_distinct(items, item_key, item_text), "text").where(~F.col("other").eqNullSafe(F.col("rep"))).select("rep", "other")
+    if same.isEmpty():
+        return found
+    found = scratch.table(found, "items-found")
+    copies = found.join(same, found["item_id"].eqNullSafe(same["rep"])).select("doc_id", F.col("other").alias("item_id"), "n_item", "n_shared", "containment")
+    return found.unionByName(copies)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs without the rows in which an item is; whole rows, nothing is shuffled."""
     scratch.small_batches(docs.sparkSession)
     at = docs.columns.index(text)
-    for index in indexes(items, item_key, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def rows(batches, shared=shared):
+    def one(docs: DataFrame, shared) -> DataFrame:
+        def rows(batches):
             for batch in batches:
                 for a, b in textkit.pieces_of(batch.column(at), textkit.PIECE):
                     keep = np.ones(b - a, bool)
                     keep[[t for t, _, _ in contained(shared.value, batch.column(at).slice(a, b - a), threshold)]] = False
                     yield batch.slice(a, b - a).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(textkit.lean(rows), docs.schema)
-    return docs
+        return docs.mapInArrow(textkit.lean(rows), docs.schema)
+
+    return _passes(docs, items, item_key, item_text, part_bytes, one, chain=True)[0]
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
