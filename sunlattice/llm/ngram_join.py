@@ -6,8 +6,9 @@ whose members are alike, are compared all against all, in blocks; other large no
 met with the target recall. Within a node a sketch drops members without a partner, then the whole sets decide exactly.
 
 Pairs are never written: a block gives each member's number of partners (a pair counts in the least node that both are in) and a forest of links, of which
-the components are made. Null ids and texts without words take no part: their class is their own id and they have no links. Repeated
-rows count as copies. An empty table gives an empty result.
+the components are made. Handling: null ids and texts without words take no part: their class is their own id and they have no links. Repeated
+rows count as copies; of equal ids the text's hash decides; further columns are kept by deduplicate() and not read by groups(), whatever their names; a text is
+read whole, its words and shingles taking some 40 bytes a word; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def sign(docs: DataFrame, n_runs: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, c, n, sig): the class key (null for a text without words), number of shingles and description of every row; a written table."""
+    """(doc_id, h, c, n, sig): a hash of the text, the class key (null for a text without words), number of shingles and description of every row; a written table."""
 
     def rows(batches):
         for batch in batches:
@@ -116,11 +117,11 @@ def sign(docs: DataFrame, n_runs: int, key: str = "doc_id", text: str = "text")
                 grams, first = shingle_sets(part.column(1))
                 keys, size = _binary(set_keys(grams, first)), np.diff(first)
                 keys = pa.array([k if n else None for k, n in zip(keys.to_pylist(), size.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array(size), _binary(describe(minima(grams, first), n_runs))], ["doc_id", "c", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), keys, pa.array(size), _binary(describe(minima(grams, first), n_runs))], ["doc_id", "h", "c", "n", "sig"])
 
     scratch.small_batches(docs.sparkSession)
-    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return scratch.table(whole.mapInArrow(textkit.lean(rows), "doc_id long, c binary, n long, sig binary"), "signatures")
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
+    return scratch.table(whole.mapInArrow(textkit.lean(rows), "doc_id long, h long, c binary, n long, sig binary"), "signatures")
 
 
 def _children(node: np.ndarray, sig: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -361,30 +362,56 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float
     return signed, out.select("c", "rep", "copies", F.coalesce("partners", F.lit(0)).alias("partners"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("root", "rep").alias("root"))
 
 
+#: Classes of more copies than this, in units of an even share of the rows among 4096 tasks, are joined by a broadcast: there are less than 4096 of them.
+HOT_SHARE = 4096
+
+
+def _joined(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """signed with its rows' classes. Rows without a class go by themselves, and classes with a large share of the rows are broadcast, so no task gets more than its
+    share of one key."""
+    rows = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = classes.where(F.col("copies") > rows // HOT_SHARE + 1000)
+    rest = classes.where(F.col("copies") <= rows // HOT_SHARE + 1000)
+    has = F.col("doc_id").isNotNull() & F.col("c").isNotNull()
+    known, none = signed.where(has), signed.where(~has)
+    hot_keys = F.broadcast(hot.select("c"))
+    big = known.join(F.broadcast(hot), "c")
+    small = known.join(hot_keys, "c", "left_anti").join(rest, "c")
+    return big.unionByName(small).unionByName(none, allowMissingColumns=True)
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """A row for each of docs: doc_id, class_id (the least id of the documents linked with it by a chain of links), copy_id (the least id with the same set),
     n_links (other documents of Jaccard THRESHOLD or more, copies too) and n_linked_texts (different sets among them)."""
-    signed, classes = link(docs, key, text, recall)
-    rows = signed.select("doc_id", "c").join(classes, (signed["c"] == classes["c"]) & signed["doc_id"].isNotNull(), "left")
     zero = F.lit(0).cast("long")
-    return rows.select(
+    return _joined(*link(docs, key, text, recall)).select(
         "doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"),
         F.coalesce(F.col("copies") - 1 + F.col("documents"), zero).alias("n_links"), F.coalesce("partners", zero).alias("n_linked_texts"),
     )
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """docs with one row of each group: that of the least id; of rows with equal id and text one. Rows without an id or words stay."""
-    found = scratch.table(groups(docs, key, text, recall).where(F.col("doc_id").isNotNull()).select("doc_id", "class_id"), "groups")
-    away = next(n for n in ("_gone", *(f"_gone_{i}" for i in range(len(docs.columns) + 1))) if n not in {c.lower() for c in docs.columns})
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(away)).distinct()
+    """docs with one row of each group: that of the least id, of several rows of that id the one of the least hash of the text, once. Rows without an id or
+    words stay. Rows are told apart by id and text, so an id that stands with several texts loses only those that are copies."""
+    found = scratch.table(_joined(*link(docs, key, text, recall)).where(F.col("doc_id").isNotNull() & F.col("c").isNotNull()).select("doc_id", "h", F.col("root").alias("class_id")), "groups")
+    taken = {c.lower() for c in docs.columns}
+    away, mark, one = (next(n for n in (x, *(f"{x}_{i}" for i in range(len(taken) + 1))) if n not in taken) for x in ("_gone", "_text", "_copy"))
+    # of the rows that have their group's id there is one in nearly all groups; the others are few
+    first = found.where(F.col("doc_id") == F.col("class_id")).groupBy("class_id").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = scratch.table(first, "several")
+    lost = found.where(F.col("doc_id") != F.col("class_id")).select("doc_id", "h")
+    again = found.where(F.col("doc_id") == F.col("class_id")).join(several, "class_id").where(F.col("h") != F.col("first")).select("doc_id", "h")
+    gone = scratch.table(lost.unionByName(again).distinct().select(F.col("doc_id").alias(away), F.col("h").alias(mark)), "gone")
     few = gone.count() <= FETCH_BROADCAST
-    left = docs.join(F.broadcast(gone) if few else gone, F.col(key).cast("long") == F.col(away), "left_anti")
-    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(away))
-    if twice.isEmpty():
+    same = (F.col(key).cast("long") == F.col(away)) & (F.xxhash64(F.col(text)) == F.col(mark))
+    left = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    if several.isEmpty():
         return left
-    again = left.join(twice, F.col(key).cast("long") == F.col(away), "left_semi").dropDuplicates([key, text])
-    return left.join(twice, F.col(key).cast("long") == F.col(away), "left_anti").unionByName(again)
+    # rows of the same id and text
+    ids = several.select(F.col("class_id").alias(one))
+    has = F.length(F.coalesce(F.col(text), F.lit(""))) > 0
+    twice = left.where(has).join(ids, F.col(key).cast("long") == F.col(one), "left_semi").dropDuplicates([key, text])
+    return left.join(ids, (F.col(key).cast("long") == F.col(one)) & has, "left_anti").unionByName(twice)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
