@@ -5,8 +5,9 @@ in shares of the limits, has the largest dot product with what is left. Where no
 sequence is cut into full ones first. What is left over at a partition's end is cut into sequences whose lengths are powers of two.
 
 Each partition is packed as it is read, so nothing is shuffled and no more than WINDOW examples are held; a sequence's number is its partition's
-number times 2^40 plus its place, the same in every attempt of a task over the same split. Null texts count as empty; null ids pass through; repeated
-rows are packed each on its own; an empty table gives no pieces.
+number times 2^40 plus its place, the same in every attempt of a task over the same split; another split of the files gives other sequences.
+Handling: null texts count as empty; null ids pass through; repeated rows are packed each on its own; of equally good examples the first waiting one goes
+in; further columns aren't read, whatever their names; a text is encoded whole, CHARS characters at a time; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def pack(examples: Iterable[Example], tokens: int = TOKENS, segments: int = SEGM
         while True:
             fits = (demand <= left + 1e-12).all(axis=1)
             if fits.any():
-                k = int(np.where(fits, demand @ left, -1).argmax())
+                k = int(np.where(fits, np.where(fits[:, None], demand, 0) @ left, -1).argmax())
                 x, demand[k], waiting[k] = waiting[k], np.inf, None
             else:
                 rest = np.rint(left * limits).astype(np.int64)
@@ -245,13 +246,29 @@ def pack_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
 
 #: Turns of an example of pack_conversations(); a longer conversation is several examples.
 TURNS = 64
+#: Limits of instruction data: segments, and loss-bearing tokens, of a sequence.
+EXAMPLES, LOSS = 16, 1024
 
 
-def pack_conversations(turns: DataFrame, vocabulary: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, trains: str = "assistant", end: int = END) -> DataFrame:
-    """The pieces of instruction data: FIELDS and part. An example is TURNS turns of a conversation (conv_id, turn, role, text) in order, each turn ended
-    by `end`, `part` its number; only the turns of the role `trains` bear loss. A sequence that a limit keeps from being full stays as it is, to be padded."""
-    part = F.floor(F.coalesce("turn", F.lit(0)) / TURNS).cast("long")
-    whole = turns.groupBy(F.col("conv_id").cast("long").alias("doc_id"), part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+def examples_of(turns: DataFrame) -> DataFrame:
+    """(doc_id, part, turns): the turns of a conversation (conv_id, turn, role, text) in examples of about TURNS, in order; part numbers them.
+
+    A conversation may hold any share of the rows, and a turn may stand any number of times or have no number: rows go to parts by their turn's number,
+    and a part of more than 2 x TURNS rows is dealt by a hash of its rows, equal ones being told apart by their copy's number. So no list outgrows that by much."""
+    whole = turns.select(F.col("conv_id").cast("long").alias("doc_id"), "turn", "role", "text").groupBy("doc_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("_n"))
+    each = whole.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n").withColumn("_p", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-1)).cast("long"))
+    crowded = whole.groupBy("doc_id", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-1)).cast("long").alias("_p")).agg(F.sum("_n").alias("_k")).where(F.col("_k") > 2 * TURNS)
+    same = each["doc_id"].eqNullSafe(crowded["doc_id"]) & (each["_p"] == crowded["_p"])
+    dealt = each.join(crowded, same, "left").select(each["doc_id"], "turn", "role", "text", "_c", each["_p"], F.coalesce(F.pmod(F.xxhash64("turn", "role", "text", "_c"), F.ceil(F.col("_k") / TURNS)), F.lit(0)).alias("_s"))
+    made = dealt.groupBy("doc_id", "_p", "_s").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "_c"))).alias("turns"))
+    return made.select("doc_id", (F.col("_p") * 4294967296 + F.col("_s")).cast("long").alias("part"), "turns")
+
+
+def pack_conversations(turns: DataFrame, vocabulary: str, tokens: int = TOKENS, segments: int = EXAMPLES, loss: int | None = LOSS, trains: str = "assistant", end: int = END) -> DataFrame:
+    """The pieces of instruction data: FIELDS and part. An example is one of examples_of(), each turn ended by `end`; only the turns of the role `trains` bear loss.
+    A sequence that a limit keeps from being full stays as it is, to be padded. Sequence numbers hold within one result; another split of the files gives others."""
+    scratch.small_batches(turns.sparkSession)
+    whole = examples_of(turns)
 
     def rows(batches):
         encode = encoder(vocabulary)
@@ -268,6 +285,11 @@ def pack_conversations(turns: DataFrame, vocabulary: str, tokens: int = TOKENS,
     return whole.mapInArrow(textkit.lean(rows), FIELDS + ", part long")
 
 
+def packing_conversations(spark, sf_dir: str) -> DataFrame:
+    """All conversations as instruction data, under limits of tokens, segments and loss-bearing tokens."""
+    return pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), default_vocabulary())
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
