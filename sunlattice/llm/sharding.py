@@ -115,7 +115,16 @@ class ShardStore:
         schema = df.schema.json()
         if now.schema is not None and StructType.fromJson(json.loads(now.schema)).simpleString() != df.schema.simpleString():
             raise ValueError(f"the store has {StructType.fromJson(json.loads(now.schema)).simpleString()}, not {df.schema.simpleString()}")
-        return self._commit(Manifest(now.version + 1, now.schema or schema, now.shards + self._write(df, batch), (*now.batches, batch)))
+        made = self._write(df, batch)
+        while True:  # the files stand; only the manifest is tried again after another writer's
+            try:
+                return self._commit(Manifest(now.version + 1, now.schema or schema, now.shards + made, (*now.batches, batch)))
+            except Conflict:
+                now = self.manifest()
+                if batch in now.batches:
+                    return now
+                if now.schema is not None and StructType.fromJson(json.loads(now.schema)).simpleString() != df.schema.simpleString():
+                    raise
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.base, self.fanout)) + 1) if size > self.base else 0
@@ -140,7 +149,14 @@ class ShardStore:
             if sum(s.rows for s in made) != sum(s.rows for s in merged):
                 raise RuntimeError("a merge has other rows than its files")
             gone = {s.path for s in merged}
-            now = self._commit(Manifest(now.version + 1, now.schema, tuple(s for s in now.shards if s.path not in gone) + made, now.batches))
+            while True:
+                try:
+                    now = self._commit(Manifest(now.version + 1, now.schema, tuple(s for s in now.shards if s.path not in gone) + made, now.batches))
+                    break
+                except Conflict:
+                    now = self.manifest()
+                    if not gone <= {s.path for s in now.shards}:
+                        break  # another writer has merged some of them; vacuum() takes the files made here
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version's shards."""
