@@ -15,8 +15,10 @@ QUERIES = {
     "op8_license_scans": license_scan.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_packing": packing.op10,
+    "quality_ablations": quality_rules.quality_ablations,
+    "packing_conversations": packing.packing_conversations,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scans": license_scan.oracle_sql(), "op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op8_license_scans": license_scan.oracle_sql(), "op9_quality_rules": quality_rules.ORACLE_SQL, "quality_ablations": quality_rules.ABLATIONS_SQL}

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunlattice.llm import gbdt, language_id, quality_classifier, toxicity
-from tests.llm.helpers import DATA, ODD, docs
+from tests.llm.helpers import DATA, ODD, clashing, docs
 
 SMALL = f"{DATA}/sf0.1"
 there = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
@@ -67,6 +68,56 @@ def test_trees_find_a_rule_and_ties():
     assert gbdt.auc(np.array([1.0, 1.0, 0.0]), np.array([1, 0, 0])) == 0.75
 
 
+def exhaustive(x, y, p, l2=1.0, least=1.0):
+    """(gain, feature, cut) of the best split of all rows: every feature and every value."""
+    g, h = y - p, p * (1 - p)
+    best = (1e-9, None, None)
+    for j in range(x.shape[1]):
+        for cut in sorted(set(x[:, j].tolist()))[:-1]:
+            left = x[:, j] <= cut
+            hl, hr = h[left].sum(), h[~left].sum()
+            if hl >= least and hr >= least:
+                gain = g[left].sum() ** 2 / (hl + l2) + g[~left].sum() ** 2 / (hr + l2) - g.sum() ** 2 / (h.sum() + l2)
+                if gain > best[0] + 1e-9:
+                    best = gain, j, cut
+    return best
+
+
+def test_splits_are_the_best_of_all():
+    rng = np.random.default_rng(8)
+    for k in range(6):
+        x = rng.integers(0, 12, (400, 4)).astype(float)
+        y = ((x[:, k % 4] > 5) ^ (rng.random(400) < 0.2)).astype(float)
+        tree = gbdt.fit(x, y, trees=1, depth=2)
+        p = np.full(400, (y.sum() + 0.5) / 401)
+        rows = [np.ones(400, bool)]
+        _, j, cut = exhaustive(x, y, p)
+        assert tree.feature[0, 0] == j and ((x[:, j] > tree.threshold[0, 0]) == (x[:, j] > cut)).all()
+        rows = [x[:, j] <= cut, x[:, j] > cut]
+        for node, own in enumerate(rows):
+            gain, j2, cut2 = exhaustive(x[own], y[own], p[own])
+            if j2 is not None:
+                f, t = tree.feature[0, 1 + node], tree.threshold[0, 1 + node]
+                left = x[own][:, f] <= t
+                g, h = (y - p)[own], (p * (1 - p))[own]
+                found = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+                assert found == pytest.approx(gain)
+
+
+def test_classifiers_keep_apart_from_clashing_columns(spark):
+    rows = [*ODD, *((20 + i, f"word{i} " * 30) for i in range(20))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4, 30)], "doc_id long, y int")
+    plain, extra = docs(spark, rows), clashing(docs(spark, rows))
+    for d in (plain, extra):
+        stats = quality_classifier.table(d)
+        q = sorted((r.doc_id or 0, round(r.score, 9)) for r in quality_classifier.score(stats, quality_classifier.fit(stats, labels, F.lit(True))).collect())
+        t = sorted((r.doc_id or 0, round(r.score, 6)) for r in toxicity.score(d, toxicity.train(d, labels, F.lit(True))).collect())
+        l = sorted((r.doc_id or 0, r.lang_pred, round(r.score, 6)) for r in language_id.predict(d, language_id.train(d, F.lit(True))).collect())
+        if d is plain:
+            first = q, t, l
+    assert first == (q, t, l)
+
+
 def test_quality_odd_rows(spark):
     stats = quality_classifier.table(docs(spark, ODD))
     labels = spark.createDataFrame([(5, 1), (6, 0), (6, 0), (None, 1), (7, None)], "doc_id long, y int")
@@ -97,6 +148,85 @@ def test_noisy_or_and_places():
     assert [bad[a:b] for a, b, _ in places] == ["you are a vermin fool"] and not toxicity.locate(model, good) and not toxicity.locate(model, None)
 
 
+def plain_features(text):
+    """{(kind, bytes)} by sentence: words, their first bytes, and pairs of neighbours."""
+    out = []
+    for part in re.split(r"[.!?\n]", text.lower()):
+        w = re.findall(r"[a-z0-9]+", part)
+        if w:
+            out.append({("w", x) for x in w} | {(k, x[:k]) for x in w for k in toxicity.STEMS if len(x) >= k} | {("p", x, y) for x, y in zip(w, w[1:], strict=False)})
+    return out
+
+
+def test_chosen_features_are_those_of_the_chi_square():
+    """Words and pairs for and against, against sets by hand: a bucket is chosen if one of its features has the chi-square."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}" for a in ("kal", "mur", "tes", "vin") for b in ("a", "o", "ira", "enta")]
+    texts, y = [], []
+    for k in range(300):
+        w = rng.choice(vocabulary, 12).tolist()
+        toxic = k % 3 == 0
+        if toxic:
+            w[4:6] = ["vermin", "fool"]
+        elif rng.random() < 0.9:
+            w[7] = "please"
+        texts.append(" ".join(w[:6]) + ". " + " ".join(w[6:]))
+        y.append(int(toxic))
+    chosen = set(toxicity._select(pa.array(texts), np.array(y)).tolist())
+    count, hits = {}, {}
+    for text, label in zip(texts, y, strict=True):
+        for f in set().union(*plain_features(text)):
+            count[f] = count.get(f, 0) + 1
+            hits[f] = hits.get(f, 0) + label
+    n, n1 = len(y), sum(y)
+    chi = {f: n * (hits[f] * (n - n1) - (c - hits[f]) * n1) ** 2 / (c * (n - c) * n1 * (n - n1)) for f, c in count.items() if 5 <= c < n}
+    wanted = {f for f, v in chi.items() if v > 20}
+    bucket = {}
+    for word, kind in ((w, k) for w in ("vermin", "fool", "please", "kala") for k in ["w", *toxicity.STEMS]):
+        found = toxicity.sentences(pa.array([word]))
+        bucket["w" if kind == "w" else kind, word if kind == "w" else word[:kind]] = int(found.bucket[0, 0 if kind == "w" else 1 + toxicity.STEMS.index(kind)])
+    bucket["p", "vermin", "fool"] = int(toxicity.sentences(pa.array(["vermin fool"])).bucket[0, -1])
+    assert int(toxicity.sentences(pa.array(["vermin. fool"])).bucket[0, -1]) == toxicity.BUCKETS
+    for f, b in bucket.items():
+        if f in count and b != toxicity.BUCKETS:
+            assert (b in chosen) == (f in wanted), f
+    assert ("w", "please") in wanted and ("p", "vermin", "fool") in wanted
+
+
+def test_the_fit_is_at_a_minimum():
+    """The fitted weights have a loss that no small step along an axis lowers much; the loss is spelled out by hand."""
+    texts = pa.array(["you vermin. a day", "a calm day. please come", "vermin here", "please. a sea", "a day. you fool vermin", "calm sea. please"] * 30)
+    y = np.array([1, 0, 1, 0, 1, 0] * 30)
+    model = toxicity.fit(texts, y, steps=800)
+
+    def loss(weight, bias):
+        m = toxicity.Model(weight, bias)
+        found = toxicity.sentences(texts)
+        chance = 1 / (1 + np.exp(-m.margin(found)))
+        total = 0.0
+        for k, (a, b) in enumerate(zip(found.first, found.first[1:], strict=False)):
+            clean = math.prod(1 - chance[a:b])
+            total -= math.log(1 - clean) if y[k] else math.log(clean)
+        return total / len(y) + 0.3 / 2 / len(y) * (weight**2).sum()
+
+    at = loss(model.weight, model.bias)
+    for f in np.flatnonzero(model.weight)[:12]:
+        for step in (-0.05, 0.05):
+            moved = model.weight.copy()
+            moved[f] += step
+            assert loss(moved, model.bias) > at - 1e-4
+
+
+def test_offending_sentences_are_located(spark):
+    good, bad = "a calm day by the sea. we walked home.", "a calm day. you are a vermin fool! we walked home."
+    model = toxicity.fit(pa.array([good, bad] * 40), np.array([0, 1] * 40))
+    rows = [(1, good), (2, "日本 é. " + bad), (3, None), (4, bad + "\n" + bad), (5, "x. " * 40_000 + "you are a vermin fool")]
+    got = {r.doc_id: r for r in toxicity.score(clashing(docs(spark, rows)), model).collect()}
+    for i, text in rows:
+        spans = [text[s.start : s.end] for s in got[i].offending]
+        assert spans == ["you are a vermin fool"] * (text or "").count("vermin") and got[i].n_offending == len(spans) and all(s.chance >= 0.5 for s in got[i].offending)
+
+
 def test_toxicity_odd_rows(spark):
     d, labels = docs(spark, ODD), spark.createDataFrame([(5, 1), (6, 0), (None, 1), (7, None)], "doc_id long, y int")
     got = toxicity.score(d, toxicity.train(d, labels, F.lit(True))).collect()

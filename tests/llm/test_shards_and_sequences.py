@@ -145,7 +145,61 @@ def test_packed_conversations(spark, tokenizer):
     assert all(n <= 2048 and loss <= 64 for n, loss in sums.values())
     size = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
     assert sum(p.length for p in pieces) == sum(size(t) for *_, t in turns) and sum(p.loss_tokens for p in pieces) == sum(size(t) for _, _, role, t in turns if role == "assistant")
-    assert {p.part for p in pieces if p.doc_id == 77} == {0, 1, 2, 3}
+    assert {p.part >> 32 for p in pieces if p.doc_id == 77} == {0, 1, 2, 3}
+
+
+def test_hot_conversations(spark):
+    turns = [(1, 0, "user", "same")] * 700 + [(1, None, "assistant", f"t{i}") for i in range(500)] + [(None, 3, "user", "x")] * 300 + [(2, t, "user", "y") for t in range(130)]
+    got = packing.examples_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(len(r.turns) for r in got) == len(turns) and max(len(r.turns) for r in got) <= 4 * packing.TURNS
+    assert [len(r.turns) for r in sorted((r for r in got if r.doc_id == 2), key=lambda r: r.part)] == [64, 64, 2]
+    assert len({(r.doc_id, r.part) for r in got}) == len(got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
+def test_conversations_pad_less_than_first_fit(spark):
+    pieces = packing.packing_conversations(spark, SMALL).collect()
+    sequences, whole = {}, {}
+    for p in pieces:
+        sequences.setdefault(p.sequence_id, []).append(p)
+        whole.setdefault((p.doc_id, p.part), []).append(p)
+    for s in sequences.values():
+        assert sum(p.length for p in s) <= packing.TOKENS and len(s) <= packing.EXAMPLES and sum(p.loss_tokens for p in s) <= packing.LOSS
+    # first fit of the same examples, whole, in their order; a longer one fills sequences of its own
+    room = []
+    for own in whole.values():
+        need = np.array([sum(p.length for p in own) % packing.TOKENS, 1, sum(p.loss_tokens for p in own) % packing.LOSS])
+        k = next((k for k, r in enumerate(room) if (r >= need).all()), None)
+        if k is None:
+            room.append(np.array([packing.TOKENS, packing.EXAMPLES, packing.LOSS]))
+            k = -1
+        room[k] = room[k] - need
+    assert len(sequences) <= len(room) + sum(sum(p.length for p in own) // packing.TOKENS + sum(p.loss_tokens for p in own) // packing.LOSS for own in whole.values())
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    """A writer whose version was taken commits the next one; a merge of files that are gone is given up."""
+    a, b = (sharding.ShardStore(spark, str(tmp_path), 1 << 20, 2, 1) for _ in range(2))
+    commit = a._commit
+
+    def late(new):
+        a._commit = commit
+        b.append(docs(spark, [(9, "from b")]), "b")
+        return commit(new)
+
+    a.append(docs(spark, [(1, "one")]), "one")
+    a._commit = late
+    m = a.append(docs(spark, [(2, "two")]), "two")
+    assert m.version == 3 and sorted(r.doc_id for r in a.read().collect()) == [1, 2, 9]
+
+    def merged(new):
+        a._commit = commit
+        b.compact()
+        return commit(new)
+
+    a._commit = merged
+    a.compact()
+    assert sorted(r.doc_id for r in a.read().collect()) == [1, 2, 9]
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
