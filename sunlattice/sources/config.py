@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import operator
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,49 +58,87 @@ KINDS = {
 }
 
 
-def problems(value, schema: dict, root: dict | None = None, at: str = "$") -> list[str]:
-    """What in value goes against a JSON Schema of the keywords handled here; another keyword is an error of the schema's."""
-    root = schema if root is None else root
-    known = {"$ref", "$schema", "$id", "$defs", "title", "description", "default", "oneOf", "type", "const", "enum", "required", "properties", "additionalProperties", "minItems", "maxItems", "uniqueItems", "items", "minLength", "maxLength", "pattern", "minimum", "maximum"}
-    if extra := set(schema) - known:
-        raise Invalid(f"schema keywords {sorted(extra)}")
-    if "$ref" in schema:
-        target = root
-        for part in schema["$ref"].removeprefix("#/").split("/"):
-            target = target[part]
-        return problems(value, target, root, at)
-    if "oneOf" in schema:
-        fits = [s for s in schema["oneOf"] if not problems(value, s, root, at)]
-        return [] if len(fits) == 1 else [f"{at}: fits {len(fits)} of the choices"]
-    kinds = schema.get("type")
-    if kinds and not any(KINDS[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        return [f"{at}: not of type {kinds}"]
-    out = []
-    if "const" in schema and canonical(value) != canonical(schema["const"]):
-        out.append(f"{at}: not {schema['const']!r}")
-    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
-        out.append(f"{at}: not one of {schema['enum']}")
-    if isinstance(value, dict):
-        fields = schema.get("properties", {})
-        out += [f"{at}: {k} is missing" for k in schema.get("required", []) if k not in value]
-        for k, v in value.items():
-            if k in fields:
-                out += problems(v, fields[k], root, f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}: {k} isn't known")
-            elif isinstance(schema.get("additionalProperties"), dict):
-                out += problems(v, schema["additionalProperties"], root, f"{at}.{k}")
-    if isinstance(value, list):
-        n, texts = len(value), list(map(canonical, value)) if schema.get("uniqueItems") else []
-        out += [f"{at}: {n} items"] * (n < schema.get("minItems", 0) or n > schema.get("maxItems", n))
-        out += [f"{at}: an item stands twice"] * (len(set(texts)) < len(texts))
-        out += [p for i, v in enumerate(value) if "items" in schema for p in problems(v, schema["items"], root, f"{at}[{i}]")]
-    if isinstance(value, str):
-        out += [f"{at}: length {len(value)}"] * (len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", len(value)))
-        out += [f"{at}: not as {schema.get('pattern')}"] * ("pattern" in schema and not re.search(schema["pattern"], value))
-    if KINDS["number"](value):
-        out += [f"{at}: {value} is out of range"] * (value < schema.get("minimum", value) or value > schema.get("maximum", value))
-    return out
+class _Check:
+    """One value against one schema: a method for each keyword, named by it; a keyword that has none, and is no annotation, is an error of the schema's."""
+
+    ANNOTATIONS = frozenset(("$schema", "$id", "$defs", "title", "description", "default"))
+
+    def __init__(self, root: dict):
+        self.root = root
+
+    def __call__(self, value, schema: dict, at: str):
+        for keyword, wanted in schema.items():
+            if keyword not in self.ANNOTATIONS:
+                check = getattr(self, "on_" + keyword.lstrip("$"), None)
+                if check is None:
+                    raise Invalid(f"schema keyword {keyword}")
+                yield from check(value, wanted, at, schema)
+
+    def on_ref(self, value, pointer, at, _):
+        target = self.root
+        for part in pointer.removeprefix("#").split("/")[1:]:
+            target = target[part.replace("~1", "/").replace("~0", "~")]
+        yield from self(value, target, at)
+
+    def on_oneOf(self, value, choices, at, _):
+        fitting = sum(next(iter(self(value, c, at)), None) is None for c in choices)
+        if fitting != 1:
+            yield f"{at}: fits {fitting} of the choices"
+
+    def on_type(self, value, kinds, at, _):
+        if not any(KINDS[k](value) for k in (kinds if isinstance(kinds, list) else [kinds])):
+            yield f"{at}: not of type {kinds}"
+
+    def on_const(self, value, only, at, _):
+        yield from self.on_enum(value, [only], at, _)
+
+    def on_enum(self, value, choices, at, _):
+        if canonical(value) not in {canonical(c) for c in choices}:
+            yield f"{at}: not one of {choices}"
+
+    def on_required(self, value, names, at, _):
+        if isinstance(value, dict):
+            yield from (f"{at}: {n} is missing" for n in names if n not in value)
+
+    def on_properties(self, value, schemas, at, _):
+        for name in schemas.keys() & value.keys() if isinstance(value, dict) else ():
+            yield from self(value[name], schemas[name], f"{at}.{name}")
+
+    def on_additionalProperties(self, value, rule, at, schema):
+        for name in sorted(value.keys() - schema.get("properties", {}).keys()) if isinstance(value, dict) else ():
+            if rule is False:
+                yield f"{at}: {name} isn't known"
+            elif rule is not True:
+                yield from self(value[name], rule, f"{at}.{name}")
+
+    def on_items(self, value, schema, at, _):
+        for i, item in enumerate(value if isinstance(value, list) else ()):
+            yield from self(item, schema, f"{at}[{i}]")
+
+    def on_uniqueItems(self, value, wanted, at, _):
+        if wanted and isinstance(value, list) and len({canonical(v) for v in value}) < len(value):
+            yield f"{at}: an item stands twice"
+
+    def on_pattern(self, value, pattern, at, _):
+        if isinstance(value, str) and re.fullmatch(pattern, value) is None:
+            yield f"{at}: not as {pattern}"
+
+    @staticmethod
+    def _bound(kind, measure, beyond):
+        def check(self, value, bound, at, _):
+            if KINDS[kind](value) and beyond(measure(value), bound):
+                yield f"{at}: {measure(value)} is out of range"
+
+        return check
+
+    on_minItems, on_maxItems = _bound("array", len, operator.lt), _bound("array", len, operator.gt)
+    on_minLength, on_maxLength = _bound("string", len, operator.lt), _bound("string", len, operator.gt)
+    on_minimum, on_maximum = _bound("number", lambda v: v, operator.lt), _bound("number", lambda v: v, operator.gt)
+
+
+def problems(value, schema: dict) -> list[str]:
+    """What in value goes against a JSON Schema of _Check's keywords; a pattern must match the whole text, and a reference's other keywords hold too."""
+    return list(_Check(schema)(value, schema, "$"))
 
 
 def with_defaults(value: dict, schema: dict) -> dict:

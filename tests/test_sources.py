@@ -1,4 +1,4 @@
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
 import numpy as np
@@ -52,6 +52,12 @@ def test_strict_json():
     assert config.problems({"a": 3, "b": ["x"], "c": None}, schema) == []
     for bad in ({}, {"a": 0}, {"a": True}, {"a": 1, "b": []}, {"a": 1, "b": ["x", "x"]}, {"a": 1, "b": ["q"]}, {"a": 1, "c": "no"}, {"a": 1, "e": 1}):
         assert config.problems(bad, schema), bad
+    assert config.problems("xzz", {"pattern": "z+"}) and not config.problems("zz", {"pattern": "z+"})
+    linked = {"$defs": {"n/a": {"type": "integer"}}, "properties": {"k": {"$ref": "#/$defs/n~1a", "minimum": 5}}, "additionalProperties": {"type": ["string", "null"], "maxLength": 2}}
+    assert not config.problems({"k": 7, "other": "ab", "none": None}, linked)
+    assert [len(config.problems(v, linked)) for v in ({"k": 3}, {"k": "x"}, {"other": "abc"}, {"other": 1})] == [1, 1, 1, 1]
+    with pytest.raises(config.Invalid):
+        config.problems(1, {"minimun": 3})
     assert config.with_defaults({"a": 1}, schema) == {"a": 1, "d": 2.5} and config.canonical({"b": 1, "a": [1.5]}) == '{"a":[1.5],"b":1}' and config.sanitised([float("nan")]) == ["NaN"]
 
 
@@ -62,8 +68,70 @@ def test_local_instants():
             region.instant(text, zone)
     assert region.instant("2026-07-01T12:00:00-04:00", zone) == datetime(2026, 7, 1, 16, tzinfo=UTC)
     assert len(region.days({"from": "2024-02-28", "to": "2024-03-01"})) == 3
-    got = region.wall_samples(datetime(2026, 11, 1, 4, 50, tzinfo=UTC), datetime(2026, 11, 1, 7, 0, tzinfo=UTC), zone, 30)
-    assert len(got) == 5 and len(set(got)) == 5  # 1:00 and 1:30 stand twice, 2:00 once
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kathmandu", "Europe/Lisbon"])
+def test_wall_samples(spark, zone):
+    """Against all minutes of three days around a change of clocks, looked at one by one."""
+    for start in (datetime(2026, 10, 24, 20, 13, 7, tzinfo=UTC), datetime(2026, 10, 31, 20, 0, tzinfo=UTC), datetime(2026, 3, 7, 22, 59, 59, 1, tzinfo=UTC)):
+        for minutes in (7, 30, 60):
+            last, wanted, t = start + timedelta(days=2, seconds=3), [], start.replace(second=0, microsecond=0)
+            while t <= last:
+                wall = t.astimezone(ZoneInfo(zone))
+                if t >= start and (wall.hour * 60 + wall.minute) % minutes == 0:
+                    wanted.append(t.replace(tzinfo=None))
+                t += timedelta(minutes=1)
+            assert sorted(r.utc for r in region.wall_samples(spark, start, last, zone, minutes).collect()) == wanted
+    assert region.wall_samples(spark, start, start - timedelta(days=1), zone, 5).isEmpty()
+
+
+def brute_partition(rect, tiles, step, limit):
+    """The least worth of all cuts from edge to edge, by trying each."""
+    touches = lambda r: any(t[0] < r[2] and r[0] < t[2] and t[1] < r[3] and r[1] < t[3] for t in tiles)
+    known = {}
+
+    def least(r):
+        if r not in known:
+            known[r] = _least(r)
+        return known[r]
+
+    def _least(r):
+        area = (r[2] - r[0]) * (r[3] - r[1])
+        if not touches(r):
+            return area, 0, 0
+        if area <= limit:
+            return 0, 1, r[2] - r[0] + r[3] - r[1]
+        ways = [((r[0], r[1], k, r[3]), (k, r[1], r[2], r[3])) for k in range(r[0] + 1, r[2]) if k % step == 0] + [((r[0], r[1], r[2], k), (r[0], k, r[2], r[3])) for k in range(r[1] + 1, r[3]) if k % step == 0]
+        return min((tuple(map(sum, zip(least(p), least(q), strict=True))) for p, q in ways), default=(10**9, 0, 0))
+
+    return least(rect)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 7), st.integers(0, 7), st.integers(9, 20), st.integers(9, 20), st.sets(st.tuples(st.integers(0, 4), st.integers(0, 4)), min_size=1), st.integers(16, 80))
+def test_partition_is_the_best(left, bottom, right, top, cells, limit):
+    tiles = [(4 * x, 4 * y, 4 * x + 4, 4 * y + 4) for x, y in cells]
+    rect = (left, bottom, right, top)
+    assert region._worth(*region.partition(rect, tiles, (0, 0), (4, 4), limit)) == brute_partition(rect, tiles, 4, limit)
+
+
+def test_partition_of_a_large_lattice():
+    rng = np.random.default_rng(6)
+    for _ in range(5):
+        cells = np.argwhere(rng.random((40, 30)) < 0.4)
+        tiles = [(10 * x, 10 * y, 10 * x + 10, 10 * y + 10) for x, y in cells.tolist()]
+        parts, gaps = region.partition((3, 5, 397, 291), tiles, (0, 0), (10, 10), 1700)
+        seen = np.zeros((400, 300), int)
+        for a, b, c, d in parts + gaps:
+            seen[a:c, b:d] += 1
+        full = np.zeros((400, 300), bool)
+        for a, b, c, d in tiles:
+            full[a:c, b:d] = True
+        assert seen[3:397, 5:291].min() == seen.max() == 1 and seen.sum() == 394 * 286
+        assert all((c - a) * (d - b) <= 1700 and full[a:c, b:d].any() for a, b, c, d in parts) and not any(full[a:c, b:d].any() for a, b, c, d in gaps)
+        assert len(parts) <= 2 * 394 * 286 / 1700 + 40
+    with pytest.raises(ValueError, match="more than 99"):
+        region.partition((0, 0, 400, 300), [(0, 0, 400, 300)], (0, 0), (10, 10), 99)
 
 
 @settings(max_examples=30, deadline=None)
