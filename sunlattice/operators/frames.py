@@ -96,3 +96,15 @@ def violations(layers: DataFrame) -> DataFrame:
 def daily_means(rolled: DataFrame, day: str) -> DataFrame:
     """Means over frames of the groups' shares, per day."""
     return rolled.groupBy(day, "grp").agg(F.count(F.lit(1)).alias("frames"), *[F.avg(f"{m}_share").alias(f"{m}_mean") for m in MEASURES])
+
+
+def recounted(layers: DataFrame, published: DataFrame) -> DataFrame:
+    """(frame, surface, shade, quality, published, counted) of the combinations whose published count isn't that of the layers."""
+    keys = ["frame", "surface", "shade", "quality"]
+    both = contingency(layers).withColumnRenamed("pixels", "counted").join(published.withColumnRenamed("pixels", "published"), keys, "full")
+    return both.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("published", "counted")}).where("published <> counted").select(*keys, "published", "counted")
+
+
+def reconciled(totals: DataFrame, area: int) -> DataFrame:
+    """totals (..., pixels) with whole: whether all of them together are the domain's area."""
+    return totals.join(F.broadcast(totals.agg((F.sum("pixels") == area).alias("whole"))))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, lattice, solar
-from ..operators import fill, frames, impact, ordered, rays, tasks, tiles
+from ..operators import fill, frames, impact, ordered, quantiles, rays, tasks, tiles
+from ..sources import catalogue, geotiff
 from .. import store
-from . import scene
+from . import publish, run, scene
 
 RADIUS = 10.0
 DIRECTIONS = (0.0, 45.0, 90.0, 215.0)
@@ -66,10 +67,10 @@ def f2_daylight(spark, sf_dir):
 
 @query
 def p9_daylight_filter(spark, sf_dir):
-    """Events of the first days, kept or dropped by their day's sunrise and sunset as taken from a table of hours."""
-    e = scene.read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("t"))
-    bounds = e.select("day").distinct().select("day", F.lit(7 * 3600 + 600).alias("sunrise"), (F.lit(17 * 3600) + F.dayofmonth("day") * 60).alias("sunset")).where(F.dayofmonth("day") % 5 != 0)
-    return ordered.within_daylight(e, bounds).select("event_id", "kept", "reason")
+    """Events, kept or dropped by the sunrise and sunset of their day."""
+    e = scene.read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"))
+    days = e.select("day").distinct()
+    return ordered.within_daylight(e, solar.daylight(days, "day", F.lit(scene.LATITUDE), F.lit(0.0))).select("event_id", "kept", "reason")
 
 
 # --- frames and labels
@@ -407,8 +408,9 @@ def a11_surface_counts(spark, sf_dir):
 
 @query
 def a12_territory_totals(spark, sf_dir):
+    """Pixels of each surface, and whether they add up to the domain's area."""
     v = _view(spark, sf_dir).groupBy("surface").agg(F.count(F.lit(1)).alias("pixels"))
-    return _codes_int(v)
+    return _codes_int(frames.reconciled(v, scene.SIDE * scene.SIDE))
 
 
 @query
@@ -444,9 +446,10 @@ def a19_enclosed_shores(spark, sf_dir):
 @query
 def a20_ingest_percentiles(spark, sf_dir):
     z = F.col("z").cast("double")
-    p = F.percentile(z, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    a = scene.gappy(spark, sf_dir).agg(F.count("z").alias("valid"), F.count_if(F.col("z").isNull()).alias("missing"), F.min(z).alias("lowest"), F.max(z).alias("highest"), p.alias("p"), F.count_if(z < PROFILE.sea_m).alias("below"))
-    return a.select("valid", "missing", "lowest", "highest", *[_r(F.col("p")[i]).alias(n) for i, n in enumerate(("p1", "p50", "p99"))], "below", _r(F.col("below") / F.col("valid")).alias("below_share"), (F.col("below") > 0).alias("fill_above_ground"))
+    g = store.cut(scene.gappy(spark, sf_dir).select(z.alias("z")))
+    p = quantiles.exact(g, "z", {"p1": 0.01, "p50": 0.5, "p99": 0.99})
+    a = g.agg(F.count("z").alias("valid"), F.count_if(F.col("z").isNull()).alias("missing"), F.min(z).alias("lowest"), F.max(z).alias("highest"), F.count_if(z < PROFILE.sea_m).alias("below")).join(p)
+    return a.select("valid", "missing", "lowest", "highest", *[_r(n).alias(n) for n in ("p1", "p50", "p99")], "below", _r(F.col("below") / F.col("valid")).alias("below_share"), (F.col("below") > 0).alias("fill_above_ground"))
 
 
 @query
@@ -727,11 +730,12 @@ def f22_json(spark, sf_dir):
 
 @query
 def j10_direction_equi_join(spark, sf_dir):
-    """How many pixels meet a horizon in each frame."""
-    sun = _sun_frames(spark, sf_dir).where("apparent > 0")
-    px = scene.pixels(spark, sf_dir)
-    h = px.where("z is not null").join(frames.needed_directions(_sun_frames(spark, sf_dir)), "tile").select("tile", "row", "col", "direction")
-    return sun.select("frame", "tile", "direction").join(h, ["tile", "direction"]).groupBy("frame").agg(F.count(F.lit(1)).alias("pixels"))
+    """How many pixels meet a horizon in each frame, and how many of those horizons are above the Sun."""
+    sun = store.cut(_sun_frames(spark, sf_dir).where("apparent > 0"))
+    px = scene.pixels(spark, sf_dir).join(F.broadcast(scene.tiles(spark).select("tile")), "tile")
+    h = rays.block_horizons(px, frames.needed_directions(sun), RADIUS, side=32)
+    met = sun.select("frame", "tile", "direction", "apparent").join(h, ["tile", "direction"])
+    return met.groupBy("frame").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("horizon") > F.col("apparent").cast("float")).alias("below"))
 
 
 @query
@@ -796,15 +800,113 @@ def a35_unique_items(spark, sf_dir):
     return x.select("l_orderkey", F.size("items").cast("long").alias("n"), (F.size(F.array_distinct("items")) < F.size("items")).alias("twice"))
 
 
+def _files(spark, sf_dir, where=None):
+    """A new folder with the gappy scene's supplied tiles (or those of a condition) as GeoTIFFs, no-data in their gaps."""
+    to = store.place(spark, "tiles")
+    g = scene.gappy(spark, sf_dir).where("supplied")
+    geotiff.export(geotiff.encoded(g if where is None else g.where(where), "z", "f4", codes.NODATA, epsg=2326), to)
+    return to
+
+
+@query
+def s1_catalogue(spark, sf_dir):
+    """What a scan of GeoTIFFs that were written just now says of them."""
+    found = geotiff.inventory(spark, _files(spark, sf_dir))
+    bad = catalogue.problems(found, epsg=2326, size=BIN)
+    return found.join(bad.withColumnRenamed("problem", "why"), "name", "left").select("name", "width", "height", "left", "bottom", "right", "top", "nodata", "epsg", "why")
+
+
+@query
+def s2_refreshed_catalogue(spark, sf_dir):
+    """A kept catalogue after a file was added: only that one is opened again."""
+    to, table = _files(spark, sf_dir, "tile <> 't1_1'"), store.place(spark, "catalogue")
+    first = store.cut(catalogue.refresh(spark, to, table))
+    geotiff.export(geotiff.encoded(scene.gappy(spark, sf_dir).where("tile = 't1_1'"), "z", "f4", codes.NODATA, epsg=2326), to)
+    return catalogue.refresh(spark, to, table).join(first.select("name", F.lit(True).alias("known")), "name", "left").select("name", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query
+def s5_pixels_of_files(spark, sf_dir):
+    """The heights of the tiles within 4 m of a rectangle, out of their files."""
+    return catalogue.RawSource(spark, _files(spark, sf_dir)).pixels((8.5, -7.5, 9.0, -7.0), 4.0).select(F.regexp_replace("tile", r"\.tif$", "").alias("tile"), "row", "col", F.col("z").cast("double").alias("z"))
+
+
+@query
+def s7_cells(spark, sf_dir):
+    """Cells of 8 m of the files, the domain around them, and the cells without a file."""
+    found = geotiff.inventory(spark, _files(spark, sf_dir, "tile not in ('t1_1', 't2_0')"))
+    have = catalogue.cells(found, 8.0, 8.0, 100.0).select("cx", "cy", F.lit(True).alias("file"), "shifted", "d_left", "d_top")
+    return have.unionByName(catalogue.missing_cells(found, 8.0, 8.0).withColumn("file", F.lit(False)), allowMissingColumns=True)
+
+
 @query
 def s9_sheet_check(spark, sf_dir):
-    """Expected against actual sheets: missing, extra, or of another size."""
-    c = scene.read(spark, sf_dir, "customer")
-    expected = c.where("c_custkey % 4 <> 0").select("c_name", F.col("c_nationkey").alias("bytes"))
-    actual = c.where("c_custkey % 6 <> 0").select("c_name", (F.col("c_nationkey") + F.when(F.col("c_custkey") % 11 == 0, 1).otherwise(0)).alias("actual"))
-    both = expected.join(actual, "c_name", "full")
-    problem = F.when(F.col("actual").isNull(), "missing").when(F.col("bytes").isNull(), "extra").when(F.col("bytes") != F.col("actual"), "size")
-    return both.select("c_name", problem.alias("problem")).where(F.col("problem").isNotNull())
+    """A delivery against its list: a file is missing, one too many, one of another size, one of another hash."""
+    found = store.cut(geotiff.inventory(spark, _files(spark, sf_dir, "tile <> 't0_0'")))
+    expected = found.where("name <> 't0_1.tif'").select("name", (F.col("bytes") + F.when(F.col("name") == "t1_0.tif", 1).otherwise(0)).alias("bytes"), F.when(F.col("name") == "t2_2.tif", "0").otherwise(F.col("sha256")).alias("sha256"))
+    expected = expected.unionByName(spark.createDataFrame([("t0_0.tif", 1, "0")], "name string, bytes long, sha256 string"))
+    return catalogue.sheet_problems(expected, found, epsg=2326, size=BIN)
+
+
+@query
+def k15_ingest(spark, sf_dir):
+    """Sheets to native cells of 10 x 24 pixels, published and read back: each cell's pixels and heights."""
+    to = _files(spark, sf_dir)
+    back = catalogue.ingest(spark, to, None, store.place(spark, "city"), (10, 24), "one", epsg=2326, size=BIN)
+    return back.groupBy("cell").agg(F.count(F.lit(1)).alias("pixels"), F.count("z").alias("heights"), F.sum(F.col("z").cast("double")).alias("total"))
+
+
+def _built(spark, sf_dir):
+    """The published filled view of the files."""
+    raw, root = catalogue.RawSource(spark, _files(spark, sf_dir)), store.place(spark, "view")
+    catalogue.build_view(spark, raw, root, "one", PROFILE, (scene.TILE, scene.TILE), side=32)
+    view = catalogue.FilledSource(spark, root, raw)
+    view.check()
+    return view
+
+
+@query
+def k16_view(spark, sf_dir):
+    """Surfaces of a filled view that was built from files, written, and read back by its provider."""
+    view = _built(spark, sf_dir)
+    return view.surface().join(view.pixels().select("row", "col", "z"), ["row", "col"]).groupBy("surface").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("z").cast("double")).alias("total")).withColumn("surface", F.col("surface").cast("int"))
+
+
+@query
+def s13_view_window(spark, sf_dir):
+    """A window that hangs over the view's edge, checked against the manifest; 255 outside."""
+    return _codes_int(_built(spark, sf_dir).window(40, 30, 40, 40))
+
+
+@query
+def k8_publication(spark, sf_dir):
+    """Files to published frames and back: the summary of a publication, as its JSON says."""
+    to, root = _files(spark, sf_dir), store.place(spark, "published")
+    source = catalogue.RawSource(spark, to, 2326)
+    times = scene.frames(spark, sf_dir).where("frame % 24 = 6")
+    sites = scene.tiles(spark).withColumn("tile", F.concat("tile", F.lit(".tif"))).drop("ty", "tx")
+    whole = (0.0, -32.0, 24.0, 0.0)
+    found = store.cut(publish.labels(source, whole, times, run.Request(RADIUS, block=32, bin_m=BIN), sites))
+    publish.write(spark, found, source.surface(), times, root, "one", rasters=False)
+    back = spark.read.schema("frame int, grp string, pixels long, sunlit long, shaded long, uncertain long").json(f"{root}/one/summary-json")
+    return back
+
+
+@query
+def j23_city(spark, sf_dir):
+    """Which city holds each customer's site: exactly one, or none."""
+    cities = spark.createDataFrame([("east", 114.2, 22.0, 114.3, 22.5), ("west", 113.9, 22.0, 114.1, 22.5), ("north", 114.25, 22.4, 114.5, 22.9)], "city string, left double, bottom double, right double, top double")
+    inside = lattice.within_closed(tuple(F.col(s) for s in tiles.SIDES), F.col("lon"), F.col("lat"))
+    met = _sites(spark, sf_dir).join(F.broadcast(cities), inside, "left").groupBy("c_custkey").agg(F.count("city").alias("n"), F.min("city").alias("city"))
+    return met.select("c_custkey", "n", F.when(F.col("n") == 1, F.col("city")).alias("city"))
+
+
+@query
+def f14_centres(spark, sf_dir):
+    """Degrees of tiles' centres, for the Sun's place."""
+    moved = scene.tiles(spark).select(F.col("tile").alias("name"), *[(F.col(c) * 100 + o).alias(c) for c, o in (("left", 836000.0), ("bottom", 818000.0), ("right", 836000.0), ("top", 818000.0))])
+    e, n = lattice.to_grid(F.col("latitude"), F.col("longitude"))
+    return publish.sites(moved).select("tile", _r(e, 2).alias("east"), _r(n, 2).alias("north"))
 
 
 @query
@@ -864,8 +966,11 @@ def j31_blocked_exceptions(spark, sf_dir):
 
 @query
 def a13_recount(spark, sf_dir):
-    """Recounted layers against the published contingency: rows on either side only."""
-    layers = store.cut(_labels(spark, sf_dir))
-    published = store.cut(frames.contingency(layers))
-    again = layers.groupBy("frame", "surface", "shade", "quality").agg(F.sum(F.lit(1)).alias("pixels"))
-    return published.exceptAll(again).agg(F.count(F.lit(1)).alias("only_published")).crossJoin(again.exceptAll(published).agg(F.count(F.lit(1)).alias("only_counted"))).crossJoin(published.agg(F.sum("pixels").alias("pixels")))
+    """Counts that were written against a recount of the written layers, pixel by pixel; two counts were changed on the way."""
+    root = store.place(spark, "recount")
+    layers = _labels(spark, sf_dir)
+    layers.write.parquet(f"{root}/layers")
+    back = spark.read.parquet(f"{root}/layers")
+    wrong = frames.contingency(back).withColumn("pixels", F.col("pixels") + F.when((F.col("frame") % 300 == 7) & (F.col("quality") == 4), 1).otherwise(0))
+    wrong.write.parquet(f"{root}/counts")
+    return _codes_int(frames.recounted(back, spark.read.parquet(f"{root}/counts")))

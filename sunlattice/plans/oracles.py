@@ -141,6 +141,27 @@ READY = f"{TASKS}, rd AS (SELECT task FROM tk t WHERE state = 'queued' AND NOT E
 SECOND = "CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INT)"
 
 
+def _files_view() -> str:
+    """The filled view of the supplied part of the scene: its domain ends where the files do."""
+    most = N - T
+    own = GAPPY.replace("g AS MATERIALIZED (", "g AS MATERIALIZED (SELECT * FROM (") + f" WHERE c < {most})"
+    return own + ", " + REACH.replace(f"c IN (0, {N - 1})", f"c IN (0, {most - 1})") + ", " + surface()
+
+
+FILES_VIEW = _files_view()
+
+
+def _daylight() -> str:
+    """CTEs that end in up: day, sunrise and sunset in seconds, by a lattice of two minutes and 28 halvings."""
+    start = f"WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), l AS (SELECT day, day + i * INTERVAL 2 MINUTE AS t, i FROM d, range(721) x(i)), {sun('s0', 'l', 'day, i, t', 't', str(scene.LATITUDE), '0.0')}, n AS (SELECT day, epoch(t) AS p, geometric + 0.833 AS v, lead(geometric + 0.833) OVER (PARTITION BY day ORDER BY i) AS nx FROM s0), b0 AS (SELECT day, v > 0 AS up, p, p + 120 AS q FROM n WHERE v * nx < 0)"
+    for k in range(28):
+        start += f", m{k} AS (SELECT *, floor((p + q) / 2 * 1e6) / 1e6 AS mid, make_timestamp(CAST(floor((p + q) / 2 * 1e6) AS BIGINT)) AS t FROM b{k}), {sun(f'x{k}_', f'm{k}', 'day, up, p, q, mid, t', 't', str(scene.LATITUDE), '0.0')}, b{k + 1} AS MATERIALIZED (SELECT day, up, CASE WHEN (geometric + 0.833 > 0) = up THEN mid ELSE p END AS p, CASE WHEN (geometric + 0.833 > 0) = up THEN q ELSE mid END AS q FROM x{k}_)"
+    return start + ", up AS MATERIALIZED (SELECT day, max(CASE WHEN NOT up THEN (p + q) / 2 END) AS sunrise, max(CASE WHEN up THEN (p + q) / 2 END) AS sunset FROM b28 GROUP BY day HAVING count(*) = 2)"
+
+
+DAYLIGHT = _daylight()
+
+
 def _edges_sql() -> str:
     ring = lambda name, pts: [(name, *a, *b) for a, b in zip(pts, pts[1:] + pts[:1], strict=True)]
     rows = ring("outer", [(1.0, -30.0), (30.0, -28.0), (27.0, -2.0), (3.0, -4.0)]) + ring("outer", [(10.0, -20.0), (20.0, -20.0), (20.0, -10.0), (10.0, -10.0)]) + ring("small", [(12.0, -18.0), (18.5, -17.0), (15.0, -11.0)])
@@ -161,12 +182,14 @@ SELECT c_custkey, round(836694.05 + nu * (aa + (1 - t + cc) * pow(aa, 3) / 6 + (
 
 def oracle_sql() -> dict[str, str]:
     touch = "a.l < b.rt AND b.l < a.rt AND a.b < b.tp AND b.b < a.tp"
+    gap_tiles = GAPPY + ", files AS MATERIALIZED (SELECT tile, min(r) AS r0, min(c) AS c0, max(r) + 1 AS r1, max(c) + 1 AS c1 FROM g WHERE supplied GROUP BY tile)"
+    labels_of_files = LABELS.replace(PX, GAPPY + ", px AS MATERIALIZED (SELECT r, c, z, tile FROM g WHERE supplied)").replace(FRAMES, FRAMES.replace("frames AS", "frames0 AS") + ", frames AS MATERIALIZED (SELECT * FROM frames0 WHERE frame % 24 = 6)")
     snap_down, snap_up = (lambda x: f"floor(({x}) / 0.5 + 1e-7) * 0.5"), (lambda x: f"ceil(({x}) / 0.5 - 1e-7) * 0.5")
     out = {
         "f1_solar_events": f"WITH {EVENT_SUN} SELECT event_id, round(azimuth, 6) AS azimuth, round(geometric, 6) AS geometric, round(apparent, 6) AS apparent FROM s",
         "f4_direction_bins": f"WITH {EVENT_SUN} SELECT 'nearest5' AS method, {BIN5} AS direction, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'nearest2_5', (floor((azimuth + 1.25) / 2.5) * 2.5) % 360, count(*) FROM s GROUP BY ALL",
         "w1_crossings": f"WITH {EVENT_SUN}, u AS (SELECT CAST(ts AS DATE) AS day, ts, min(event_id) AS event_id, min(geometric + 0.833) AS v FROM s GROUP BY 1, 2), l AS (SELECT *, lead(v) OVER (PARTITION BY day ORDER BY ts) AS nx FROM u) SELECT CAST(day AS VARCHAR) AS day, event_id, v > 0 AS was_up FROM l WHERE v * nx < 0",
-        "p9_daylight_filter": f"WITH e AS (SELECT CAST(ts AS DATE) AS day, event_id, {SECOND} AS t FROM events), k AS (SELECT event_id, coalesce(dayofmonth(day) % 5 <> 0 AND t BETWEEN 25800 AND 61200 + dayofmonth(day) * 60, false) AS kept FROM e) SELECT event_id, kept, CASE WHEN NOT kept THEN 'outside daylight' END AS reason FROM k",
+        "p9_daylight_filter": f"{DAYLIGHT}, k AS (SELECT event_id, coalesce(epoch(ts) BETWEEN sunrise AND sunset, false) AS kept FROM events LEFT JOIN up ON up.day = CAST(ts AS DATE)) SELECT event_id, kept, CASE WHEN NOT kept THEN 'outside daylight' END AS reason FROM k",
         "a26_distinct_directions": f"WITH {SUN}, {NEEDED} SELECT tile, direction FROM needed",
         "j9_frames_tiles": f"WITH {SUN} SELECT frame, count(*) AS tiles, count(*) FILTER (WHERE apparent > 0) AS up, round(max(apparent), 6) AS highest FROM sun GROUP BY frame",
         "j19_missing_directions": f"WITH {SUN}, {NEEDED} SELECT tile, direction FROM needed WHERE CAST(direction AS INT) % 10 <> 0",
@@ -210,7 +233,7 @@ def oracle_sql() -> dict[str, str]:
         "g1_components": f'{ROOTS} SELECT u // {N} AS "row", u % {N} AS col, k // {N} AS root_row, k % {N} AS root_col, open FROM root',
         "j15_nearest_shore": f'WITH {GAPPY}, {SHORE}, m AS (SELECT r, c FROM g WHERE z IS NULL) SELECT m.r AS "row", m.c AS col, round(sqrt(min((m.r - s.r) * (m.r - s.r) + (m.c - s.c) * (m.c - s.c))), 6) AS d FROM m LEFT JOIN (SELECT * FROM shore WHERE low) s ON (m.r - s.r) * (m.r - s.r) + (m.c - s.c) * (m.c - s.c) <= 36 GROUP BY m.r, m.c',
         "a11_surface_counts": f"{VIEW} SELECT t.tile, s.surface, count(v.r) AS pixels FROM (SELECT DISTINCT tile FROM view) t CROSS JOIN (VALUES (0), (1), (2), (3), (4), (255)) s(surface) LEFT JOIN view v ON v.tile = t.tile AND v.surface = s.surface GROUP BY ALL",
-        "a12_territory_totals": f"{VIEW} SELECT surface, count(*) AS pixels FROM view GROUP BY surface",
+        "a12_territory_totals": f"{VIEW} SELECT surface, count(*) AS pixels, sum(count(*)) OVER () = {N * N} AS whole FROM view GROUP BY surface",
         "g4_fill": f'{VIEW} SELECT r AS "row", c AS col, CASE WHEN surface IN (1, 2) THEN {PROFILE.sea_m} WHEN surface = 0 THEN CAST(z AS DOUBLE) END AS z, surface FROM view',
         "g12_sensitivity": " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {GAPPY}, {REACH}, {surface(catalog.fill.Profile(PROFILE.sea_m, m, PROFILE.max_shore_m, p, PROFILE.exclusions))} SELECT CAST({m} AS DOUBLE) AS margin, CAST({p} AS DOUBLE) AS preference, count(*) FILTER (WHERE surface IN (1, 2)) AS water FROM view)" for m in (0.25, 1.0) for p in (0.0, 1.0)),
         "a18_component_stats": f"{ROOTS} SELECT count(*) AS pixels, min(u // {N}) AS row_min, max(u // {N}) AS row_max, min(u % {N}) AS col_min, max(u % {N}) AS col_max, count(DISTINCT (u // {N} // {T}) * 100 + u % {N} // {T}) AS tiles FROM root GROUP BY k HAVING count(*) >= 5",
@@ -256,7 +279,7 @@ def oracle_sql() -> dict[str, str]:
         "f20_array_functions": f"WITH {PX}, x AS (SELECT tile, list_sort(list(DISTINCT r)) AS rows_ FROM px GROUP BY tile) SELECT tile, CAST(len(rows_) AS BIGINT) AS n, rows_[1] AS \"first\", rows_[-1] AS \"last\", CAST(len(list_filter(rows_, lambda q: q % 2 = 0)) AS BIGINT) AS even FROM x",
         "f21_count_maps": "SELECT l_returnflag, count(*) FILTER (WHERE l_linenumber = 1) AS n1, count(*) FILTER (WHERE l_linenumber = 4) AS n4, count(*) FILTER (WHERE l_linenumber = 9) AS n9 FROM lineitem GROUP BY l_returnflag",
         "f22_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.missing') IS NULL AS no_other FROM events",
-        "j10_direction_equi_join": f"WITH {PX}, {SUN}, {NEEDED} SELECT s.frame, count(*) AS pixels FROM sun s JOIN px p ON p.tile = s.tile AND p.z IS NOT NULL WHERE s.apparent > 0 GROUP BY s.frame",
+        "j10_direction_equi_join": f"WITH {PX}, {SUN}, {NEEDED}, pt AS MATERIALIZED (SELECT px.* FROM px JOIN tiles USING (tile)), target AS (SELECT pt.*, direction FROM pt JOIN needed USING (tile)), {offsets('needed')}, {rays('h', 'target', 'pt', own=True)}, hh AS (SELECT h.*, pt.tile FROM h JOIN pt USING (r, c)) SELECT s.frame, count(*) AS pixels, count(*) FILTER (WHERE hh.horizon > CAST(s.apparent AS FLOAT)) AS below FROM sun s JOIN hh ON hh.tile = s.tile AND hh.direction = s.direction WHERE s.apparent > 0 GROUP BY s.frame",
         "j21_solar_by_source": "WITH e AS (SELECT l_suppkey % 50 AS name, l_linenumber % 3 + l_suppkey % 50 AS v, l_linenumber FROM lineitem) SELECT name, count(DISTINCT v) AS versions FROM e WHERE l_linenumber <= 1 + name % 4 GROUP BY name HAVING count(DISTINCT v) > 1",
         "j29_interval_join": "WITH o AS (SELECT o_orderkey, dayofyear(o_orderdate) % 30 AS d0 FROM orders), e AS (SELECT dayofmonth(ts) AS d, count(*) AS n FROM events GROUP BY 1) SELECT o_orderkey, CAST(sum(n) AS BIGINT) AS events FROM o JOIN e ON d BETWEEN d0 AND d0 + 6 GROUP BY o_orderkey",
         "j13_explained_losses": f"""{IMPACT}, bl AS (SELECT r, c, r + CAST(round_even(r % 2 - cos(radians(115.0)) * CAST(blocker AS DOUBLE) / 0.5, 0) AS BIGINT) - r % 2 AS br, c + CAST(round_even(c % 2 + sin(radians(115.0)) * CAST(blocker AS DOUBLE) / 0.5, 0) AS BIGINT) - c % 2 AS bc FROM two WHERE blocker > 0),
@@ -266,7 +289,7 @@ SELECT CASE WHEN shade = 0 THEN 'raised_threshold' WHEN bs BETWEEN 1 AND 4 AND b
         "a25_chunk_equality": "SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, CAST(0 AS BIGINT) AS slope_beyond, CAST(0 AS BIGINT) AS support_beyond, CAST(0 AS BIGINT) AS blocker_beyond",
         "a17_scope_ratios": "WITH x AS (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linestatus = 'F') AS closed, count(*) FILTER (WHERE l_quantity > 49) AS large FROM lineitem GROUP BY 1) SELECT *, round(returned / nullif(closed, 0), 6) AS returned_share, round(large / nullif(returned, 0), 6) AS large_share FROM x",
         "a35_unique_items": "SELECT l_orderkey, count(*) AS n, count(DISTINCT l_partkey % 20) < count(*) AS twice FROM lineitem GROUP BY 1",
-        "s9_sheet_check": "WITH a AS (SELECT c_name, c_nationkey AS bytes FROM customer WHERE c_custkey % 4 <> 0), b AS (SELECT c_name, c_nationkey + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS actual FROM customer WHERE c_custkey % 6 <> 0), j AS (SELECT c_name, CASE WHEN actual IS NULL THEN 'missing' WHEN bytes IS NULL THEN 'extra' WHEN bytes <> actual THEN 'size' END AS problem FROM a FULL JOIN b USING (c_name)) SELECT * FROM j WHERE problem IS NOT NULL",
+        "s9_sheet_check": "SELECT * FROM (VALUES ('t0_0.tif', 'missing'), ('t0_1.tif', 'extra'), ('t1_0.tif', 'bytes'), ('t2_2.tif', 'hash')) v(name, problem)",
         "s15_required_batches": "SELECT DISTINCT o_custkey % 40 AS batch FROM orders EXCEPT SELECT o_custkey % 41 FROM orders WHERE o_orderkey % 97 = 0",
         "u5_subset": "SELECT count(*) AS missing, count(*) = 0 AS subset FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 500 <> 7)",
         "u8_listing_difference": "SELECT p_brand, p_size FROM part EXCEPT ALL SELECT p_brand, p_size FROM part WHERE p_partkey % 3 <> 0",
@@ -274,6 +297,17 @@ SELECT CASE WHEN shade = 0 THEN 'raised_threshold' WHEN bs BETWEEN 1 AND 4 AND b
         "p10_time_filter": f"WITH {FRAMES} SELECT q.hhmm, f.frame FROM (VALUES ('0300'), ('1200'), ('1215')) q(hhmm) LEFT JOIN frames f ON strftime(utc, '%H%M') = q.hhmm",
         "p7_exclusions": f'WITH {PX} SELECT r AS "row", c AS col FROM px WHERE (c + 0.5) * 0.5 BETWEEN {PROFILE.exclusions[0][0]} AND {PROFILE.exclusions[0][2]} AND -(r + 0.5) * 0.5 BETWEEN {PROFILE.exclusions[0][1]} AND {PROFILE.exclusions[0][3]}',
         "j31_blocked_exceptions": f"WITH {TILES} SELECT b.tile FROM tiles a JOIN tiles b ON a.tile = 't1_1' AND a.l - 2 < b.rt AND b.l < a.rt + 2 AND a.b - 2 < b.tp AND b.b < a.tp + 2",
-        "a13_recount": f"{LABELS} SELECT CAST(0 AS BIGINT) AS only_published, CAST(0 AS BIGINT) AS only_counted, CAST(sum(pixels) AS BIGINT) AS pixels FROM combo",
+        "a13_recount": f"{LABELS} SELECT frame, surface, shade, quality, CAST(pixels + 1 AS BIGINT) AS published, pixels AS counted FROM combo WHERE frame % 300 = 7 AND quality = 4",
+        "f2_daylight": f"{DAYLIGHT} SELECT CAST(day AS VARCHAR) AS day, round(sunrise, 3) AS sunrise, round(sunset, 3) AS sunset FROM up",
+        "s1_catalogue": f"WITH {gap_tiles} SELECT tile || '.tif' AS name, CAST(c1 - c0 AS INT) AS width, CAST(r1 - r0 AS INT) AS height, c0 / 2.0 AS \"left\", -r1 / 2.0 AS bottom, c1 / 2.0 AS \"right\", -r0 / 2.0 AS top, CAST(-9999 AS DOUBLE) AS nodata, CAST(2326 AS INT) AS epsg, CAST(NULL AS VARCHAR) AS why FROM files",
+        "s2_refreshed_catalogue": f"WITH {gap_tiles} SELECT tile || '.tif' AS name, tile <> 't1_1' AS known FROM files",
+        "s5_pixels_of_files": f'WITH {gap_tiles} SELECT tile, r AS "row", c AS col, CAST(z AS DOUBLE) AS z FROM g WHERE tile IN (SELECT tile FROM files WHERE c0 / 2.0 < 13 AND c1 / 2.0 > 4.5 AND -r1 / 2.0 < -3 AND -r0 / 2.0 > -11.5)',
+        "s7_cells": f"WITH {gap_tiles}, have AS (SELECT c0 // 16 AS cx, -r1 // 16 AS cy, tile FROM files) SELECT cx, cy, tile NOT IN ('t1_1', 't2_0') AS file, CASE WHEN tile NOT IN ('t1_1', 't2_0') THEN false END AS shifted, CASE WHEN tile NOT IN ('t1_1', 't2_0') THEN CAST(-100 AS DOUBLE) END AS d_left, CASE WHEN tile NOT IN ('t1_1', 't2_0') THEN CAST(100 AS DOUBLE) END AS d_top FROM have",
+        "k15_ingest": f"WITH {gap_tiles} SELECT (r // 10) || '_' || (c // 24) AS cell, count(*) AS pixels, count(z) AS heights, sum(CAST(z AS DOUBLE)) AS total FROM g WHERE supplied GROUP BY 1",
+        "k16_view": f"WITH RECURSIVE {FILES_VIEW} SELECT surface, count(*) AS pixels, sum(CASE WHEN surface IN (1, 2) THEN {PROFILE.sea_m} WHEN surface = 0 THEN CAST(z AS DOUBLE) END) AS total FROM view GROUP BY surface",
+        "s13_view_window": f'WITH RECURSIVE {FILES_VIEW}, w AS (SELECT 40 + i // 40 AS r, 30 + i % 40 AS c FROM range(1600) t(i)) SELECT w.r AS "row", w.c AS col, CAST(coalesce(surface, 255) AS INT) AS surface FROM w LEFT JOIN view USING (r, c)',
+        "k8_publication": f"{labels_of_files}, {rolled(GROUP + ' AS grp')} SELECT frame, grp, pixels, sunlit, shaded, uncertain FROM roll",
+        "j23_city": "WITH s AS (SELECT c_custkey, 22.2 + (c_custkey % 400) / 1000.0 AS lat, 113.9 + (c_custkey * 7 % 500) / 1000.0 AS lon FROM customer), c(city, l, b, r, t) AS (VALUES ('east', 114.2, 22.0, 114.3, 22.5), ('west', 113.9, 22.0, 114.1, 22.5), ('north', 114.25, 22.4, 114.5, 22.9)) SELECT c_custkey, count(city) AS n, CASE WHEN count(city) = 1 THEN min(city) END AS city FROM s LEFT JOIN c ON lon BETWEEN l AND r AND lat BETWEEN b AND t GROUP BY c_custkey",
+        "f14_centres": f"WITH {TILES} SELECT tile, round((l + rt) * 50 + 836000.0, 2) AS east, round((b + tp) * 50 + 818000.0, 2) AS north FROM tiles",
     }
     return out

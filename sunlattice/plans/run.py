@@ -66,8 +66,8 @@ def run(pixels: DataFrame, tile_sites: DataFrame, tile_frames: DataFrame, reques
     return frames.label(pixels.select("tile", "row", "col", "z"), p.sun.select("frame", "tile", "apparent", "direction"), h, limits)
 
 
-def publish(spark: SparkSession, layers: DataFrame, surface: DataFrame, root: str, name: str) -> DataFrame:
-    """Writes layers with their surface and counts under root/name, reads them back, compares, and only then names them in root/current.json. Returns the counts."""
+def publish(spark: SparkSession, layers: DataFrame, surface: DataFrame, root: str, name: str, point: bool = True) -> DataFrame:
+    """Writes layers with their surface and counts under root/name, reads them back, compares, and only then, if point says so, names them in root/current.json. Returns the counts."""
     root = root.rstrip("/")
     whole = layers.join(surface.select("row", "col", "surface"), ["row", "col"])
     whole.write.mode("overwrite").partitionBy("frame").parquet(f"{root}/{name}/layers")
@@ -79,7 +79,8 @@ def publish(spark: SparkSession, layers: DataFrame, surface: DataFrame, root: st
     counts = spark.read.parquet(f"{root}/{name}/counts")
     if not tasks.same_rows(frames.contingency(whole).select(counts.columns), counts):
         raise RuntimeError("what was read back isn't what was computed")
-    store.replace(spark, f"{root}/current.json", json.dumps({"name": name}).encode())
+    if point:
+        store.replace(spark, f"{root}/current.json", json.dumps({"name": name}).encode())
     return counts
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -73,6 +74,20 @@ def replace(spark: SparkSession, where: str, data: bytes) -> None:
     context.rename(temp, final, options)
 
 
+def read_text(spark: SparkSession, where: str) -> str:
+    """A small file."""
+    fs, at = hadoop(spark, where)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 class HorizonStore:
     """Horizons by tile and direction, which don't depend on a date: written once, found again by later runs."""
 
