@@ -56,7 +56,7 @@ def write(spark: SparkSession, layers: DataFrame, surface: DataFrame, times: Dat
     written = 0
     if rasters:
         for layer in ("shade", "quality"):
-            files = geotiff.encoded(layers.select(F.concat_ws("-", F.lit(layer), F.col("frame").cast("string"), "tile").alias("tile"), "row", "col", F.col(layer).cast("int").alias(layer)), layer, "u1", 255)
+            files = geotiff.encoded(layers.select(F.concat_ws("-", F.lit(layer), F.col("frame").cast("string"), F.regexp_replace("tile", r"\.tif$", "")).alias("tile"), "row", "col", F.col(layer).cast("int").alias(layer)), layer, "u1", 255)
             written += geotiff.export(files, f"{root}/{name}/rasters")
         made = geotiff.inventory(spark, f"{root}/{name}/rasters")
         bad = made.where(F.col("problem").isNotNull()).count()
