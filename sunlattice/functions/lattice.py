@@ -32,6 +32,13 @@ def within_closed(rectangle: tuple, x, y) -> Column:
     return _c(x).between(left, right) & _c(y).between(bottom, top)
 
 
+def hit(rectangle: tuple, x, y, resolution: float = RESOLUTION) -> Column:
+    """The (row, col) from a rectangle's upper left pixel that a place on the map falls on; null outside. Here west and south edges belong to it."""
+    left, bottom, right, top = (v if isinstance(v, Column) else F.lit(v) for v in rectangle)
+    inside = (_c(x) >= left) & (_c(x) < right) & (_c(y) >= bottom) & (_c(y) < top)
+    return F.when(inside, F.struct(F.floor((top - _c(y)) / resolution).alias("row"), F.floor((_c(x) - left) / resolution).alias("col")))
+
+
 def row_of(north, resolution: float = RESOLUTION) -> Column:
     return F.rint(-_c(north) / resolution).cast("long")
 

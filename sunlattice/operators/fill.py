@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 from ..functions import codes, lattice
-from . import blocks
+from . import blocks, quantiles, tiles
 
 STEPS = ((-1, 0), (1, 0), (0, -1), (0, 1))
 DIAGONALS = ((-1, -1), (-1, 1), (1, -1), (1, 1))
@@ -50,6 +50,26 @@ def shores(pixels: DataFrame, profile: Profile) -> DataFrame:
     return beside(pixels.where(~bad), pixels.where(bad)).select("row", "col", "z", (F.col("z") <= F.lit(profile.sea_m + profile.low_margin_m)).alias("low"))
 
 
+def shore_gate(shore: DataFrame, lowest: float, highest: float) -> DataFrame:
+    """One row: the shore's heights as quantiles, their number, and whether the median is in the range that a policy's sea height was chosen for; not where there are none."""
+    names = {f"p{q}": q / 100 for q in (5, 25, 50, 75, 95)}
+    z = store.cut(shore.select(F.col("z").cast("double").alias("z")))
+    n = z.agg(F.count("z").alias("n"))
+    return n.join(quantiles.exact(z, "z", names)).withColumn("accepted", F.coalesce(F.col("p50").between(lowest, highest), F.lit(False)))
+
+
+def mapped(pixels: DataFrame, edges: DataFrame, sea: str, land: str, sea_m: float, size: float) -> DataFrame:
+    """(row, col, z, surface): a fill by a mapped coastline instead of by shores. A missing pixel whose centre is in a polygon of the sea and in none of the land takes
+    the sea's height and surface 1; other missing ones are 255, observed ones 0. pixels: row, col, z, x, y; edges: polygon (its code), x1, y1, x2, y2."""
+    gaps = pixels.where(codes.missing_literal(F.col("z"))).select("row", "col", "x", "y")
+    met = tiles.inside_polygon(gaps, edges.where(F.col("polygon").isin(sea, land)), size).groupBy("row", "col").agg(F.max(F.col("polygon") == land).alias("_land"))
+    both = pixels.join(met, ["row", "col"], "left")
+    missing = codes.missing_literal(F.col("z"))
+    water = missing & F.coalesce(~F.col("_land"), F.lit(False))
+    surface = F.when(water, 1).when(missing, 255).otherwise(0).cast("smallint")
+    return both.select("row", "col", F.when(water, F.lit(sea_m).cast("float")).when(~missing, F.col("z")).alias("z"), surface.alias("surface"))
+
+
 def _label(mask: np.ndarray) -> np.ndarray:
     """4-connected components of a mask, as the least flat index of each; -1 outside. Rounds of minima along runs: as many as the windings of a component."""
     h, w = mask.shape

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import codes
+from . import quantiles
 
 
 def aligned(filled: DataFrame, raw: DataFrame, surface: DataFrame) -> DataFrame:
@@ -87,8 +89,8 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[str],
 
 def error_quantiles(df: DataFrame, delta) -> DataFrame:
     """One row: n, median, p95 and largest absolute difference."""
-    x = F.abs(delta)
-    return df.agg(F.count(x).alias("n"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.95)).alias("p95"), F.max(x).alias("largest"))
+    x = store.cut(df.select(F.abs(delta).cast("double").alias("x")))
+    return x.agg(F.count("x").alias("n"), F.max("x").alias("largest")).join(quantiles.exact(x, "x", {"median": 0.5, "p95": 0.95}))
 
 
 def map_agreement(surface: DataFrame, sea: str = "sea", land: str = "land", inside: str = "inside") -> DataFrame:

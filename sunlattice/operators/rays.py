@@ -87,6 +87,14 @@ def horizons(targets: DataFrame, samples: DataFrame, offs: DataFrame, broadcast:
     return out.select("row", "col", "z", "direction", F.coalesce("b.slope", F.lit(0.0)).alias("slope"), "support", F.coalesce(-F.col("b.near"), F.lit(0.0)).cast("float").alias("blocker")).withColumn("horizon", F.degrees(F.atan("slope")).cast("float"))
 
 
+def of_window(pixels: DataFrame, window: tuple[int, int, int, int], directions: DataFrame, radius_m: float, resolution: float = RESOLUTION) -> DataFrame:
+    """horizons() of the pixels of a window (first row, first column, height, width) alone; of the others only those within the radius are read."""
+    row, col, height, width = window
+    reach = math.ceil(radius_m / resolution) + 1
+    inside = lambda by: F.col("row").between(row - by, row + height - 1 + by) & F.col("col").between(col - by, col + width - 1 + by)
+    return horizons(pixels.where(inside(0)), pixels.where(inside(reach)), offsets_of(directions, radius_m, resolution=resolution))
+
+
 def coarse_offsets(directions: DataFrame, radius_m: float) -> DataFrame:
     """Offsets of the independent check: samples every pixel from the target's own centre, whatever its parity; a farther sample may hit a pixel twice."""
     d = directions.select("direction").distinct().withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(int(radius_m / RESOLUTION)))))

@@ -6,7 +6,7 @@ equality and the predicate is checked on what meets; a pair is kept in the first
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import store
@@ -178,6 +178,43 @@ def inside_polygon(points: DataFrame, edges: DataFrame, size: float) -> DataFram
     return sure.unionByName(near.select(*points.columns, "polygon"))
 
 
+def clipped_areas(edges: DataFrame, size: float) -> DataFrame:
+    """(polygon, x, y, area): how much of each cell of the size a polygon covers, for the cells that it covers at all. edges: polygon, x1, y1, x2, y2, with the inside to
+    their left (sources.vector.edges).
+
+    An edge counts in the cells that it runs through, by the area under it there, and with its whole width in all cells below: those aren't listed but summed up
+    downwards in each column of cells. Only cells that are covered whole, between two edges, are filled in."""
+    s, tiny = F.lit(float(size)), 1e-9 * size * size
+    e = edges.where(F.col("x1") != F.col("x2")).withColumn("way", F.when(F.col("x2") < F.col("x1"), 1.0).otherwise(-1.0))
+    e = e.withColumns({"a": F.least("x1", "x2"), "b": F.greatest("x1", "x2"), "slant": (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))})
+    e = e.withColumn("x", F.explode(F.sequence(lattice.bin_of("a", size), lattice.bin_of("b", size))))
+    e = e.withColumns({"xa": F.greatest("a", F.col("x") * s), "xb": F.least("b", (F.col("x") + 1) * s)}).where("xa < xb")
+    e = e.withColumns({n: F.col("y1") + (F.col(c) - F.col("x1")) * F.col("slant") for n, c in (("ya", "xa"), ("yb", "xb"))})
+    e = e.withColumns({"width": F.col("way") * (F.col("xb") - F.col("xa")), "low": lattice.bin_of(F.least("ya", "yb"), size), "high": lattice.bin_of(F.greatest("ya", "yb"), size)})
+    run = e.withColumn("y", F.explode(F.sequence(F.col("low"), F.col("high"))))
+    bottom, top = F.col("y") * s, (F.col("y") + 1) * s
+    within = lambda v: F.least(F.greatest(F.col(v), bottom), top) - bottom
+    under = lambda v: within(v) * within(v) / 2 + F.greatest(F.col(v) - top, F.lit(0.0)) * s
+    mean = F.when(F.abs(F.col("yb") - F.col("ya")) > 1e-9 * size, (under("yb") - under("ya")) / F.nullif(F.col("yb") - F.col("ya"), F.lit(0.0))).otherwise((within("ya") + within("yb")) / 2)
+    there = run.select("polygon", "x", "y", (F.col("width") * mean).alias("part"), F.lit(0.0).alias("below"))
+    below = e.select("polygon", "x", (F.col("low") - 1).alias("y"), F.lit(0.0).alias("part"), (F.col("width") * s).alias("below"))
+    cell = there.unionByName(below).groupBy("polygon", "x", "y").agg(F.sum("part").alias("part"), F.sum("below").alias("below"))
+    down = Window.partitionBy("polygon", "x").orderBy(F.col("y").desc())
+    cell = cell.withColumns({"whole": F.sum("below").over(down), "next": F.lead("y").over(down)})
+    own = cell.select("polygon", "x", "y", (F.col("part") + F.col("whole")).alias("area"))
+    gap = cell.where((F.col("whole") > tiny) & (F.col("next") < F.col("y") - 1)).select("polygon", "x", F.explode(F.sequence(F.col("next") + 1, F.col("y") - 1)).alias("y"), F.col("whole").alias("area"))
+    return own.unionByName(gap).where(F.col("area") > tiny)
+
+
+def of_points(points: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
+    """points (x, y) with the tile that holds them, null in none: west and north edges belong to a tile. Of tiles that overlap each one counts."""
+    listed = tiles.withColumns({"_x": F.explode(lattice.bins_between("left", "right", size))}).withColumn("_y", F.explode(F.sequence(lattice.bin_of("bottom", size), lattice.bin_of("top", size))))
+    listed = listed.select("_x", "_y", "tile", *SIDES)
+    binned = points.withColumns({"_x": lattice.bin_of("x", size), "_y": lattice.bin_of("y", size)})
+    on = [binned[c] == listed[c] for c in ("_x", "_y")] + [lattice.holds_point(tuple(listed[c] for c in SIDES), binned["x"], binned["y"])]
+    return binned.join(listed, on, "left").select(*[binned[c] for c in points.columns], listed["tile"])
+
+
 def pitch(tiles: DataFrame) -> Column:
     """The greatest common divisor, in half metres, of tiles' sizes and of their offsets from the least corner; an aggregate column.
 

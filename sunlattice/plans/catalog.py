@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, lattice, solar
-from ..operators import fill, frames, impact, ordered, quantiles, rays, tasks, tiles
-from ..sources import catalogue, geotiff
+from ..operators import fill, frames, impact, ordered, quantiles, rays, strips, tasks, tiles
+from ..sources import catalogue, geotiff, vector
 from .. import store
 from . import publish, run, scene
 
@@ -974,3 +974,134 @@ def a13_recount(spark, sf_dir):
     wrong = frames.contingency(back).withColumn("pixels", F.col("pixels") + F.when((F.col("frame") % 300 == 7) & (F.col("quality") == 4), 1).otherwise(0))
     wrong.write.parquet(f"{root}/counts")
     return _codes_int(frames.recounted(back, spark.read.parquet(f"{root}/counts")))
+
+
+# --- places, polygons and diagnostics
+
+
+def _places(spark, sf_dir):
+    """A place on the map for each customer, within and around the scene, some of them on edges of tiles."""
+    c = scene.read(spark, sf_dir, "customer").select("c_custkey")
+    return c.select("c_custkey", ((F.col("c_custkey") * 37 % 340) / 10.0 - 1.0).alias("x"), (1.0 - (F.col("c_custkey") * 53 % 340) / 10.0).alias("y"))
+
+
+@query
+def p3_point_in_tile(spark, sf_dir):
+    return tiles.of_points(_places(spark, sf_dir), scene.tiles(spark), BIN).select("c_custkey", "tile")
+
+
+@query
+def p19_pixel_hit(spark, sf_dir):
+    """The pixel of a tile that a place falls on, counted from the tile's corner."""
+    h = lattice.hit((8.0, -16.0, 16.0, -8.0), F.col("x"), F.col("y"))
+    return _places(spark, sf_dir).withColumn("h", h).where("h is not null").select("c_custkey", F.col("h.row").alias("row"), F.col("h.col").alias("col"))
+
+
+@query
+def f3_daylight_samples(spark, sf_dir):
+    """Quarter hours between sunrise and sunset of each day that has events."""
+    days = store.cut(scene.read(spark, sf_dir, "events").where("ts is not null").select(F.to_date("ts").alias("day")).distinct())
+    each = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("quarter"))
+    each = each.withColumn("t", F.unix_timestamp(F.col("day").cast("timestamp")).cast("double") + F.col("quarter") * 900.0)
+    kept = ordered.within_daylight(each, solar.daylight(days, "day", F.lit(scene.LATITUDE), F.lit(0.0))).where("kept")
+    return kept.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("samples"), F.min("quarter").cast("int").alias("first"), F.max("quarter").cast("int").alias("last"))
+
+
+@query
+def w8_date_groups(spark, sf_dir):
+    """Days of a request in groups of at most 100 frames."""
+    sizes = scene.frames(spark, sf_dir).groupBy(F.to_date("utc").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy("day").collect()
+    groups = ordered.date_groups([(r["day"], r["n"]) for r in sizes], 100)
+    return spark.createDataFrame([(d, g) for g, days in enumerate(groups, 1) for d in days], "day string, number int")
+
+
+@query
+def a21_shore_gate(spark, sf_dir):
+    """Heights along shores, and whether their median fits the sea's height."""
+    g = fill.shore_gate(fill.shores(scene.gappy(spark, sf_dir), PROFILE), 1.3, 4.0)
+    return g.select("n", *[_r(f"p{q}").alias(f"p{q}") for q in (5, 25, 50, 75, 95)], "accepted")
+
+
+@query
+def g7_window_horizons(spark, sf_dir):
+    h = rays.of_window(scene.pixels(spark, sf_dir), (18, 27, 9, 11), _directions(spark), RADIUS)
+    return h.select("row", "col", "direction", _r("slope").alias("slope"), F.col("support").cast("int").alias("support"), F.col("blocker").cast("double").alias("blocker"))
+
+
+@query
+def j8_rotated_strip(spark, sf_dir):
+    """Horizons along a strip that is turned by 37 degrees."""
+    px = scene.pixels(spark, sf_dir)
+    middle = (scene.SIDE - 1) / 2
+    h = strips.scanned(strips.turned(px, 37.0, (middle, middle), (-14.0, 9.0), (-8.0, 8.0)), 4.0, 10.0)
+    return h.select("i", "j", _r("slope").alias("slope"), "support", F.col("blocker").alias("blocker"))
+
+
+def _polygons(spark, sf_dir):
+    """A folder of features, one a line: a kite around each nation's place with a hole in the larger ones, rings written in either way, one in five a multipolygon of two."""
+    to = store.place(spark, "features")
+    n = scene.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 7 % 29 + 1.3).alias("x"), (-(F.col("n_nationkey") * 11 % 27 + 3.7)).alias("y"), (F.col("n_regionkey") + 1.5).alias("r"))
+    at = lambda dx, dy: F.array(F.col("x") + dx, F.col("y") + dy)
+    kite = lambda size, by=0.0: [at(size + by, 0.0), at(F.lit(by), size), at(by - size, F.lit(0.0)), at(F.lit(by), -size), at(size + by, 0.0)]
+    outer = F.when(F.col("k") % 2 == 0, F.array(*kite(F.col("r")))).otherwise(F.reverse(F.array(*kite(F.col("r")))))
+    rings = F.when(F.col("r") > 3, F.array(outer, F.array(*kite(F.lit(0.75))))).otherwise(F.array(outer))
+    second = F.array(F.array(*kite(F.lit(1.0), 40.0)))
+    many = F.col("k") % 5 == 0
+    coordinates = F.when(many, F.to_json(F.array(rings, second))).otherwise(F.to_json(rings))
+    kind = F.when(many, "MultiPolygon").otherwise("Polygon")
+    code, state = F.element_at(F.array(F.lit("SEA"), F.lit("LAND"), F.lit("ROAD")), (F.col("k") % 3 + 1).cast("int")), F.when(F.col("k") % 4 == 3, "old").otherwise("valid")
+    line = F.format_string('{"type": "Feature", "id": "%d", "properties": {"code": "%s", "state": "%s", "level": %d}, "geometry": {"type": "%s", "coordinates": %s}}', "k", code, state, "k", kind, coordinates)
+    n.select(line.alias("value")).write.text(to)
+    return to
+
+
+def _polygon_edges(spark, sf_dir):
+    found = vector.features(spark, _polygons(spark, sf_dir)).where("properties['state'] = 'valid' and properties['code'] in ('SEA', 'LAND')")
+    return vector.edges(found.select("id", F.col("properties")["code"].alias("polygon"), "geometry"), "id", "polygon")
+
+
+@query
+def s21_vector_scan(spark, sf_dir):
+    """Valid features of two codes out of GeoJSON: parts, edges and area of each."""
+    e = store.cut(_polygon_edges(spark, sf_dir))
+    n = e.groupBy("id", "polygon").agg(F.countDistinct("part").alias("parts"), F.count(F.lit(1)).alias("edges"))
+    return n.join(vector.areas(e, "id"), "id").select("id", F.col("polygon").alias("code"), "parts", "edges", _r("area").alias("area"))
+
+
+@query
+def j26_clipped_areas(spark, sf_dir):
+    """Polygons clipped to cells: the area of each within each."""
+    e = _polygon_edges(spark, sf_dir).select(F.col("id").alias("polygon"), "x1", "y1", "x2", "y2")
+    return tiles.clipped_areas(e, 2.0).select(F.col("polygon").alias("id"), "x", "y", _r("area").alias("area")).where("area > 0")
+
+
+@query
+def g14_mapped_fill(spark, sf_dir):
+    """The older fill: missing pixels in the mapped sea and not in the mapped land."""
+    g = scene.gappy(spark, sf_dir)
+    placed = g.join(_centres(g), ["row", "col"]).select("row", "col", "z", "x", "y")
+    return fill.mapped(placed, _edges(spark), "outer", "small", 1.6, 4.0).select("row", "col", _r("z").alias("z"), F.col("surface").cast("int").alias("surface"))
+
+
+@query
+def l9_ray_audit(spark, sf_dir):
+    """Three pixels of each tile: the block form of the ray operator against the join form."""
+    px = store.cut(scene.pixels(spark, sf_dir))
+    some = ordered.stratified_sample(px.where("z is not null"), ["tile"], ["row", "col"], 3, 29)
+    direct = rays.horizons(some, px, rays.offsets_of(_directions(spark), RADIUS))
+    block = rays.block_horizons(px, list(DIRECTIONS), RADIUS, side=32).join(some.select("row", "col"), ["row", "col"], "left_semi")
+    bad = impact.differences(direct, block, ["row", "col", "direction"], ["horizon", "support", "blocker"])
+    n = direct.agg(F.count(F.lit(1)).alias("rays"), _r(F.sum(F.round(F.col("horizon").cast("double"), 4)), 4).alias("horizon_sum"))
+    return n.join(bad.select("only_a", "only_b", "horizon_beyond", "support_beyond", "blocker_beyond"))
+
+
+@query
+def o2_identity(spark, sf_dir):
+    """Whether a catalogue's identity changes with its order, its folder, and one height."""
+    a, b = geotiff.inventory(spark, _files(spark, sf_dir)), geotiff.inventory(spark, _files(spark, sf_dir))
+    to = store.place(spark, "tiles")
+    other = scene.gappy(spark, sf_dir).where("supplied").withColumn("z", F.when((F.col("row") == 5) & (F.col("col") == 5), 77.0).otherwise(F.col("z")).cast("float"))
+    geotiff.export(geotiff.encoded(other, "z", "f4", codes.NODATA, epsg=2326), to)
+    first = catalogue.identity(a)
+    same = {"order": first == catalogue.identity(a.orderBy(F.desc("name"))), "folder": first == catalogue.identity(b), "height": first == catalogue.identity(geotiff.inventory(spark, to)), "namespace": first == catalogue.identity(a, "other")}
+    return spark.createDataFrame(list(same.items()), "changed string, same boolean")

@@ -180,6 +180,38 @@ SELECT c_custkey, round(836694.05 + nu * (aa + (1 - t + cc) * pow(aa, 3) / 6 + (
   round(819069.80 + {arc("p")} - {arc("radians(22 + 18 / 60.0 + 43.68 / 3600)")} + nu * tan(p) * (aa * aa / 2 + (5 - t + 9 * cc + 4 * cc * cc) * pow(aa, 4) / 24 + (61 - 58 * t + t * t + 600 * cc - 330 * {ep2!r}) * pow(aa, 6) / 720), 3) AS north FROM q1"""
 
 
+PLACES = "pl AS (SELECT c_custkey, (c_custkey * 37 % 340) / 10.0 - 1.0 AS x, 1.0 - (c_custkey * 53 % 340) / 10.0 AS y FROM customer)"
+
+
+def _strip() -> str:
+    """The turned strip, every pair of cells of a column compared."""
+    middle, sine, cosine = (N - 1) / 2, "sin(radians(37.0))", "cos(radians(37.0))"
+    return f"""WITH {PX}, st AS (SELECT i, j, (i + 0.5) * 0.5 - 14.0 AS t, (j + 0.5) * 0.5 - 8.0 AS s FROM range(46) a(i), range(32) b(j)),
+sat AS (SELECT i, j, CAST(round_even({middle} + (t * {cosine} + s * {sine}) / 0.5, 0) AS BIGINT) AS r, CAST(round_even({middle} + (s * {cosine} - t * {sine}) / 0.5, 0) AS BIGINT) AS c FROM st),
+sz AS MATERIALIZED (SELECT i, j, CAST(z AS DOUBLE) AS z FROM sat LEFT JOIN px USING (r, c)),
+pr AS MATERIALIZED (SELECT a.i, a.j, (a.i - b.i) * 0.5 AS dist, b.z IS NOT NULL AS there, (b.z - a.z) / ((a.i - b.i) * 0.5) AS v FROM sz a LEFT JOIN sz b ON a.j = b.j AND b.i < a.i AND b.i >= a.i - 20 WHERE a.z IS NOT NULL),
+mx AS (SELECT i, j, greatest(0.0, coalesce(max(v), 0.0)) AS m, count(*) FILTER (WHERE dist <= 4.0 AND there) = 8 AS support FROM pr GROUP BY i, j)
+SELECT i, j, round(m, 6) AS slope, support, coalesce((SELECT max(dist) FROM pr WHERE pr.i = mx.i AND pr.j = mx.j AND pr.v = mx.m AND mx.m > 0), 0.0) AS blocker FROM mx"""
+
+
+def _kites() -> str:
+    """CTEs: n (a nation's kite), and the edges of those that are asked for, inside to the left: outer rings from east over north, holes the other way."""
+    places = "(0, 1, 0), (1, 0, 1), (2, -1, 0), (3, 0, -1)"
+    edge = lambda size, x, y, way: f"SELECT k, {way} AS way, {x} + p.dx * {size} AS x1, {y} + p.dy * {size} AS y1, {x} + q.dx * {size} AS x2, {y} + q.dy * {size} AS y2 FROM n, pt p JOIN pt q ON q.i = (p.i + 1) % 4"
+    return f"""WITH n AS MATERIALIZED (SELECT n_nationkey AS k, n_nationkey * 7 % 29 + 1.3::DOUBLE AS x, -(n_nationkey * 11 % 27 + 3.7::DOUBLE) AS y, n_regionkey + 1.5::DOUBLE AS rad, ['SEA', 'LAND', 'ROAD'][n_nationkey % 3 + 1] AS code FROM nation WHERE n_nationkey % 4 <> 3 AND n_nationkey % 3 < 2),
+pt(i, dx, dy) AS (VALUES {places}), ring AS MATERIALIZED ({edge("rad", "x", "y", 1)} UNION ALL {edge("0.75", "x", "y", -1)} WHERE rad > 3 UNION ALL {edge("1.0", "(x + 40)", "y", 1)} WHERE k % 5 = 0)"""
+
+
+def _clipped() -> str:
+    """Each edge against every cell near its polygon: the mean height under it within the cell, by where it enters and leaves the cell's band."""
+    h = lambda v: f"(CASE WHEN {v} <= cy * 2.0 THEN 0.0 WHEN {v} >= cy * 2.0 + 2 THEN 2 + 2 * ({v} - cy * 2.0 - 2) ELSE ({v} - cy * 2.0) ** 2 / 2 END)"
+    return f"""{_kites()}, up AS (SELECT k, way * (CASE WHEN x2 < x1 THEN 1 ELSE -1 END) AS way, least(x1, x2) AS a, greatest(x1, x2) AS b, CASE WHEN x1 < x2 THEN y1 ELSE y2 END AS ya, CASE WHEN x1 < x2 THEN y2 ELSE y1 END AS yb FROM ring),
+cut AS (SELECT k, way, cx, cy, greatest(a, cx * 2.0) AS xa, least(b, cx * 2.0 + 2) AS xb, a, b, ya, yb FROM up, range(-4, 40) s(cx), range(-20, 4) t(cy) WHERE a < cx * 2.0 + 2 AND b > cx * 2.0),
+pc AS (SELECT k, way, cx, cy, xb - xa AS w, ya + (xa - a) / (b - a) * (yb - ya) AS y1, ya + (xb - a) / (b - a) * (yb - ya) AS y2 FROM cut WHERE xb > xa),
+ar AS (SELECT k, cx, cy, round(sum(way * w * ({h("y2")} - {h("y1")}) / (y2 - y1)), 6) AS area FROM pc GROUP BY ALL)
+SELECT CAST(k AS VARCHAR) AS id, cx AS x, cy AS y, area FROM ar WHERE area > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     touch = "a.l < b.rt AND b.l < a.rt AND a.b < b.tp AND b.b < a.tp"
     gap_tiles = GAPPY + ", files AS MATERIALIZED (SELECT tile, min(r) AS r0, min(c) AS c0, max(r) + 1 AS r1, max(c) + 1 AS c1 FROM g WHERE supplied GROUP BY tile)"
@@ -309,5 +341,17 @@ SELECT CASE WHEN shade = 0 THEN 'raised_threshold' WHEN bs BETWEEN 1 AND 4 AND b
         "k8_publication": f"{labels_of_files}, {rolled(GROUP + ' AS grp')} SELECT frame, grp, pixels, sunlit, shaded, uncertain FROM roll",
         "j23_city": "WITH s AS (SELECT c_custkey, 22.2 + (c_custkey % 400) / 1000.0 AS lat, 113.9 + (c_custkey * 7 % 500) / 1000.0 AS lon FROM customer), c(city, l, b, r, t) AS (VALUES ('east', 114.2, 22.0, 114.3, 22.5), ('west', 113.9, 22.0, 114.1, 22.5), ('north', 114.25, 22.4, 114.5, 22.9)) SELECT c_custkey, count(city) AS n, CASE WHEN count(city) = 1 THEN min(city) END AS city FROM s LEFT JOIN c ON lon BETWEEN l AND r AND lat BETWEEN b AND t GROUP BY c_custkey",
         "f14_centres": f"WITH {TILES} SELECT tile, round((l + rt) * 50 + 836000.0, 2) AS east, round((b + tp) * 50 + 818000.0, 2) AS north FROM tiles",
+        "p3_point_in_tile": f"WITH {TILES}, {PLACES} SELECT c_custkey, tile FROM pl LEFT JOIN tiles ON x >= l AND x < rt AND y > b AND y <= tp",
+        "p19_pixel_hit": f'WITH {PLACES} SELECT c_custkey, CAST(floor((-8.0 - y) / 0.5) AS BIGINT) AS "row", CAST(floor((x - 8.0) / 0.5) AS BIGINT) AS col FROM pl WHERE x >= 8 AND x < 16 AND y >= -16 AND y < -8',
+        "f3_daylight_samples": f"{DAYLIGHT}, q AS (SELECT day, i, epoch(day + i * INTERVAL 15 MINUTE) AS t FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE ts IS NOT NULL), range(96) x(i)) SELECT CAST(day AS VARCHAR) AS day, count(*) AS samples, CAST(min(i) AS INT) AS first, CAST(max(i) AS INT) AS last FROM q JOIN up USING (day) WHERE t BETWEEN sunrise AND sunset GROUP BY day",
+        "w8_date_groups": f"WITH RECURSIVE {FRAMES}, d AS MATERIALIZED (SELECT CAST(utc AS DATE) AS day, count(*) AS n, row_number() OVER (ORDER BY CAST(utc AS DATE)) AS i FROM frames GROUP BY 1), w(i, day, number, used) AS (SELECT i, day, 1, n FROM d WHERE i = 1 UNION ALL SELECT d.i, d.day, number + CASE WHEN used + n > 100 THEN 1 ELSE 0 END, CASE WHEN used + n > 100 THEN n ELSE used + n END FROM w JOIN d ON d.i = w.i + 1) SELECT CAST(day AS VARCHAR) AS day, CAST(number AS INT) AS number FROM w",
+        "a21_shore_gate": f"WITH {GAPPY}, {SHORE} SELECT count(*) AS n, {', '.join(f'round(quantile_cont(CAST(z AS DOUBLE), {q / 100}), 6) AS p{q}' for q in (5, 25, 50, 75, 95))}, quantile_cont(CAST(z AS DOUBLE), 0.5) BETWEEN 1.3 AND 4.0 AS accepted FROM shore",
+        "g7_window_horizons": f'{FINE} SELECT r AS "row", c AS col, direction, round(slope, 6) AS slope, support, CAST(blocker AS DOUBLE) AS blocker FROM h WHERE r BETWEEN 18 AND 26 AND c BETWEEN 27 AND 37',
+        "j8_rotated_strip": _strip(),
+        "s21_vector_scan": f"{_kites()} SELECT CAST(k AS VARCHAR) AS id, code, CAST(CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS parts, CAST(4 + CASE WHEN rad > 3 THEN 4 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 4 ELSE 0 END AS BIGINT) AS edges, round(2 * rad * rad - CASE WHEN rad > 3 THEN 1.125 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END, 6) AS area FROM n",
+        "j26_clipped_areas": _clipped(),
+        "g14_mapped_fill": f'WITH {GAPPY}, {_edges_sql()}, pp AS (SELECT r, c, (c + 0.5) * 0.5 AS x, -(r + 0.5) * 0.5 AS y FROM g WHERE z IS NULL), ins AS (SELECT r, c, polygon FROM pp JOIN edge ON (y1 <= y) <> (y2 <= y) AND x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x GROUP BY r, c, polygon HAVING count(*) % 2 = 1), wet AS (SELECT r, c FROM ins GROUP BY r, c HAVING bool_and(polygon = \'outer\')) SELECT g.r AS "row", g.c AS col, round(CAST(CASE WHEN wet.r IS NOT NULL THEN CAST(1.6 AS FLOAT) ELSE z END AS DOUBLE), 6) AS z, CAST(CASE WHEN wet.r IS NOT NULL THEN 1 WHEN z IS NULL THEN 255 ELSE 0 END AS INT) AS surface FROM g LEFT JOIN wet ON g.r = wet.r AND g.c = wet.c',
+        "l9_ray_audit": f"{FINE}, smp AS (SELECT r, c FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY md5('29|' || r || '|' || c), r, c) AS i FROM px WHERE z IS NOT NULL) WHERE i <= 3) SELECT count(*) AS rays, round(sum(round(CAST(horizon AS DOUBLE), 4)), 4) AS horizon_sum, {', '.join(f'CAST(0 AS BIGINT) AS {x}' for x in ('only_a', 'only_b', 'horizon_beyond', 'support_beyond', 'blocker_beyond'))} FROM h JOIN smp USING (r, c)",
+        "o2_identity": "SELECT * FROM (VALUES ('order', true), ('folder', true), ('height', false), ('namespace', false)) v(changed, same)",
     }
     return out
