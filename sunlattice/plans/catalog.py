@@ -883,7 +883,7 @@ def k8_publication(spark, sf_dir):
     """Files to published frames and back: the summary of a publication, as its JSON says."""
     to, root = _files(spark, sf_dir), store.place(spark, "published")
     source = catalogue.RawSource(spark, to, 2326)
-    times = scene.frames(spark, sf_dir).where("frame % 24 = 6")
+    times = store.cut(scene.frames(spark, sf_dir))
     sites = scene.tiles(spark).withColumn("tile", F.concat("tile", F.lit(".tif"))).drop("ty", "tx")
     whole = (0.0, -32.0, 24.0, 0.0)
     found = store.cut(publish.labels(source, whole, times, run.Request(RADIUS, block=32, bin_m=BIN), sites))
@@ -909,13 +909,29 @@ def f14_centres(spark, sf_dir):
     return publish.sites(moved).select("tile", _r(e, 2).alias("east"), _r(n, 2).alias("north"))
 
 
+def _batches(spark, sf_dir):
+    """Tiles and shifted ones as batches, and the layers of those whose heights are 11 or more in the mean."""
+    boxes, px = _shifted(spark), scene.pixels(spark, sf_dir)
+    at = px.select("row", "col", "z", ((F.col("col") + 0.5) * 0.5).alias("x"), (-(F.col("row") + 0.5) * 0.5).alias("y"))
+    layers = tiles.of_points(at, boxes, BIN).where("tile is not null")
+    kept = layers.groupBy("tile").agg(F.avg(F.col("z").cast("double")).alias("mean")).where("mean >= 11").select("tile")
+    return boxes, layers.join(kept, "tile", "left_semi")
+
+
 @query
 def s15_required_batches(spark, sf_dir):
-    """Batches that a region needs and that aren't there: an error, not a gap."""
-    o = scene.read(spark, sf_dir, "orders")
-    need = o.select((F.col("o_custkey") % 40).alias("batch")).distinct()
-    have = o.where("o_orderkey % 97 = 0").select((F.col("o_custkey") % 41).alias("batch")).distinct()
-    return need.join(have, "batch", "left_anti")
+    """Batches that a region needs, and whether they are there."""
+    boxes, layers = _batches(spark, sf_dir)
+    need = catalogue.needed_batches(boxes, (5.0, -21.0, 19.0, -3.0)).select("tile")
+    return need.join(layers.select("tile", F.lit(True).alias("there")).distinct(), "tile", "left").select("tile", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+@query
+def s15_batch_window(spark, sf_dir):
+    """The heights of a rectangle out of all batches that it needs, which overlap and agree."""
+    boxes, px = _shifted(spark), scene.pixels(spark, sf_dir).drop("tile")
+    layers = tiles.of_points(_centres(px).join(px, ["row", "col"]), boxes, BIN).where("tile is not null")
+    return catalogue.batch_window(boxes, layers, (5.0, -21.0, 19.0, -3.0), [], ["z"]).select("row", "col", F.col("z").cast("double").alias("z"))
 
 
 @query
@@ -1105,3 +1121,41 @@ def o2_identity(spark, sf_dir):
     first = catalogue.identity(a)
     same = {"order": first == catalogue.identity(a.orderBy(F.desc("name"))), "folder": first == catalogue.identity(b), "height": first == catalogue.identity(geotiff.inventory(spark, to)), "namespace": first == catalogue.identity(a, "other")}
     return spark.createDataFrame(list(same.items()), "changed string, same boolean")
+
+
+@query
+def s16_cache_check(spark, sf_dir):
+    """Kept horizons of which one direction of a tile lost rows, and another's are out of range."""
+    px = store.cut(scene.pixels(spark, sf_dir).join(F.broadcast(scene.tiles(spark).select("tile")), "tile").select("tile", "row", "col", "z"))
+    kept = store.HorizonStore(spark, store.place(spark, "horizons"))
+    wanted = scene.tiles(spark).select("tile", F.explode(F.array(F.lit(45.0), F.lit(215.0))).alias("direction"))
+    h = store.cut(run.horizons(px, wanted, run.Request(RADIUS, block=32)))
+    lost = (F.col("tile") == "t1_1") & (F.col("direction") == 45.0) & (F.col("row") % 5 == 0)
+    wrong = (F.col("tile") == "t2_0") & (F.col("direction") == 215.0) & (F.col("row") > 40)
+    kept.put(h.where(~lost).withColumn("horizon", F.when(wrong, F.lit(95.0)).otherwise(F.col("horizon")).cast("float")))
+    return kept.problems(px, RADIUS)
+
+
+@query
+def t7_resumed_run(spark, sf_dir):
+    """A publication that was left after its first frames, then resumed: the labels of every frame, counted from what is published."""
+    to, root = _files(spark, sf_dir), store.place(spark, "published")
+    source = catalogue.RawSource(spark, to, 2326)
+    times = store.cut(scene.frames(spark, sf_dir))
+    sites = scene.tiles(spark).withColumn("tile", F.concat("tile", F.lit(".tif"))).drop("ty", "tx")
+    asked = run.Request(RADIUS, block=32, bin_m=BIN)
+    kept = store.HorizonStore(spark, store.place(spark, "horizons"))
+    first = times.orderBy("frame").limit(100)  # where the first run was lost
+    publish.resume(spark, source, (0.0, -32.0, 24.0, 0.0), first, root, "one", asked, sites, kept, at_once=1000, rasters=False)
+    publish.resume(spark, source, (0.0, -32.0, 24.0, 0.0), times, root, "one", asked, sites, kept, at_once=1000, rasters=False)
+    layers = spark.read.parquet(f"{root}/one/layers")
+    return _codes_int(frames.contingency(layers).groupBy("frame", "shade", "quality").agg(F.sum("pixels").alias("pixels")))
+
+
+@query
+def l5_views(spark, sf_dir):
+    """Which filled view each result's index names, however deep."""
+    o = scene.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("result"), (F.col("o_custkey") % 7).alias("v"))
+    line = F.format_string('{"frames": [{"path": "layers/1"}, {"dependencies": {"a": "views/v%d/tiles/t1.tif", "b": ["views/v%d/tiles"]}}], "note": "views/v%d"}', "v", "v", "v")
+    views = spark.createDataFrame([(f"views/v{i}",) for i in range(5)], "view string")
+    return catalogue.views_of(o.select("result", line.alias("index")), views)

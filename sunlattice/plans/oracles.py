@@ -215,7 +215,7 @@ SELECT CAST(k AS VARCHAR) AS id, cx AS x, cy AS y, area FROM ar WHERE area > 0""
 def oracle_sql() -> dict[str, str]:
     touch = "a.l < b.rt AND b.l < a.rt AND a.b < b.tp AND b.b < a.tp"
     gap_tiles = GAPPY + ", files AS MATERIALIZED (SELECT tile, min(r) AS r0, min(c) AS c0, max(r) + 1 AS r1, max(c) + 1 AS c1 FROM g WHERE supplied GROUP BY tile)"
-    labels_of_files = LABELS.replace(PX, GAPPY + ", px AS MATERIALIZED (SELECT r, c, z, tile FROM g WHERE supplied)").replace(FRAMES, FRAMES.replace("frames AS", "frames0 AS") + ", frames AS MATERIALIZED (SELECT * FROM frames0 WHERE frame % 24 = 6)")
+    labels_of_files = LABELS.replace(PX, GAPPY + ", px AS MATERIALIZED (SELECT r, c, z, tile FROM g WHERE supplied)")
     snap_down, snap_up = (lambda x: f"floor(({x}) / 0.5 + 1e-7) * 0.5"), (lambda x: f"ceil(({x}) / 0.5 - 1e-7) * 0.5")
     out = {
         "f1_solar_events": f"WITH {EVENT_SUN} SELECT event_id, round(azimuth, 6) AS azimuth, round(geometric, 6) AS geometric, round(apparent, 6) AS apparent FROM s",
@@ -322,7 +322,6 @@ SELECT CASE WHEN shade = 0 THEN 'raised_threshold' WHEN bs BETWEEN 1 AND 4 AND b
         "a17_scope_ratios": "WITH x AS (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linestatus = 'F') AS closed, count(*) FILTER (WHERE l_quantity > 49) AS large FROM lineitem GROUP BY 1) SELECT *, round(returned / nullif(closed, 0), 6) AS returned_share, round(large / nullif(returned, 0), 6) AS large_share FROM x",
         "a35_unique_items": "SELECT l_orderkey, count(*) AS n, count(DISTINCT l_partkey % 20) < count(*) AS twice FROM lineitem GROUP BY 1",
         "s9_sheet_check": "SELECT * FROM (VALUES ('t0_0.tif', 'missing'), ('t0_1.tif', 'extra'), ('t1_0.tif', 'bytes'), ('t2_2.tif', 'hash')) v(name, problem)",
-        "s15_required_batches": "SELECT DISTINCT o_custkey % 40 AS batch FROM orders EXCEPT SELECT o_custkey % 41 FROM orders WHERE o_orderkey % 97 = 0",
         "u5_subset": "SELECT count(*) AS missing, count(*) = 0 AS subset FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 500 <> 7)",
         "u8_listing_difference": "SELECT p_brand, p_size FROM part EXCEPT ALL SELECT p_brand, p_size FROM part WHERE p_partkey % 3 <> 0",
         "k10_two_row_shapes": f"{IMPACT} SELECT frame, grp, code, pixels, CAST(NULL AS INT) AS raw_shade, CAST(NULL AS INT) AS raw_quality, CAST(NULL AS INT) AS shade, CAST(NULL AS INT) AS quality FROM dh UNION ALL SELECT 1, NULL, NULL, count(*), raw_shade, raw_quality, shade, quality FROM two WHERE surface = 0 GROUP BY raw_shade, raw_quality, shade, quality",
@@ -353,5 +352,10 @@ SELECT CASE WHEN shade = 0 THEN 'raised_threshold' WHEN bs BETWEEN 1 AND 4 AND b
         "g14_mapped_fill": f'WITH {GAPPY}, {_edges_sql()}, pp AS (SELECT r, c, (c + 0.5) * 0.5 AS x, -(r + 0.5) * 0.5 AS y FROM g WHERE z IS NULL), ins AS (SELECT r, c, polygon FROM pp JOIN edge ON (y1 <= y) <> (y2 <= y) AND x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x GROUP BY r, c, polygon HAVING count(*) % 2 = 1), wet AS (SELECT r, c FROM ins GROUP BY r, c HAVING bool_and(polygon = \'outer\')) SELECT g.r AS "row", g.c AS col, round(CAST(CASE WHEN wet.r IS NOT NULL THEN CAST(1.6 AS FLOAT) ELSE z END AS DOUBLE), 6) AS z, CAST(CASE WHEN wet.r IS NOT NULL THEN 1 WHEN z IS NULL THEN 255 ELSE 0 END AS INT) AS surface FROM g LEFT JOIN wet ON g.r = wet.r AND g.c = wet.c',
         "l9_ray_audit": f"{FINE}, smp AS (SELECT r, c FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY md5('29|' || r || '|' || c), r, c) AS i FROM px WHERE z IS NOT NULL) WHERE i <= 3) SELECT count(*) AS rays, round(sum(round(CAST(horizon AS DOUBLE), 4)), 4) AS horizon_sum, {', '.join(f'CAST(0 AS BIGINT) AS {x}' for x in ('only_a', 'only_b', 'horizon_beyond', 'support_beyond', 'blocker_beyond'))} FROM h JOIN smp USING (r, c)",
         "o2_identity": "SELECT * FROM (VALUES ('order', true), ('folder', true), ('height', false), ('namespace', false)) v(changed, same)",
+        "s15_required_batches": f"WITH {PX}, {SHIFTED}, m AS (SELECT sh.tile, avg(CAST(z AS DOUBLE)) AS a FROM px JOIN sh ON (c + 0.5) * 0.5 >= l AND (c + 0.5) * 0.5 < rt AND -(r + 0.5) * 0.5 > b AND -(r + 0.5) * 0.5 <= tp GROUP BY sh.tile) SELECT sh.tile, coalesce(a >= 11, false) AS there FROM sh LEFT JOIN m USING (tile) WHERE l < 19 AND rt > 5 AND b < -3 AND tp > -21",
+        "s15_batch_window": f'WITH {PX}, {SHIFTED}, w AS (SELECT r, c, z, (c + 0.5) * 0.5 AS x, -(r + 0.5) * 0.5 AS y FROM px) SELECT r AS "row", c AS col, CAST(z AS DOUBLE) AS z FROM w WHERE x BETWEEN 5 AND 19 AND y BETWEEN -21 AND -3 AND EXISTS (SELECT 1 FROM sh WHERE x >= l AND x < rt AND y > b AND y <= tp)',
+        "s16_cache_check": "SELECT * FROM (VALUES ('t1_1', CAST(45 AS DOUBLE), 'rows'), ('t2_0', CAST(215 AS DOUBLE), 'range')) v(tile, direction, problem)",
+        "t7_resumed_run": f"{labels_of_files} SELECT frame, shade, quality, CAST(sum(pixels) AS BIGINT) AS pixels FROM combo GROUP BY ALL",
+        "l5_views": "SELECT CAST(o_orderkey AS VARCHAR) AS result, 'views/v' || (o_custkey % 7) AS view FROM orders WHERE o_custkey % 7 < 5",
     }
     return out

@@ -46,7 +46,43 @@ def labels(source, rectangle: Rectangle, times: DataFrame, request: run.Request
 def write(spark: SparkSession, layers: DataFrame, surface: DataFrame, times: DataFrame, root: str, name: str, rasters: bool = True) -> DataFrame:
     """Publishes layers with their surface under root/name; returns the summary (frame, grp, pixels, shares and bounds, utc) that was written."""
     root = root.rstrip("/")
-    counts = run.publish(spark, layers, surface, root, name, point=False)
+    return _finish(spark, layers, run.publish(spark, layers, surface, root, name, point=False), times, root, name, rasters)
+
+
+def finished_frames(spark: SparkSession, root: str, name: str) -> set[int]:
+    """Frames of a publication that were written, read back and counted."""
+    at = f"{root.rstrip('/')}/{name}/counts"
+    fs, path = store.hadoop(spark, at)
+    return {r["frame"] for r in spark.read.schema("frame int, surface smallint").parquet(at).select("frame").distinct().collect()} if fs.exists(path) else set()
+
+
+def resume(spark: SparkSession, source, rectangle: Rectangle, times: DataFrame, root: str, name: str, request: run.Request = run.Request(), tile_sites: DataFrame | None = None, reuse: store.HorizonStore | None = None, at_once: int = 24, rasters: bool = True) -> DataFrame:
+    """Publishes frames in groups of at_once, each group read back and counted before the next; started again, it goes on after the frames that are finished. Returns the
+    summary. A request's instants are few and known to the driver; a publication must be resumed with the same request."""
+    root = root.rstrip("/")
+    layers, counts = f"{root}/{name}/layers", f"{root}/{name}/counts"
+    done = finished_frames(spark, root, name)
+    rest = sorted(r["frame"] for r in times.select("frame").collect() if r["frame"] not in done)
+    surface = source.surface().select("row", "col", "surface")
+    for i in range(0, len(rest), at_once):
+        group = rest[i : i + at_once]
+        part = times.where(F.col("frame").isin(group))
+        whole = store.cut(labels(source, rectangle, part, request, tile_sites, reuse).join(surface, ["row", "col"]), "labels")
+        whole.hint("rebalance", "frame").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("frame").parquet(layers)
+        back = spark.read.schema(whole.schema).parquet(layers).where(F.col("frame").isin(group))
+        own = store.cut(frames.contingency(back), "counts")
+        if not frames.violations(back).isEmpty():
+            raise RuntimeError("codes contradict each other")
+        if not tasks.same_rows(frames.contingency(whole).select(own.columns), own):
+            raise RuntimeError("what was read back isn't what was computed")
+        # a group's counts are one folder, so they are there or not as a whole
+        own.coalesce(1).withColumn("first", F.lit(group[0])).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("first").parquet(counts)
+        store.drop(whole)
+    every = spark.read.parquet(counts).drop("first")
+    return _finish(spark, spark.read.parquet(layers), every, times, root, name, rasters)
+
+
+def _finish(spark: SparkSession, layers: DataFrame, counts: DataFrame, times: DataFrame, root: str, name: str, rasters: bool) -> DataFrame:
     found = run.summary(counts, times)
     shown = found.select(*[F.col(c).cast("string").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in found.dtypes]).orderBy("frame", "grp")
     for kind in ("json", "csv"):
@@ -72,10 +108,13 @@ def write(spark: SparkSession, layers: DataFrame, surface: DataFrame, times: Dat
     return found
 
 
-def shade_map(spark: SparkSession, folder: str, rectangle: Rectangle, times: Iterable[datetime], root: str, name: str, request: run.Request = run.Request(), epsg: int | None = None, cache: str | None = None, rasters: bool = True) -> DataFrame:
-    """Heights under folder to published frames under root/name; returns the summary. cache: a folder in which horizons are kept for later runs."""
+def shade_map(spark: SparkSession, folder: str, rectangle: Rectangle, times: Iterable[datetime], root: str, name: str, request: run.Request = run.Request(), epsg: int | None = None, cache: str | None = None, rasters: bool = True, at_once: int | None = None) -> DataFrame:
+    """Heights under folder to published frames under root/name; returns the summary. cache: a folder in which horizons are kept for later runs; at_once: resume() with groups of so
+    many frames, so that a run that was lost can go on."""
     source = catalogue.RawSource(spark, folder, epsg)
     when = instants(spark, times)
+    if at_once:
+        return resume(spark, source, rectangle, when, root, name, request, reuse=store.HorizonStore(spark, cache) if cache else None, at_once=at_once, rasters=rasters)
     found = store.cut(labels(source, rectangle, when, request, reuse=store.HorizonStore(spark, cache) if cache else None), "labels")
     return write(spark, found, source.surface(), when, root, name, rasters)
 

@@ -52,9 +52,12 @@ def horizons(pixels: DataFrame, wanted: DataFrame, request: Request) -> DataFram
     return found.select("tile", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "z", "direction", "horizon", "support", "blocker")
 
 
-def run(pixels: DataFrame, tile_sites: DataFrame, tile_frames: DataFrame, request: Request = Request(), reuse: store.HorizonStore | None = None) -> DataFrame:
-    """(frame, tile, row, col, shade, quality). With a store, horizons that are there are read and only missing ones are computed, and kept."""
-    p = plan(tile_frames, tile_sites, request, reuse.have() if reuse else None)
+def run(pixels: DataFrame, tile_sites: DataFrame, tile_frames: DataFrame, request: Request = Request(), reuse: store.HorizonStore | None = None, check: bool = False) -> DataFrame:
+    """(frame, tile, row, col, shade, quality). With a store, horizons that are there are read and only missing ones are computed, and kept; check: those that can't be used count as missing."""
+    have = reuse.have() if reuse else None
+    if reuse and check:
+        have = store.cut(have.join(reuse.problems(pixels, request.radius_m), ["tile", "direction"], "left_anti"), "have")
+    p = plan(tile_frames, tile_sites, request, have)
     if reuse:
         if p.counts["missing"]:
             reuse.put(horizons(pixels, p.missing, request))
@@ -70,7 +73,8 @@ def publish(spark: SparkSession, layers: DataFrame, surface: DataFrame, root: st
     """Writes layers with their surface and counts under root/name, reads them back, compares, and only then, if point says so, names them in root/current.json. Returns the counts."""
     root = root.rstrip("/")
     whole = layers.join(surface.select("row", "col", "surface"), ["row", "col"])
-    whole.write.mode("overwrite").partitionBy("frame").parquet(f"{root}/{name}/layers")
+    # a frame's rows together, split where they are many: else each task writes a file for every frame
+    whole.hint("rebalance", "frame").write.mode("overwrite").partitionBy("frame").parquet(f"{root}/{name}/layers")
     back = spark.read.parquet(f"{root}/{name}/layers")
     if not frames.violations(back).isEmpty():
         raise RuntimeError("codes contradict each other")

@@ -124,6 +124,32 @@ def resolve_city(corners: list[tuple[float, float]], cities: DataFrame) -> str:
     return found[0]
 
 
+def needed_batches(batches: DataFrame, rectangle: tuple[float, float, float, float]) -> DataFrame:
+    """The batches (tile, left, bottom, right, top) that a rectangle needs."""
+    return tiles.touching(batches, rectangle)
+
+
+def batch_window(batches: DataFrame, layers: DataFrame, rectangle: tuple[float, float, float, float], keys: list[str], values: list[str]) -> DataFrame:
+    """layers (tile, row, col, keys, values) of the batches that a rectangle needs, as one. Refused if a batch isn't there at all or two give a pixel different values."""
+    need = store.cut(needed_batches(batches, rectangle).select("tile"), "need")
+    left, bottom, right, top = rectangle
+    x, y = (F.col("col") + 0.5) * lattice.RESOLUTION, -(F.col("row") + 0.5) * lattice.RESOLUTION
+    own = layers.join(need, "tile", "left_semi")
+    if gone := [r["tile"] for r in need.join(own.select("tile").distinct(), "tile", "left_anti").orderBy("tile").limit(5).collect()]:
+        raise Refused(f"batches {gone} aren't there")
+    whole = store.cut(tiles.mosaic(own.where(x.between(left, right) & y.between(bottom, top)), ["row", "col", *keys], values), "window")
+    if not whole.where("conflict").isEmpty():
+        raise Refused("batches contradict each other")
+    return whole.drop("conflict")
+
+
+def views_of(index: DataFrame, views: DataFrame, text: str = "index") -> DataFrame:
+    """(result, view): which views' tiles the JSON of each result names, at whatever depth. index: result, text; views: view (a folder's path)."""
+    named = F.regexp_extract_all(F.col(text), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    path = index.select("result", F.explode(named).alias("_p")).withColumn("view", F.regexp_extract("_p", r"^(.+)/tiles(?:/[^/]+)?$", 1))
+    return path.join(views.select("view"), "view", "left_semi").select("result", "view").distinct()
+
+
 def sheet_problems(expected: DataFrame, catalogue: DataFrame, **rules) -> DataFrame:
     """(name, problem) of a delivery: expected (name, bytes, sha256) against a catalogue: missing, extra, bytes, hash, and problems()."""
     e, a = expected.select("name", F.col("bytes").alias("e_bytes"), F.col("sha256").alias("e_sha256")), catalogue.select("name", "bytes", "sha256")

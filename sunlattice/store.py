@@ -74,6 +74,11 @@ def replace(spark: SparkSession, where: str, data: bytes) -> None:
     context.rename(temp, final, options)
 
 
+def exists(spark: SparkSession, where: str) -> bool:
+    fs, at = hadoop(spark, where)
+    return fs.exists(at)
+
+
 def read_text(spark: SparkSession, where: str) -> str:
     """A small file."""
     fs, at = hadoop(spark, where)
@@ -115,3 +120,18 @@ class HorizonStore:
     def read(self, wanted: DataFrame, schema: str) -> DataFrame:
         """The horizons of wanted (tile, direction)."""
         return self.spark.read.schema(schema).parquet(self.root).join(wanted, ["tile", "direction"], "left_semi")
+
+    def problems(self, pixels: DataFrame, radius_m: float) -> DataFrame:
+        """(tile, direction, problem) of what is there and can't be used: 'rows' if it doesn't hold each pixel with a height (tile, row, col, z) once, or can't be read; 'range' if a value
+        can't be what the operator gives. Reads everything once; rows are summed up before they are shuffled."""
+        if not self._exists():
+            return self.spark.createDataFrame([], "tile string, direction double, problem string")
+        key = F.xxhash64(F.col("row").cast("long"), F.col("col").cast("long"))
+        marks = lambda n: (F.count(F.lit(1)).alias(f"{n}_rows"), F.bit_xor(key).alias(f"{n}_xor"), F.sum(F.pmod(key, F.lit(1 << 31))).alias(f"{n}_sum"))
+        want = pixels.where(F.col("z").isNotNull()).groupBy("tile").agg(*marks("want"))
+        found = self.spark.read.option("ignoreCorruptFiles", "true").schema("row long, col long, horizon float, support smallint, blocker float, tile string, direction double").parquet(self.root)
+        good = F.col("horizon").between(0, 90) & F.col("support").isin(0, 1) & F.col("blocker").between(0, radius_m)
+        each = found.groupBy("tile", "direction").agg(*marks("own"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
+        both = self.have().join(each, ["tile", "direction"], "left").join(want, "tile", "left")
+        whole = F.coalesce((F.col("own_rows") == F.col("want_rows")) & (F.col("own_xor") == F.col("want_xor")) & (F.col("own_sum") == F.col("want_sum")), F.lit(False))
+        return both.select("tile", "direction", F.when(~whole, "rows").when(F.col("bad") > 0, "range").alias("problem")).where("problem is not null")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sunlattice import __main__ as cli
 from sunlattice import store
 from sunlattice.operators import fill
-from sunlattice.plans import publish, run
+from sunlattice.plans import publish, region, run
 from sunlattice.sources import catalogue, geotiff
 
 EAST, NORTH = 836004.0, 818000.0
@@ -157,3 +157,81 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         store.folder(Session("spark://host:7077"))
     assert store.folder(Session("local[2]")).startswith("file://")
+
+
+def test_a_lost_run_goes_on(spark, folder, tmp_path, monkeypatch, capsys):
+    """Groups of frames that are finished are kept as they are; the rest is added; the whole equals a publication at once."""
+    times = [datetime(2024, 1, 1, h) for h in (3, 4, 5, 16)]
+    whole, request = (EAST + 3, NORTH - 4, EAST + 9, NORTH), run.Request(radius_m=4.0, block=16, bin_m=6.0)
+    args = (spark, str(folder), whole, times)
+    root = f"file://{tmp_path}/out"
+    real, calls = publish.labels, []
+
+    def lost_at_the_second(source, rectangle, part, *rest):
+        calls.append(sorted(r["frame"] for r in part.collect()))
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(source, rectangle, part, *rest)
+
+    monkeypatch.setattr(publish, "labels", lost_at_the_second)
+    with pytest.raises(RuntimeError, match="lost"):
+        publish.shade_map(*args, root, "one", request, rasters=False, at_once=2)
+    assert publish.finished_frames(spark, root, "one") == {1, 2} and not (tmp_path / "out" / "current.json").exists()
+    assert cli.main(["status", root, "--name", "one"], spark) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"frames": [1, 2], "finished": False}
+    written = {f: f.stat().st_mtime_ns for n in (1, 2) for f in (tmp_path / "out" / "one" / "layers" / f"frame={n}").glob("part-*")}
+    resumed = publish.shade_map(*args, root, "one", request, rasters=False, at_once=2)
+    assert calls == [[1, 2], [3, 4], [3, 4]] and all(f.stat().st_mtime_ns == t for f, t in written.items())
+    monkeypatch.setattr(publish, "labels", real)
+    at_once = publish.shade_map(*args, root, "two", request, rasters=False)
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert rows(resumed) == rows(at_once)
+    assert rows(spark.read.parquet(f"{root}/one/layers")) == rows(spark.read.parquet(f"{root}/two/layers"))
+    assert cli.main(["status", root, "--name", "one"], spark) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"frames": [1, 2, 3, 4], "finished": True}
+
+
+def test_kept_horizons_that_are_damaged_are_made_again(spark, folder, tmp_path):
+    times = publish.instants(spark, [datetime(2024, 1, 1, 4), datetime(2024, 1, 1, 7)])
+    raw, request = catalogue.RawSource(spark, str(folder)), run.Request(radius_m=4.0, block=16, bin_m=6.0)
+    px, sites = store.cut(raw.pixels()), publish.sites(raw.catalogue())
+    kept = store.HorizonStore(spark, f"file://{tmp_path}/cache")
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert kept.problems(px, 4.0).isEmpty()
+    want = rows(run.run(px, sites, times, request, kept))
+    assert kept.problems(px, 4.0).isEmpty()
+    files = sorted((tmp_path / "cache").rglob("part-*.parquet"))
+    files[0].write_bytes(files[0].read_bytes()[:40])
+    (files[0].parent / f".{files[0].name}.crc").unlink()
+    assert [r["problem"] for r in kept.problems(px, 4.0).collect()] == ["rows"]
+    assert rows(run.run(px, sites, times, request, kept, check=True)) == want and kept.problems(px, 4.0).isEmpty()
+
+
+def test_region_requests(spark, folder, tmp_path, capsys):
+    asked = region.requests((0, 0, 40, 20), [(0, 0, 10, 10), (30, 10, 40, 20)], (0, 0), (10, 10), 300, [("2024-01-01", 40), ("2024-01-02", 50), ("2024-01-03", 30)], 90)
+    assert [r["number"] for r in asked["runs"]] == list(range(1, len(asked["runs"]) + 1)) and {tuple(r["days"]) for r in asked["runs"]} == {("2024-01-01", "2024-01-02"), ("2024-01-03",)}
+    area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+    assert asked["pixels"] + sum(map(area, asked["gaps"])) == 800 and all(area(r["rectangle"]) <= 300 for r in asked["runs"])
+    first, again = (region.write_requests(spark, asked, f"file://{tmp_path}/r") for _ in range(2))
+    assert first == again and json.loads(store.read_text(spark, first)) == asked
+    assert cli.main(["region", str(folder), str(EAST), str(NORTH - 5), str(EAST + 12), str(NORTH), "2024-01-01", "2024-01-02", "--frames", "300", "--to", f"file://{tmp_path}/r"], spark) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["runs"] >= 2
+    assert cli.main(["ingest", str(folder), "--to", f"file://{tmp_path}/city", "--name", "a", "--tile", "10", "12"], spark) == 0
+
+
+def test_batches(spark):
+    boxes = spark.createDataFrame([("a", 0.0, -2.0, 2.0, 0.0), ("b", 1.0, -2.0, 3.0, 0.0), ("c", 9.0, -2.0, 11.0, 0.0)], "tile string, left double, bottom double, right double, top double")
+    at = lambda tile, cols, z: [(tile, r, c, z) for r in range(4) for c in cols]
+    layers = lambda rows: spark.createDataFrame(rows, "tile string, row long, col long, z double")
+    same = at("a", range(4), 1.0) + at("b", range(2, 6), 1.0)
+    assert catalogue.batch_window(boxes, layers(same), (0.0, -2.0, 3.0, 0.0), [], ["z"]).count() == 24
+    with pytest.raises(catalogue.Refused, match="contradict"):
+        catalogue.batch_window(boxes, layers(at("a", range(4), 1.0) + at("b", range(2, 6), 2.0)), (0.0, -2.0, 3.0, 0.0), [], ["z"])
+    with pytest.raises(catalogue.Refused, match="'b'"):
+        catalogue.batch_window(boxes, layers(at("a", range(4), 1.0)), (0.0, -2.0, 3.0, 0.0), [], ["z"])
+
+
+def test_views_of_results(spark):
+    index = spark.createDataFrame([("1", json.dumps({"a": ["/x/v1/tiles/t.tif", {"b": '/x/"q"/tiles'}], "c": "/x/v2"})), ("2", "{}"), ("3", None)], "result string, index string")
+    views = spark.createDataFrame([("/x/v1",), ("/x/v2",)], "view string")
+    assert [tuple(r) for r in catalogue.views_of(index, views).collect()] == [("1", "/x/v1")]
