@@ -1,6 +1,9 @@
 """Shards by size-tiered compaction: arrivals are appended as small immutable files, files of like size are merged into larger ones up to a target,
 and each change is one new version of a manifest, put in place by an atomic rename that fails if another writer was first.
 
+A manifest says what changed since the version before, and every EVERY-th one says everything: a change of few files writes little, however many
+shards there are, and a reader opens EVERY manifests at most.
+
 A reader takes the files that one version names, so it never sees half a change; files that no version names (of a writer that was lost) are ignored
 and later vacuumed. Merging reads whole files and writes them again task by task; nothing is shuffled and no row is looked at.
 
@@ -26,6 +29,8 @@ FANOUT = 4
 BASE_BYTES = 1 << 20
 #: Files that one merging job reads at most.
 MOST_FILES = 10_000
+#: Versions from one whole manifest to the next.
+EVERY = 16
 
 
 @dataclass(frozen=True)
@@ -53,6 +58,8 @@ class ShardStore:
         if fanout < 2 or target_bytes < 1 or base_bytes < 1:
             raise ValueError("fanout must be 2 at least, sizes 1 at least")
         self.spark, self.root, self.target, self.fanout, self.base = spark, root.rstrip("/"), target_bytes, fanout, base_bytes
+        #: The version last read or committed here; versions never change, so the next one may be written as what differs from it.
+        self._last: Manifest | None = None
 
     def versions(self) -> list[int]:
         fs, at = scratch.hadoop(self.spark, f"{self.root}/manifest")
@@ -65,14 +72,41 @@ class ShardStore:
             version = known[-1] if known else 0
         if version == 0:
             return Manifest(0, None, (), ())
+        chain = self._chain(version)
+        shards = {x["path"]: Shard(**x) for x in chain[0]["shards"]}
+        batches = list(chain[0]["batches"])
+        for step in chain[1:]:
+            for path in step["removed"]:
+                del shards[path]
+            shards |= {x["path"]: Shard(**x) for x in step["added"]}
+            batches += step["new_batches"]
+        found = Manifest(version, chain[-1]["schema"], tuple(shards.values()), tuple(batches))
+        if version == known[-1]:
+            self._last = found
+        return found
+
+    def _load(self, version: int) -> dict:
         fs, at = scratch.hadoop(self.spark, f"{self.root}/manifest/v{version:012d}.json")
         stream = fs.open(at)
         try:
-            raw = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        x = json.loads(raw)
-        return Manifest(x["version"], x["schema"], tuple(Shard(**s) for s in x["shards"]), tuple(x["batches"]))
+
+    def _chain(self, version: int) -> list[dict]:
+        """The manifests from the last whole one up to a version."""
+        chain = [self._load(version)]
+        while "shards" not in chain[-1]:
+            chain.append(self._load(chain[-1]["version"] - 1))
+        return chain[::-1]
+
+    def _said(self, new: Manifest) -> dict:
+        """What a version's manifest holds: all, or what differs from the version before if that is known here."""
+        old, head = self._last, {"version": new.version, "schema": new.schema}
+        if old is None or old.version != new.version - 1 or new.version % EVERY == 1:
+            return head | {"shards": [asdict(s) for s in new.shards], "batches": new.batches}
+        before, after = ({s.path for s in m.shards} for m in (old, new))
+        return head | {"added": [asdict(s) for s in new.shards if s.path not in before], "removed": [s.path for s in old.shards if s.path not in after], "new_batches": new.batches[len(old.batches) :]}
 
     def _commit(self, new: Manifest) -> Manifest:
         jvm = self.spark._jvm
@@ -81,7 +115,7 @@ class ShardStore:
         fs.mkdirs(temp.getParent())
         out = fs.create(temp, False)
         try:
-            out.write(bytearray(json.dumps({"version": new.version, "schema": new.schema, "shards": [asdict(s) for s in new.shards], "batches": new.batches}).encode()))
+            out.write(bytearray(json.dumps(self._said(new)).encode()))
         finally:
             out.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark._jsc.hadoopConfiguration())
@@ -94,6 +128,7 @@ class ShardStore:
             if "FileAlreadyExists" in str(e):
                 raise Conflict(final) from e
             raise
+        self._last = new
         return new
 
     def _write(self, df: DataFrame, batch: str) -> tuple[Shard, ...]:
@@ -180,7 +215,9 @@ class ShardStore:
             else:
                 gone += sum(f.getName().startswith("part-") for f in files)
                 fs.delete(folder.getPath(), True)
-        for v in known[:-keep]:
+        # the oldest version that is kept may rest on manifests before it
+        first = self._chain(known[-keep:][0])[0]["version"] if known else 0
+        for v in (v for v in known if v < first):
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/v{v:012d}.json"), False)
         return gone
 

@@ -55,6 +55,27 @@ def test_two_writers(spark):
     assert empty.compact().shards == () and empty.read().count() == 0
 
 
+def test_manifests_say_what_changed(spark, monkeypatch):
+    """Every version can be read, by the writer and by another reader; only each fourth manifest is whole; what a kept version rests on isn't vacuumed."""
+    monkeypatch.setattr(sharding, "EVERY", 4)
+    at = scratch.path(spark, "t")
+    store = sharding.ShardStore(spark, at, 1 << 20, 6, 1)
+    wrote = [store.append(docs(spark, [(k, f"text {k}")]).coalesce(1), f"b{k}") for k in range(7)]
+    wrote.append(store.compact())
+    assert [m.version for m in wrote] == list(range(1, 9)) and len(wrote[-1].shards) < 7
+    other = sharding.ShardStore(spark, at, 1 << 20, 6, 1)
+    assert [other.manifest(m.version) for m in wrote] == wrote and other.manifest() == wrote[-1]
+    assert [v for v in other.versions() if "shards" in other._load(v)] == [1, 5]
+    assert all(len(other._load(v)["added"]) == 1 and not other._load(v)["removed"] for v in (2, 3, 4, 6, 7))
+    # a writer that doesn't know the version before writes a whole one
+    fresh = sharding.ShardStore(spark, at, 1 << 20, 6, 1)
+    fresh._commit(sharding.Manifest(9, wrote[-1].schema, wrote[-1].shards, wrote[-1].batches))
+    assert "shards" in other._load(9) and other.manifest().shards == wrote[-1].shards
+    assert store.vacuum(keep=2) == 7 - len([s for s in wrote[6].shards if s in wrote[7].shards])
+    assert store.versions() == [5, 6, 7, 8, 9] and sorted(r.doc_id for r in store.read(8).collect()) == list(range(7))
+    assert store.append(docs(spark, [(0, "x")]), "b0").version == 9
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
 def test_shard_query_reads_back_every_document(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
