@@ -16,6 +16,16 @@ def tile_frames(frames: DataFrame, tiles: DataFrame, method: str = "nearest5") -
     return solar.with_sun(both, "utc", "latitude", "longitude").withColumn("direction", solar.direction(F.col("azimuth"), method))
 
 
+def sun_of_sources(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(frame, tile, azimuth, apparent, conflict) of each source (tile) in each frame of entries (frame, tile, azimuth, apparent), which several batches may give: null and no conflict
+    where none does, conflict where two disagree. One aggregate, then a join with the few sources."""
+    one = entries.groupBy("frame", "tile").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("azimuth", "apparent")])
+    wanted = entries.select("frame").distinct().join(sources.select("tile").distinct())
+    same = (F.col("low_azimuth") == F.col("high_azimuth")) & (F.col("low_apparent") == F.col("high_apparent"))
+    found = wanted.join(one, ["frame", "tile"], "left")
+    return found.select("frame", "tile", F.col("low_azimuth").alias("azimuth"), F.col("low_apparent").alias("apparent"), F.coalesce(~same, F.lit(False)).alias("conflict"))
+
+
 def needed_directions(sun: DataFrame) -> DataFrame:
     """(tile, direction), once for all frames: only frames with the Sun up need a horizon."""
     return sun.where("apparent > 0").select("tile", "direction").distinct()

@@ -31,6 +31,14 @@ def dependency_counts(deps: DataFrame) -> DataFrame:
     return grid.join(n, ["frame", "grp", "code"], "left").withColumn("pixels", F.coalesce("pixels", F.lit(0)).cast("long"))
 
 
+def scope_report(view: DataFrame, by: list[str]) -> DataFrame:
+    """Pixels of each surface in each scope of a filled view, and shares that are null where there is nothing to divide by."""
+    n = lambda *s: F.count_if(F.col("surface").isin(*s))
+    t = view.groupBy(*by).agg(n(0).alias("observed"), n(1, 2).alias("water"), n(2).alias("synthetic"), n(3).alias("enclosed"), n(4).alias("open"))
+    missing = F.col("water") + F.col("enclosed") + F.col("open")
+    return t.withColumns({"missing": missing, "water_share": F.try_divide(F.col("water"), missing), "synthetic_share": F.try_divide("synthetic", "water")})
+
+
 def dependent_land(counts: DataFrame) -> DataFrame:
     """(frame, land, dependent, share): land pixels whose label depends on the fill."""
     land = counts.where("grp = 'land'")

@@ -740,9 +740,14 @@ def j10_direction_equi_join(spark, sf_dir):
 
 @query
 def j21_solar_by_source(spark, sf_dir):
-    """Metadata of a name that disagrees between requests."""
-    e = scene.read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("name"), (F.col("l_linenumber") % 3 + F.col("l_suppkey") % 50).alias("v"), "l_linenumber").where("l_linenumber <= 1 + name % 4")
-    return e.groupBy("name").agg(F.countDistinct("v").alias("versions")).where("versions > 1")
+    """The Sun of each tile as two batches give it, which share tiles and disagree on one in some frames; a tile that neither has."""
+    sun = store.cut(_sun_frames(spark, sf_dir).select("frame", "tile", "azimuth", "apparent"))
+    column = F.split("tile", "_")[1].cast("int")
+    first, second = sun.where(column < 2), sun.where(column.between(1, 2))
+    other = F.when((F.col("tile") == "t1_1") & (F.hour(F.col("utc")) == 12), 0.5).otherwise(0.0)
+    second = second.join(scene.frames(spark, sf_dir), "frame").withColumn("apparent", F.col("apparent") + other).drop("utc")
+    found = frames.sun_of_sources(first.unionByName(second), scene.tiles(spark))
+    return found.groupBy("tile").agg(F.count("apparent").alias("frames"), F.count_if("conflict").alias("conflicts"), _r(F.max("apparent")).alias("highest"))
 
 
 @query
@@ -788,9 +793,10 @@ def a25_chunk_equality(spark, sf_dir):
 
 @query
 def a17_scope_ratios(spark, sf_dir):
-    """Totals of each supplier's lines with ratios that are null where there is nothing to divide by."""
-    x = scene.read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_linestatus") == "F").alias("closed"), F.count_if(F.col("l_quantity") > 49).alias("large"))
-    return x.select("l_suppkey", "returned", "closed", "large", _r(F.try_divide("returned", "closed")).alias("returned_share"), _r(F.try_divide("large", "returned")).alias("large_share"))
+    """Surfaces of each tile of the filled view, with shares."""
+    v = _view(spark, sf_dir)
+    t = impact.scope_report(v, ["tile"]).unionByName(impact.scope_report(v.where("surface = 0"), ["tile"]).withColumn("tile", F.concat(F.lit("known "), "tile")))
+    return t.withColumns({c: _r(c) for c in ("water_share", "synthetic_share")})
 
 
 @query

@@ -312,14 +312,12 @@ def oracle_sql() -> dict[str, str]:
         "f21_count_maps": "SELECT l_returnflag, count(*) FILTER (WHERE l_linenumber = 1) AS n1, count(*) FILTER (WHERE l_linenumber = 4) AS n4, count(*) FILTER (WHERE l_linenumber = 9) AS n9 FROM lineitem GROUP BY l_returnflag",
         "f22_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.missing') IS NULL AS no_other FROM events",
         "j10_direction_equi_join": f"WITH {PX}, {SUN}, {NEEDED}, pt AS MATERIALIZED (SELECT px.* FROM px JOIN tiles USING (tile)), target AS (SELECT pt.*, direction FROM pt JOIN needed USING (tile)), {offsets('needed')}, {rays('h', 'target', 'pt', own=True)}, hh AS (SELECT h.*, pt.tile FROM h JOIN pt USING (r, c)) SELECT s.frame, count(*) AS pixels, count(*) FILTER (WHERE hh.horizon > CAST(s.apparent AS FLOAT)) AS below FROM sun s JOIN hh ON hh.tile = s.tile AND hh.direction = s.direction WHERE s.apparent > 0 GROUP BY s.frame",
-        "j21_solar_by_source": "WITH e AS (SELECT l_suppkey % 50 AS name, l_linenumber % 3 + l_suppkey % 50 AS v, l_linenumber FROM lineitem) SELECT name, count(DISTINCT v) AS versions FROM e WHERE l_linenumber <= 1 + name % 4 GROUP BY name HAVING count(DISTINCT v) > 1",
         "j29_interval_join": "WITH o AS (SELECT o_orderkey, dayofyear(o_orderdate) % 30 AS d0 FROM orders), e AS (SELECT dayofmonth(ts) AS d, count(*) AS n FROM events GROUP BY 1) SELECT o_orderkey, CAST(sum(n) AS BIGINT) AS events FROM o JOIN e ON d BETWEEN d0 AND d0 + 6 GROUP BY o_orderkey",
         "j13_explained_losses": f"""{IMPACT}, bl AS (SELECT r, c, r + CAST(round_even(r % 2 - cos(radians(115.0)) * CAST(blocker AS DOUBLE) / 0.5, 0) AS BIGINT) - r % 2 AS br, c + CAST(round_even(c % 2 + sin(radians(115.0)) * CAST(blocker AS DOUBLE) / 0.5, 0) AS BIGINT) - c % 2 AS bc FROM two WHERE blocker > 0),
 x AS (SELECT t.shade, a.z, a.horizon, t.blocker, coalesce(v.surface, 255) AS bs, degrees(atan(CAST(CAST({PROFILE.sea_m} AS FLOAT) - a.z AS DOUBLE) / greatest(CAST(t.blocker AS DOUBLE), 0.25))) AS ang FROM two t JOIN runa a USING (r, c) LEFT JOIN bl ON bl.r = t.r AND bl.c = t.c LEFT JOIN view v ON v.r = br AND v.c = bc WHERE t.surface = 0 AND t.raw_shade = 0 AND t.quality IN (0, 3))
 SELECT CASE WHEN shade = 0 THEN 'raised_threshold' WHEN bs BETWEEN 1 AND 4 AND blocker > 0 AND shade = 1 AND ang > 30 AND abs(ang - horizon) <= 1e-4 THEN 'filled_blocker' ELSE 'unexplained' END AS cause, count(*) AS pixels FROM x GROUP BY 1""",
         "a22_equality_neighbourhood": f"{FINE} SELECT direction, count(*) FILTER (WHERE abs(CAST(horizon AS DOUBLE) - 80.0) <= 1.0) AS near, count(*) AS n FROM h GROUP BY direction",
         "a25_chunk_equality": "SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, CAST(0 AS BIGINT) AS slope_beyond, CAST(0 AS BIGINT) AS support_beyond, CAST(0 AS BIGINT) AS blocker_beyond",
-        "a17_scope_ratios": "WITH x AS (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linestatus = 'F') AS closed, count(*) FILTER (WHERE l_quantity > 49) AS large FROM lineitem GROUP BY 1) SELECT *, round(returned / nullif(closed, 0), 6) AS returned_share, round(large / nullif(returned, 0), 6) AS large_share FROM x",
         "a35_unique_items": "SELECT l_orderkey, count(*) AS n, count(DISTINCT l_partkey % 20) < count(*) AS twice FROM lineitem GROUP BY 1",
         "s9_sheet_check": "SELECT * FROM (VALUES ('t0_0.tif', 'missing'), ('t0_1.tif', 'extra'), ('t1_0.tif', 'bytes'), ('t2_2.tif', 'hash')) v(name, problem)",
         "u5_subset": "SELECT count(*) AS missing, count(*) = 0 AS subset FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 500 <> 7)",
@@ -357,5 +355,7 @@ SELECT CASE WHEN shade = 0 THEN 'raised_threshold' WHEN bs BETWEEN 1 AND 4 AND b
         "s16_cache_check": "SELECT * FROM (VALUES ('t1_1', CAST(45 AS DOUBLE), 'rows'), ('t2_0', CAST(215 AS DOUBLE), 'range')) v(tile, direction, problem)",
         "t7_resumed_run": f"{labels_of_files} SELECT frame, shade, quality, CAST(sum(pixels) AS BIGINT) AS pixels FROM combo GROUP BY ALL",
         "l5_views": "SELECT CAST(o_orderkey AS VARCHAR) AS result, 'views/v' || (o_custkey % 7) AS view FROM orders WHERE o_custkey % 7 < 5",
+        "j21_solar_by_source": f"WITH {SUN} SELECT tile, count(*) FILTER (WHERE tile NOT LIKE '%\\_3' ESCAPE '\\') AS frames, count(*) FILTER (WHERE tile = 't1_1' AND hour(utc) = 12) AS conflicts, CASE WHEN tile NOT LIKE '%\\_3' ESCAPE '\\' THEN round(max(apparent), 6) END AS highest FROM sun GROUP BY tile",
+        "a17_scope_ratios": f"{VIEW}, t AS (SELECT tile, count(*) FILTER (WHERE surface = 0) AS observed, count(*) FILTER (WHERE surface IN (1, 2)) AS water, count(*) FILTER (WHERE surface = 2) AS synthetic, count(*) FILTER (WHERE surface = 3) AS enclosed, count(*) FILTER (WHERE surface = 4) AS open, count(*) FILTER (WHERE surface > 0) AS missing FROM view GROUP BY tile) SELECT *, round(water / nullif(missing, 0), 6) AS water_share, round(synthetic / nullif(water, 0), 6) AS synthetic_share FROM t UNION ALL SELECT 'known ' || tile, observed, 0, 0, 0, 0, 0, NULL, NULL FROM t WHERE observed > 0",
     }
     return out
