@@ -67,8 +67,8 @@ def f2_daylight(spark, sf_dir):
 
 @query
 def p9_daylight_filter(spark, sf_dir):
-    """Events, kept or dropped by the sunrise and sunset of their day."""
-    e = scene.read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"))
+    """Events, kept or dropped by the sunrise and sunset of their day; fractions of a second count."""
+    e = scene.read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
     days = e.select("day").distinct()
     return ordered.within_daylight(e, solar.daylight(days, "day", F.lit(scene.LATITUDE), F.lit(0.0))).select("event_id", "kept", "reason")
 

@@ -4,10 +4,13 @@ import datetime
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sunlattice.plans import catalog, scene
+from sunlattice.functions import solar
+from sunlattice.plans import catalog, oracles, scene
 from tests import oracle
 
 HOURS = [datetime.datetime(2024, 1, d, h) for d, h in ((1, 4), (1, 23), (2, 3), (2, 12), (15, 0), (15, 3), (30, 4), (30, 23))]
@@ -81,3 +84,25 @@ def test_every_order_is_joined(spark, tables, tmp_path):
     spark.createDataFrame(list(enumerate(days)), "o_orderkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
     want = {k: sum(2 for h in HOURS if 0 <= h.day - d.timetuple().tm_yday % 30 <= 6) for k, d in enumerate(days)}
     assert {r["o_orderkey"]: r["events"] for r in catalog.j29_interval_join(spark, str(tmp_path)).collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_daylight_to_the_microsecond(spark, tmp_path):
+    """Events a microsecond inside and outside of each day's sunrise and sunset, and one without an instant.
+
+    Those from 1970 on against the query's SQL too: its remainder of an instant's seconds is negative before."""
+    days = [datetime.date(1969, 7, 20), datetime.date(2024, 1, 1), datetime.date(2024, 6, 21)]
+    bounds = solar.daylight(spark.createDataFrame([(d,) for d in days], "day date"), "day", F.lit(scene.LATITUDE), F.lit(0.0)).collect()
+    at, want = [(0, None)], {0: False}
+    for r in bounds:
+        rise, fall = math.ceil(r.sunrise * 1e6), math.floor(r.sunset * 1e6)
+        assert len({t // 1000000 for t in (rise - 1, rise)}) == 1 and len({t // 1000000 for t in (fall, fall + 1)}) == 1  # whole seconds can't tell them apart
+        for t, kept in ((rise - 1, False), (rise, True), (fall, True), (fall + 1, False)):
+            want[len(at)] = kept
+            at.append((len(at), datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=t)))
+    spark.createDataFrame(at, "event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    found = catalog.p9_daylight_filter(spark, str(tmp_path)).collect()
+    assert len(bounds) == len(days) and {r["event_id"]: r["kept"] for r in found} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' WHERE ts IS NULL OR ts >= TIMESTAMP '1970-01-01'")
+    later = {i for i, t in at if t is None or t.year >= 1970}
+    assert sorted(tuple(r) for r in found if r["event_id"] in later) == sorted(con.execute(oracles.oracle_sql()["p9_daylight_filter"]).fetchall())
